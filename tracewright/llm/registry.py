@@ -1,14 +1,18 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import chat_format, mixing, quality_rules, secrets
+from . import chat_format, decontaminate, html_extract, mil_quality, mixing, quality_rules, secrets
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_poisson_mixing": mixing.op6_poisson_mixing,
+    "op9_quality_mil": mil_quality.op9_quality_mil,
+    "op10_html_extract": html_extract.op10_html_extract,
 }
 ORACLES = {
     "op1_chat_format": chat_format.ORACLE,
+    "op3_decontaminate": decontaminate.ORACLE,
     "op6_poisson_mixing": mixing.ORACLE,
 }
