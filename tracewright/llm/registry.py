@@ -1,9 +1,10 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import chat_format, decontaminate, html_extract, lm_score, mil_quality, mixing, quality_rules, secrets
+from . import chat_format, decontaminate, html_extract, lm_score, mil_quality, mixing, ngram_join, quality_rules, secrets
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
+    "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_quality_rules": quality_rules.op5_quality_rules,
