@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import chat_format, decontaminate, html_extract, lm_score, mil_quality, mixing, ngram_join, quality_rules, secrets
+from . import chat_format, decontaminate, html_extract, lm_score, mil_quality, mixing, ngram_join, quality_rules, secrets, suffix_dedup
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_poisson_mixing": mixing.op6_poisson_mixing,
     "op7_lm_score": lm_score.op7_lm_score,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_quality_mil": mil_quality.op9_quality_mil,
     "op10_html_extract": html_extract.op10_html_extract,
 }
