@@ -160,7 +160,7 @@ def unescape(text: Column) -> Column:
 def formatted(rows: DataFrame) -> DataFrame:
     """One record per conversation: conv_id, formatted, loss_spans (code-point ranges of the
     assistants' texts in ``formatted``, end exclusive)."""
-    role = F.regexp_replace(escape(F.col("role")), "\n", "\\\\\\\\\n")
+    role = F.regexp_replace(escape(F.col("role")), "\n", "\\\\\n")
     r = rows.select("conv_id", "turn", "role", "text", role.alias("_r"), escape(F.col("text")).alias("_t"))
     r = r.withColumn("_piece", F.concat(F.lit("<|im_start|>"), "_r", F.lit("\n"), "_t", F.lit("<|im_end|>\n")))
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")

@@ -68,7 +68,7 @@ def counts(documents: DataFrame, target: str, text: str = "text") -> DataFrame:
         for pdf in batches(parts, text, BATCH_CHARS):
             texts = pdf[text].tolist()
             doc, uni, bi = places(texts)
-            good = pdf[target].fillna(False).to_numpy(bool)[doc]
+            good = pdf[target].eq(True).to_numpy(bool)[doc]
             for k, at in (("u", uni), ("b", bi), ("c", context(texts))):
                 n = len(sums[0, k])
                 sums[0, k] += np.bincount(at, minlength=n)
@@ -101,7 +101,9 @@ class Models:
         self.t = {(m, k): np.zeros(n, np.float32) for m in (0, 1) for k, n in _sizes().items()}
         for r in rows:
             self.t[r["model"], r["kind"]][r["slice"] << SLICE_BITS : (r["slice"] + 1) << SLICE_BITS] = np.frombuffer(zlib.decompress(r["data"]), np.int64)
-        if not self.t[1, "u"].any():
+        #: without a target both models are the corpus
+        self.same = not self.t[1, "u"].any()
+        if self.same:
             self.t |= {(1, k): self.t[0, k] for k in _sizes()}
         #: shared vocabulary: the unigram places that the corpus uses
         self.vocab = max(1, int((self.t[0, "u"] > 0).sum()))
@@ -139,7 +141,7 @@ def scored(documents: DataFrame, models: Models, target: str, text: str = "text"
             doc, uni, bi = places(texts)
             at = {"u": uni, "b": bi, "c": context(texts)}
             n = np.bincount(doc, minlength=len(pdf))
-            good = pdf[target].fillna(False).to_numpy(bool)[doc].astype(np.int64)
+            good = (pdf[target].eq(True) | state.value.same).to_numpy(bool)[doc].astype(np.int64)
             own = {k: _own(doc, v) for k, v in at.items()}
             mean = []
             for m, counted in ((1, good), (0, 1)):

@@ -1,6 +1,6 @@
 """Quality rules: per-document rules, and the frequency of normalised lines across documents.
 
-Lines are normalised (ASCII lower case, digits to 0, white space to one space, trimmed), hashed
+Lines are normalised (ASCII lower case, numbers to 0, white space to one space, trimmed), hashed
 and counted once per document and host; lines of more documents than a host's limit are removed,
 and a document that loses too much is rejected. Counting is two-level (host and line as key, with
 partial sums before the shuffle), so that neither a large host nor a frequent line meets in one
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, table
+from .common import BLANKS, ascii_lower, table
 
 #: A host's limit: a line may stand in this share of the host's documents, and in LINE_FLOOR anyway.
 LINE_SHARE, LINE_FLOOR = 0.2, 20
@@ -75,8 +75,7 @@ def base_rules(documents: DataFrame, text: str = "text") -> DataFrame:
 
 
 def normal_line(line: Column) -> Column:
-    low = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", "abcdefghijklmnopqrstuvwxyz000000000")
-    return F.trim(F.regexp_replace(low, BLANKS, " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(ascii_lower(line), "[0-9]+", "0"), BLANKS, " "))
 
 
 def line_table(documents: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
