@@ -185,7 +185,8 @@ def test_base_rules(spark, odd, docs):
 
 
 def test_line_frequency(spark):
-    own = lambda i: " ".join(f"own{i}w{k}" for k in range(60))
+    name = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    own = lambda i: " ".join(f"own{name(i)}w{name(k)}" for k in range(60))
     rows = [(i, f"Read  MORE {i}\n{own(i)}", "big") for i in range(40)] + [(100 + i, f"read more {i}\n" * 3 + own(100 + i)[:30], "big") for i in range(3)]
     rows += [(200, "Read more 1\n" + own(200), "small"), (201, None, None), (202, "", "big")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
