@@ -157,5 +157,6 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against the documents labelled good; the label table joins by doc_id alone."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(True))
-    marked = docs.join(good, "doc_id", "left").withColumn("good", F.coalesce("good", F.lit(False)))
+    # the same join at every size: a broadcast that fits only small label tables would change the plan
+    marked = docs.join(good.hint("merge"), "doc_id", "left").withColumn("good", F.coalesce("good", F.lit(False)))
     return scored(marked, learn(marked, "good"), "good").select("doc_id", "n_tokens", "target_loss", "background_loss", "score")
