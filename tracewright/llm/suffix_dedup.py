@@ -513,7 +513,7 @@ def _joined(pairs: np.ndarray) -> np.ndarray:
 def deduplicated(documents: DataFrame, length: int = 200, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """(id, n_bytes, spans, kept): the removed byte ranges of each text and its remaining bytes."""
     own = documents.select(F.col(id_col), *_keyed(id_col, text))
-    rows = own.join(spans(documents, length, id_col, text, **options), ["_id", "_tag"], "left").select(id_col, "_t", "s")
+    rows = own.join(spans(documents, length, id_col, text, **options).hint("merge"), ["_id", "_tag"], "left").select(id_col, "_t", "s")
 
     def remove(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
