@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges of values for running sums over a whole table.
+BINS = 4096
+
+
 def half_up(x: Column, digits: int) -> Column:
     """Round with halves toward plus infinity."""
     k = float(10**digits)
@@ -156,12 +160,13 @@ def mann_whitney(df: DataFrame, group: str, x: str) -> DataFrame:
     Values are counted first; ranks are then running sums over the distinct values.
     """
     c = df.filter(F.col(x).isNotNull()).groupBy(x).agg(F.count_if(F.col(group)).alias("a"), F.count_if(~F.col(group)).alias("b"))
-    # negatives below each value: a running sum in two levels, by ranges of the sorted values
-    part = c.repartitionByRange(x).sortWithinPartitions(x).withColumn("_p", F.spark_partition_id())
-    sums = part.groupBy("_p").agg(F.sum("b").alias("s"))
+    # negatives below each value: a running sum in two levels, by BINS equal ranges of the values
+    ends = c.agg(F.min(x).cast("double").alias("_lo"), F.max(x).cast("double").alias("_hi"))
+    part = c.crossJoin(F.broadcast(ends)).withColumn("_p", F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(x) - F.col("_lo")) * BINS / (F.col("_hi") - F.col("_lo")))).otherwise(0))
+    sums = part.groupBy("_p").agg(F.sum("b").alias("s"))  # BINS + 1 rows at most
     base = sums.select("_p", F.coalesce(F.sum("s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     own = F.coalesce(F.sum("b").over(Window.partitionBy("_p").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    d = part.join(base, "_p").withColumn("below", F.col("base") + own)
+    d = part.join(F.broadcast(base), "_p").withColumn("below", F.col("base") + own)
     g = d.agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(F.col("a") * (F.col("below") + F.col("b") / 2)).alias("u"))
     return g.select("n1", "n2", "u", (F.col("u") / (F.col("n1") * F.col("n2"))).alias("auc"))
 

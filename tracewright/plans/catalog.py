@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import asof, islands, setops, stats
+from ..operators import islands
 from ..operators import timeseries as ts
-from .views import ATOMS, FRAMES, SIGNAL, atoms, frames, signal, table
+from .views import FRAMES, SIGNAL, frames, signal
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -176,9 +175,9 @@ def grid_resample(spark, sf_dir):
     return rounded(ts.resampled(signal(spark, sf_dir), K, "t", "x", 16), "x")
 
 
-@query(f"""WITH {SIGNAL}, s AS (SELECT episode, i + 1 AS at, sum(x) OVER (PARTITION BY episode ORDER BY i ROWS UNBOUNDED PRECEDING) AS s, sum(x) OVER (PARTITION BY episode) AS S0, count(*) OVER (PARTITION BY episode) AS n FROM sig),
-g AS (SELECT episode, at, round(s * s / at + (S0 - s) * (S0 - s) / (n - at) - S0 * S0 / n, 4) AS gain FROM s WHERE at >= 3 AND n - at >= 3)
-SELECT episode, at AS split, gain FROM (SELECT *, row_number() OVER (PARTITION BY episode ORDER BY gain DESC, at) AS r FROM g) WHERE r = 1""")
+@query(f"""WITH {SIGNAL}, s AS (SELECT episode, i + 1 AS k, sum(x) OVER (PARTITION BY episode ORDER BY i ROWS UNBOUNDED PRECEDING) AS h, sum(x) OVER (PARTITION BY episode) AS a, count(*) OVER (PARTITION BY episode) AS n FROM sig),
+g AS (SELECT episode, k, round(h * h / k + (a - h) * (a - h) / (n - k) - a * a / n, 4) AS gain FROM s WHERE k >= 3 AND n - k >= 3)
+SELECT episode, k AS split, gain FROM (SELECT *, row_number() OVER (PARTITION BY episode ORDER BY gain DESC, k) AS r FROM g) WHERE r = 1""")
 def prefix_cost_best_split(spark, sf_dir):
     return ts.best_split(signal(spark, sf_dir), K, O, "x", 3)
 
