@@ -7,11 +7,13 @@ shingles of their prefixes of |x| - ceil(t |x|) + l; l is chosen for each class
 candidates that its plain prefix would give, so expensive documents get longer prefixes and ask
 for as many more shared shingles before verification, which intersects the whole sets.
 
-Candidates come in two steps that keep large groups of near copies from giving all pairs. First
-each class is verified against one leader, the class with most shared prefix shingles among those
-that lead its postings. Then only pairs that are not yet connected are formed within a posting.
-No link between different components can be lost: every pair is verified, already connected, or
-ruled out by the prefix rule.
+Candidates come in steps that keep large groups of near copies from giving all pairs. First each
+class is verified against one leader, the class with most shared prefix shingles among those that
+lead its postings. Then members of one leader's group that it does not connect are compared by
+the few shingles in which they differ from it, under the prefix rule again. At last pairs of
+different leaders that are not yet connected are formed within a posting. No link between
+different components can be lost: every pair is verified, already connected, or ruled out by a
+prefix rule.
 
 Defined results: null texts and texts without words have the empty set and link with nothing;
 with fewer words than a shingle the whole sequence is one shingle; repeated rows and equal sets
@@ -32,7 +34,7 @@ from .common import Words, batches, mixed, table, written
 from .components import components
 
 #: Places of the count table (one saturating byte each) and the longest multi-match.
-COUNT_BITS, SLICE_BITS = 24, 18
+COUNT_BITS, SLICE_BITS = 26, 19
 MOST_MATCHES = 4
 #: A class asks for one more match each time its candidates double beyond this.
 CHEAP = 32
@@ -118,7 +120,7 @@ def _sets(documents: DataFrame, ids: DataFrame, width: int, id_col: str, text: s
             yield pd.DataFrame({"rep": pdf["rep"], "s": [h[a:b].view(np.int64) for a, b in zip(first[:-1], first[1:], strict=True)]})
 
     kind = documents.schema[id_col].dataType.simpleString()
-    own = documents.select(F.col(id_col).alias("rep"), text).join(ids, "rep", "left_semi")
+    own = documents.select(F.col(id_col).alias("rep"), text).join(ids.hint("merge"), "rep", "left_semi")
     return own.mapInPandas(run, f"rep {kind}, s array<long>")
 
 
@@ -129,6 +131,45 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return common.filter(den * F.col("common") >= num * (F.col("sum") - F.col("common"))).select("a", "b")
 
 
+def _against_leader(led: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(rep, lead, n, lead_n, more, less, linked): each class with a leader that shares half of both,
+    and the shingles that it has more and less than the leader."""
+    both = led.join(sets.select("rep", "s"), "rep").join(sets.select(F.col("rep").alias("lead"), F.col("s").alias("t")), "lead")
+    out = both.select("rep", "lead", F.size("s").alias("n"), F.size("t").alias("lead_n"), F.sort_array(F.array_except("s", "t")).alias("more"), F.sort_array(F.array_except("t", "s")).alias("less"))
+    common = F.col("n") - F.size("more")
+    out = out.filter(3 * common >= F.col("n") + F.col("lead_n"))
+    return out.withColumn("linked", den * common >= num * (F.col("lead_n") + F.size("more")))
+
+
+def _within_groups(star: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between members of one leader's group of which at most one is linked to the leader.
+
+    With D(x) the shingles in which x and the leader differ, x and y differ in D(x) + D(y) less
+    twice the shared ones, and they are similar where that is at most share * (|x| + |y|). If x is
+    not linked to the leader this asks for shared elements of D, so the prefix rule applies to the
+    D's (additions, mostly of one text alone, come first): what a group has in common never meets.
+    """
+    share = (den - num) / (den + num)
+    d = F.concat("more", "less")
+    s = star.select("rep", "lead", "n", "lead_n", "linked", d.alias("d"), F.size(d).alias("k"))
+    free = F.col("k") - share * F.col("n")
+    # the least number of shared elements: with a linked partner, and with an unlinked one
+    to_linked = F.greatest(F.lit(1), F.ceil((F.col("k") - share * (F.col("n") + F.col("lead_n"))) / (1 + share) - 1e-6))
+    to_unlinked = F.greatest(F.lit(1), F.floor((free + share * F.col("lead_n")) / 2 - 1e-6))
+    cut = lambda least: F.slice("d", 1, F.greatest(F.col("k") - least + 1, F.lit(0)).cast("int"))
+    open_groups = s.filter("not linked").select("lead").distinct()
+    s = s.join(open_groups, "lead", "left_semi")
+    roles = F.when(F.col("linked"), F.array(F.struct(F.lit("UL").alias("role"), F.lit(1).alias("side"), cut(to_unlinked).alias("p"))))
+    roles = roles.otherwise(F.array(F.struct(F.lit("UL").alias("role"), F.lit(0).alias("side"), cut(to_linked).alias("p")), F.struct(F.lit("UU").alias("role"), F.lit(0).alias("side"), cut(to_unlinked).alias("p"))))
+    keys = s.select("rep", "lead", F.explode(roles).alias("r")).select("rep", "lead", "r.role", "r.side", F.explode("r.p").alias("token"))
+    x, y = (keys.select("lead", "role", "token", F.col("rep").alias(f"rep_{c}"), F.col("side").alias(f"side_{c}")) for c in "xy")
+    pairs = x.join(y, ["lead", "role", "token"]).filter("(role = 'UU' and rep_x < rep_y) or (role = 'UL' and side_x < side_y)").select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
+    one = lambda c, m: star.select(F.col("rep").alias(c), F.col("n").alias(f"n_{m}"), d.alias(f"d_{m}"))
+    both = pairs.join(one("a", "x"), "a").join(one("b", "y"), "b")
+    differ = F.size("d_x") + F.size("d_y") - 2 * F.size(F.array_intersect("d_x", "d_y"))
+    return both.filter((den + num) * differ <= (den - num) * (F.col("n_x") + F.col("n_y"))).select("a", "b")
+
+
 def linked(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): documents link at Jaccard similarity num / den or more;
     component_id is the least id that links reach."""
@@ -147,27 +188,35 @@ def linked(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10, id
     posted = posted.join(cost, "rep")
     matches = F.least(F.lit(MOST_MATCHES), F.greatest(F.lit(1), 1 + F.floor(F.log2(F.greatest(F.col("cost") / CHEAP, F.lit(1.0)))).cast("int")), least)
     posted = posted.withColumn("matches", matches).filter(F.col("place") < plain + F.col("matches"))
-    posted = written(posted.select("token", "rep", "n", "matches", "support"), "postings")
+    posted = written(posted.select("token", "rep", "n", "place", "matches", "support"), "postings")
 
     sets = written(_sets(documents, posted.select("rep").distinct(), width, id_col, text), "sets")
 
-    # each class against one leader
+    # each class against one leader, the class with most shared prefix shingles
     leads = posted.groupBy("token").agg(F.max_by(F.struct(F.col("rep").alias("lead"), F.col("n").alias("lead_n")), F.struct("support", -F.col("rep"))).alias("l"))
-    near = lambda a, b: (den * F.least(a, b) >= num * F.greatest(a, b))
+    near = lambda a, b: den * F.least(a, b) >= num * F.greatest(a, b)
     led = posted.join(leads, "token").select("rep", "n", "l.*").filter((F.col("rep") != F.col("lead")) & near(F.col("n"), F.col("lead_n")))
-    led = led.groupBy("rep", "lead").agg(F.count("*").alias("c")).groupBy("rep").agg(F.max_by("lead", F.struct("c", -F.col("lead"))).alias("b"))
-    found = written(_verified(led.select(F.col("rep").alias("a"), "b"), sets, num, den), "links")
-    joined = components(found, "a", "b")
+    led = led.groupBy("rep", "lead").agg(F.count("*").alias("c")).groupBy("rep").agg(F.max_by("lead", F.struct("c", -F.col("lead"))).alias("lead"))
+    star = written(_against_leader(led, sets, num, den), "star")
+    links = star.filter("linked").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
+    joined = components(links, "a", "b")
+
+    # members of one leader's group that are not connected through it: compared by what differs from the leader
+    links = links.union(_within_groups(star, num, den))
 
-    # then what is not yet connected
+    # what else shares prefix shingles, unless connected or of one leader's group
     at = posted.join(joined.withColumnRenamed("vertex", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed_lists = at.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
-    at = at.join(mixed_lists, "token", "left_semi")
-    x, y = (at.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("rep", "n", "matches", "component")]) for k in "xy")
-    pairs = x.join(y, "token").filter((F.col("rep_x") < F.col("rep_y")) & (F.col("component_x") != F.col("component_y")) & near(F.col("n_x"), F.col("n_y")))
-    pairs = pairs.groupBy(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("matches_x", "matches_y")).alias("k")).filter("c >= k")
-    more = written(_verified(pairs.select("a", "b"), sets, num, den), "links")
-    joined = components(found.union(more), "a", "b")
+    at = at.join(star.select("rep", "lead"), "rep", "left").withColumn("lead", F.coalesce("lead", "rep"))
+    open_lists = at.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("lead").alias("lo_lead"), F.max("lead").alias("hi_lead")).filter("lo < hi and lo_lead < hi_lead").select("token")
+    at = at.join(open_lists, "token", "left_semi")
+    x, y = (at.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("rep", "n", "place", "matches", "component", "lead")]) for k in "xy")
+    pairs = x.join(y, "token").filter((F.col("rep_x") < F.col("rep_y")) & (F.col("component_x") != F.col("component_y")) & (F.col("lead_x") != F.col("lead_y")) & near(F.col("n_x"), F.col("n_y")))
+    # from the first shared shingle on, no more than the shorter rest can be shared
+    rest = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
+    pairs = pairs.groupBy(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("matches_x", "matches_y")).alias("k"), F.max(rest).alias("rest"), F.first(F.col("n_x") + F.col("n_y")).alias("sum"))
+    pairs = pairs.filter((F.col("c") >= F.col("k")) & ((den + num) * F.col("rest") >= num * F.col("sum")))
+    links = written(links.union(_verified(pairs.select("a", "b"), sets, num, den)), "links")
+    joined = components(links, "a", "b")
 
     whole = classes.select("h1", "h2", "rep", "docs").join(joined.withColumnRenamed("vertex", "rep"), "rep", "left")
     whole = whole.filter("docs > 1 or component is not null").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
@@ -180,7 +229,7 @@ def deduplicated(documents: DataFrame, **options) -> DataFrame:
     """One document of each component: the one with the least id."""
     id_col = options.get("id_col", "doc_id")
     kept = linked(documents, **options).filter("component_id = doc_id").select(F.col("doc_id").alias(id_col))
-    return documents.join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    return documents.join(kept.hint("merge"), id_col, "left_semi").dropDuplicates([id_col])
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
