@@ -14,11 +14,11 @@ from .views import ATOMS, FRAMES, SIGNAL, atoms, frames, signal, table
 # --- scalars ---
 
 
-@query(f"""WITH {SIGNAL} SELECT episode, i, concat_ws(' ', '[auto:' || CASE WHEN x > 200 THEN 'high' ELSE 'low' END || '] ' || label, CASE WHEN i % 3 > 0 THEN 'f' || (i % 3 - 1) END, printf('%.2fs', t), CASE WHEN x > 50 THEN printf('n %.1f', floor(x)) END, CASE WHEN i % 2 = 0 THEN '(even)' END) AS content FROM sig""")
+@query(f"""WITH {SIGNAL} SELECT episode, i, concat_ws(' ', '[auto:' || CASE WHEN x > 200 THEN 'high' ELSE 'low' END || '] ' || label, CASE WHEN i % 3 > 0 THEN 'f' || (i % 3 - 1) END, printf('%.2fs', floor(t)), CASE WHEN x > 50 THEN printf('n %.1f', floor(x)) END, CASE WHEN i % 2 = 0 THEN '(even)' END) AS content FROM sig""")
 def atom_format(spark, sf_dir):
     s = signal(spark, sf_dir)
     conf, finger = F.when(F.col("x") > 200, "high").otherwise("low"), F.when(F.col("i") % 3 > 0, (F.col("i") % 3 - 1).cast("int"))
-    return s.select("episode", "i", scalars.atom_content(F.col("label"), conf, finger, F.col("t"), F.when(F.col("i") % 2 == 0, "even"), n=F.when(F.col("x") > 50, F.floor("x").cast("double"))).alias("content"))
+    return s.select("episode", "i", scalars.atom_content(F.col("label"), conf, finger, F.floor("t").cast("double"), F.when(F.col("i") % 2 == 0, "even"), n=F.when(F.col("x") > 50, F.floor("x").cast("double"))).alias("content"))
 
 
 @query(f"""WITH {SIGNAL}, c AS (SELECT episode, i, '[auto:' || CASE WHEN x > 200 THEN 'high' ELSE 'low' END || '] ' || label || CASE WHEN i % 3 > 0 THEN ' f' || (i % 3 - 1) ELSE '' END || CASE WHEN i % 2 = 0 THEN printf(' %.2fs', x) ELSE '' END AS content FROM sig)
