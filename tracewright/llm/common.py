@@ -123,7 +123,7 @@ class Words:
         self.first = np.searchsorted(self.start, self.bounds)
 
 
-def batches(rows, text: str, limit: int = 4_000_000):
+def batches(rows, text: str, limit: int = 1_000_000):
     """Cut Arrow-sized pandas frames so that a piece holds ``limit`` characters or one longer text."""
     for pdf in rows:
         if not len(pdf):

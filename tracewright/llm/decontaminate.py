@@ -30,7 +30,7 @@ WINDOW = 10
 #: Words of the benchmark that one pass holds in each task (about 40 bytes a word).
 BLOCK_WORDS = 2_000_000
 #: Characters of a shard.
-SHARD_CHARS = 6_000_000
+SHARD_CHARS = 2_000_000
 
 SPAN = "struct<item_id:string,item_word:int,doc_word:int,n_words:int>"
 

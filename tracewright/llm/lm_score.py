@@ -31,7 +31,7 @@ SLICE_BITS = 14
 #: Share of the bigram estimate, and the prior of the unigram estimate.
 LAMBDA, PRIOR = 0.6, 0.5
 START = np.uint64(0x5851F42D4C957F2D)
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 
 
 def places(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -28,6 +28,8 @@ PASSAGE_WORDS = 48
 #: Most labelled documents that are learned from, half of each class where there are so many.
 SAMPLE = 6000
 THRESHOLD = 0.3
+#: Characters measured at once; about 100 bytes of arrays each.
+BATCH_CHARS = 1_000_000
 ENCODING, ATTENTION, STEPS, RATE, DECAY = 12, 8, 400, 0.02, 1e-4
 
 _CLASS = np.full(256, 10, np.uint8)  # other ASCII
@@ -145,7 +147,7 @@ def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text:
     rows = documents.select(id_col, text).join(F.broadcast(picked), id_col).select(id_col, text, "_y")
 
     def measure(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches(parts, text):
+        for pdf in batches(parts, text, BATCH_CHARS):
             x, first = passages(pdf[text].tolist())
             cut = [x[a:b].astype(np.float32).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pd.DataFrame({"id": pdf[id_col], "y": pdf["_y"], "x": cut})
@@ -167,7 +169,7 @@ def scored(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
     state = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches(parts, text):
+        for pdf in batches(parts, text, BATCH_CHARS):
             yield pdf.assign(score=state.value.score(*passages(pdf[text].tolist())))
 
     kind = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
