@@ -145,3 +145,44 @@ def test_streams_equal_batch(spark, tmp_path):
     q = online.windowed(timed, "ts", ["episode"], "x", "10 seconds", "1 minute").writeStream.format("memory").outputMode("complete").queryName("windowed").option("checkpointLocation", str(tmp_path / "w")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r.episode, r.n) for r in spark.table("windowed").collect()} == {(1, 10), (2, 10)}
+
+
+def test_session_csv(spark, tmp_path):
+    from tracewright.sources import session_csv as s
+
+    names = [f"e{k}_{a}" for k in range(12) for a in "xyz"]
+    lines = [",".join(["t_epoch_ns", *names])] + [",".join([str(10**9 + n * 10**7), *(["3", "4", "0"] + ["0"] * 33)]) for n in range(11)]
+    (tmp_path / "raw.csv").write_text("\n".join(lines))
+    (tmp_path / "base.csv").write_text("element,x,y,z\n0,0,0,0\nbad,1,1,1\n1,0,0,0")
+    base = s.baseline(spark, str(tmp_path / "base.csv"))
+    assert base.count() == 2
+    w = s.session_window(spark, str(tmp_path / "raw.csv"), 10**9, 10**9 + 5 * 10**7, 10**9, base)
+    r = w.orderBy("ns").collect()
+    assert len(r) == 6 and r[0].peak_dev == 5.0 and abs(r[0].mean_dev - 5 / 12) < 1e-9
+    assert abs(s.measured_rate(w).collect()[0].hz - 100) < 1e-6
+    (tmp_path / "sheet.csv").write_text("Episode_index,scene,auto_stage,failure_mode,notes\n1,a,S5 done,,x\n2,b,S2,F4 slip,\n,c,S1,,")
+    good, bad = s.scorer_sheet(spark, str(tmp_path / "sheet.csv"))
+    assert sorted((r.episode, r.stage, r.failure, r.score) for r in good.collect()) == [(1, "S5", None, 1.0), (2, "S2", "F4", 0.4)]
+    assert bad.count() == 1
+
+
+def test_batch_isolates_errors_and_resumes(spark, tmp_path):
+    from tracewright.plans import batch
+
+    df = spark.createDataFrame([(e, i, float(i)) for e in (1, 2, 3) for i in range(5)], "episode long, i long, x double")
+
+    def work(pdf):
+        if pdf["episode"].iloc[0] == 2:
+            raise ValueError("no signal")
+        return len(pdf), ["long"] if pdf["episode"].iloc[0] == 3 else []
+
+    got = batch.run(df, "episode", "i", work)
+    assert {r.episode: (r.status, r.rows, r.error) for r in got.collect()} == {1: ("ok", 5, None), 2: ("failed", None, "ValueError: no signal"), 3: ("ok", 5, None)}
+    assert tuple(batch.summary(got).collect()[0]) == (3, 2, 1, 1)
+    assert {r.episode for r in batch.remaining(df, got.filter("episode < 3"), "episode").collect()} == {3}
+    cuts = spark.createDataFrame([(1, 1, 3), (3, 0, 0)], "episode long, start long, end long")
+    batch.write_trimmed(df, cuts, str(tmp_path / "out"), "episode", "i", 30.0)
+    meta = sorted((r.episode_index, r.length, r.from_index, r.to_index) for r in spark.read.parquet(str(tmp_path / "out/meta/episodes")).collect())
+    assert meta == [(0, 3, 0, 3), (1, 5, 3, 8), (2, 1, 8, 9)]
+    with pytest.raises(Exception, match="exists"):
+        batch.write_trimmed(df, cuts, str(tmp_path / "out"), "episode", "i", 30.0)
