@@ -117,7 +117,7 @@ def test_ngram_join_odd(spark, odd):
     assert got[1] == [(0, 1)] and got[2] == [(0, 2)] and got[3] == [(0, 3)] and got[4] == [(1, 4)]
     assert got[5] == [(1, 5), (1, 5)] and got[6] == got[7][:1] == [(29_998, 6)]
     assert ngram_join.linked(odd.limit(0)).count() == 0
-    assert sorted(r.doc_id for r in ngram_join.deduplicated(odd.filter("doc_id is not null")).collect()) == [1, 2, 3, 4, 5, 6, 8]
+    assert sorted(r.doc_id or 0 for r in ngram_join.deduplicated(odd).collect()) == [0, 1, 2, 3, 4, 5, 6, 8]
 
 
 def test_components(spark):

@@ -38,10 +38,10 @@ def rates(documents: DataFrame, weights: DataFrame, source: str = "source", scal
     """(source, rate): target share over actual share. ``weights``: (source, weight), weights in any unit."""
     name = F.coalesce(F.col(source), F.lit("")).alias("_source")
     have = documents.groupBy(name).agg(F.count("*").alias("n"))
-    total = have.agg(F.sum("n").alias("total"))
     want = weights.filter("weight > 0").groupBy(name).agg(F.sum("weight").alias("w"))
     found = have.join(want, "_source")
-    return found.crossJoin(total).crossJoin(found.agg(F.sum("w").alias("all"))).select("_source", (F.lit(scale) * F.col("w") / F.col("all") * F.col("total") / F.col("n")).alias("rate"))
+    total, weight = have.agg(F.sum("n")).first()[0] or 0, found.agg(F.sum("w")).first()[0] or 1.0  # two numbers
+    return found.select("_source", (F.lit(float(scale)) * F.col("w") / F.lit(float(weight)) * F.lit(float(total)) / F.col("n")).alias("rate"))
 
 
 def mixed(documents: DataFrame, rate: DataFrame, seed: int, source: str = "source", id_col: str = "doc_id") -> DataFrame:

@@ -175,7 +175,7 @@ def linked(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10, id
     component_id is the least id that links reach."""
     counts = count_table(documents, width, text)
     signed = written(signatures(documents, counts, width, num, den, id_col, text), "signed")
-    classes = signed.filter("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("m"), F.count("*").alias("docs"))
+    classes = signed.filter("n > 0").groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n", "prefix")).alias("m"), F.count("*").alias("docs"))
     classes = classes.select("h1", "h2", F.col("m.doc_id").alias("rep"), F.col("m.n").alias("n"), F.col("m.prefix").alias("prefix"), "docs")
     least = F.ceil(F.lit(num) * F.col("n") / F.lit(den)).cast("int")  # shingles of x that a partner must share
     posted = classes.select(F.col("rep"), F.col("n"), F.posexplode("prefix").alias("place", "token"))
@@ -226,10 +226,10 @@ def linked(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10, id
 
 
 def deduplicated(documents: DataFrame, **options) -> DataFrame:
-    """One document of each component: the one with the least id."""
+    """One document of each component: the one with the least id. Rows without an id all stay."""
     id_col = options.get("id_col", "doc_id")
     kept = linked(documents, **options).filter("component_id = doc_id").select(F.col("doc_id").alias(id_col))
-    return documents.join(kept.hint("merge"), id_col, "left_semi").dropDuplicates([id_col])
+    return documents.join(kept.hint("merge"), id_col, "left_semi").dropDuplicates([id_col]).unionByName(documents.filter(F.col(id_col).isNull()))
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,9 @@ partial sums before the shuffle), so that neither a large host nor a frequent li
 task. Only DataFrame functions are used.
 
 Defined results: null text has no words and fails the base rules; a null host is a host of its
-own; lines without a word are never counted or removed; repeated rows count as the documents
-they are (by doc_id); an empty table gives an empty result; other columns pass through.
+own; lines without a word are never counted or removed; repeated rows count as often as they
+stand there; a row without an id loses no line; an empty table gives an empty result; other
+columns pass through.
 """
 
 from __future__ import annotations
