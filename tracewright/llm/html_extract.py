@@ -29,7 +29,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title template noscript iframe svg math xmp noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 DROPPED = frozenset("nav footer aside form button select input textarea label fieldset script style noscript template iframe svg math object canvas audio video dialog menu head title legend option".split())
-UNLIKELY = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|bottom|breadcrumbs?|bio|byline|cookies?|consent|comments?|commentlist|disqus|disclaimer|foot|footer|footnotes?|gdpr|head|header|login|masthead|menu|meta|modal|nav|navbar|navigation|newsletter|notice|notification|pager|pagination|popup|promo\w*|recommend\w*|related|replies|respond|rss|search|share|sharing|shoutbox|sidebar|side|signup|skip|social|sponsor\w*|subscribe|tags|toolbar|topbar|tweet|widget)(?:$|[\s_-]|s\b)", re.I)
+# Words of class and id that mark page furniture.
+UNLIKELY_WORDS = r"ads? advert\w* adbox adslot adunit adsbygoogle adsense banner breadcrumbs? comments? comment-?list commenters? consent cookies? discussion disqus foot footer gdpr header login masthead menu modal nav navbar navigation newsletter notices? notification overlay pager pagination popup promo\w* recommend\w* related replies respond responses? rss search share sharing shoutbox side-?bar signup skip social sponsor\w* subscribe toolbar topbar tweet widget"
+UNLIKELY = re.compile(rf"(?:^|[\s_-])(?:{UNLIKELY_WORDS.replace(' ', '|')})(?:$|[\s_-])", re.I)
 LIKELY = re.compile(r"article|content|entry|main|post|story|text|body", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form note".split())
 SCORED = frozenset("p pre td blockquote li dd div section article h2 h3".split())
