@@ -201,7 +201,7 @@ def test_line_frequency(spark):
 # --- mixing ---
 
 
-def test_mixing(spark):
+def test_mixing(spark, monkeypatch):
     df = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "a").when(F.col("id") % 2 == 0, "b").alias("source"), F.lit(None).cast("string").alias("text"), F.lit("z").alias("rate_"))
     w = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("", 2.0), ("gone", 5.0)], "source string, weight double")
     rate = mixing.rates(df, w, scale=3.0)
@@ -214,6 +214,8 @@ def test_mixing(spark):
     only = mixing.mixed(df, mixing.rates(df, w.filter("source = 'b'")), seed=3)
     assert only.select("source").distinct().collect()[0].source == "b"
     assert mixing.mixed(df.limit(0), rate, 3).count() == 0
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 1)
+    assert out.exceptAll(mixing.mixed(df, rate, seed=3)).count() == 0
 
 
 # --- LM scoring ---

@@ -21,6 +21,8 @@ from .common import table, unit_hash
 BLOCK = 8.0
 #: Terms of the sum; the tail beyond them at mean BLOCK is below 2 ** -53.
 TERMS = 48
+#: Sources whose rates are broadcast (about 2 MB), and the salts of each source beyond that.
+MOST_SOURCES, SALTS = 20_000, 64
 
 
 def poisson_inverse(mean: Column, u: Column) -> Column:
@@ -47,9 +49,17 @@ def rates(documents: DataFrame, weights: DataFrame, source: str = "source", scal
 def mixed(documents: DataFrame, rate: DataFrame, seed: int, source: str = "source", id_col: str = "doc_id") -> DataFrame:
     """The documents with ``replica`` (0, 1, ...), each as often as its Poisson count says, shuffled.
 
-    ``rate`` has a row per source; Spark broadcasts it while it is small and joins it by shuffle beyond.
+    ``rate`` has a row per source. Up to MOST_SOURCES rows (they are counted) it is broadcast; beyond,
+    sources are salted, so that a hot one is dealt to SALTS tasks.
     """
-    d = documents.join(rate.withColumnRenamed("_source", "_s"), F.coalesce(F.col(source), F.lit("")) == F.col("_s"))
+    r = rate.select(F.col("_source").alias("_s"), "rate")
+    d = documents.withColumn("_name", F.coalesce(F.col(source), F.lit("")))
+    if r.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES:
+        d = d.join(F.broadcast(r), F.col("_name") == F.col("_s"))
+    else:
+        r = r.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        d = d.withColumn("_mine", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")).join(r, (F.col("_name") == F.col("_s")) & (F.col("_mine") == F.col("_salt"))).drop("_mine", "_salt")
+    d = d.drop("_name")
     parts = F.ceil(F.col("rate") / BLOCK).cast("int")
     u = lambda j: unit_hash(F.lit(str(seed)), F.col(id_col).cast("string"), j.cast("string"))
     sums = F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda acc, j: acc + poisson_inverse(F.col("rate") / parts, u(j)))
