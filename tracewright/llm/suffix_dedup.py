@@ -17,8 +17,8 @@ Every byte under a string of LENGTH bytes that also starts elsewhere is found (a
 4. Reading repeats off. Neighbours in the order with a common prefix of CORE or more form a class.
    For every pair in a class, left agreement plus right agreement of LENGTH or more is a repeat;
    classes too large for pairs compare their members' windows by hash instead (exact as well).
-   Prefixes so frequent that a class could outgrow a task (HOT) never enter the sort: their windows
-   are counted by a shuffled aggregation.
+   Prefixes so frequent that a class could outgrow a task (HOT, and far above the mean) never enter
+   the sort: their windows are counted by a shuffled aggregation.
 
 Defined results: null and empty texts have no bytes; texts shorter than LENGTH lose nothing;
 repeated rows are copies of each other and lose all they share; matches never cross rows.
@@ -147,7 +147,8 @@ def core_table(texts: DataFrame, shape: Shape) -> tuple[np.ndarray, np.ndarray,
             for d in pdf["data"]:
                 body = np.frombuffer(zlib.decompress(d), np.uint32)
                 total[body[: len(body) // 2]] += body[len(body) // 2 :]
-        hot = np.flatnonzero(total >= shape.hot).astype(np.uint32)
+        # a cell is hot by itself and against the others: a full table makes none
+        hot = np.flatnonzero(total >= max(shape.hot, 64 * total.mean())).astype(np.uint32)
         yield pd.DataFrame({"slice": [key[0]], "bits": [zlib.compress(np.packbits(total > 1).tobytes(), 1)], "hot": [hot.tobytes()]})
 
     out = np.zeros((1 << (TABLE_BITS - SLICE_BITS), 1 << (SLICE_BITS - 3)), np.uint8)
