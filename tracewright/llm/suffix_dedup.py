@@ -121,19 +121,38 @@ def core_table(texts: DataFrame, shape: Shape) -> tuple[np.ndarray, np.ndarray,
     shift = np.uint64(64 - TABLE_BITS)
     low = (1 << SLICE_BITS) - 1
 
+    def pieces(cells: list, counts: list, ranks: list, heads: list) -> Iterator[pd.DataFrame]:
+        cell, where = np.unique(np.concatenate(cells), return_inverse=True)
+        n = np.bincount(where, np.concatenate(counts)).astype(np.uint32)
+        slices = np.unique(cell >> SLICE_BITS)
+        cut = np.searchsorted(cell, np.append(slices, slices[-1:] + 1) << SLICE_BITS)
+        body = [(cell[a:b] & low).astype(np.uint32).tobytes() + n[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        yield pd.DataFrame({"slice": slices, "rank": 0, "data": [zlib.compress(x, 1) for x in body]})
+        rank = np.concatenate(ranks)
+        some = np.argsort(rank)[:64]
+        yield pd.DataFrame({"slice": -1 - (rank[some] % np.uint64(SAMPLE_GROUPS)).astype(int), "rank": rank[some].astype(np.int64), "data": [heads[i] for i in some]})
+
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells, counts, ranks, heads = [], [], [], []
         for _, raw in _chunks(parts, []):
             c = Chunk(raw, shape)
-            cell, n = np.unique((c.core >> shift).astype(np.int64), return_counts=True)
-            for s in np.unique(cell >> SLICE_BITS):
-                a, b = np.searchsorted(cell, [s << SLICE_BITS, (s + 1) << SLICE_BITS])
-                body = (cell[a:b] & low).astype(np.uint32).tobytes() + np.minimum(n[a:b], 2**31).astype(np.uint32).tobytes()
-                yield pd.DataFrame({"slice": [int(s)], "rank": [0], "data": [zlib.compress(body, 1)]})
-            if len(c.at):
-                rank = mixed(c.core + c.at.astype(np.uint64)) >> np.uint64(1)
-                some = np.argsort(rank)[:64]
-                heads = [c.bytes[p : p + shape.core] for p in c.at[some].tolist()]
-                yield pd.DataFrame({"slice": -1 - (rank[some] % np.uint64(SAMPLE_GROUPS)).astype(int), "rank": rank[some].astype(np.int64), "data": heads})
+            if not len(c.at):
+                continue
+            # what counts is different contexts, since equal ones are settled where they stand; twice the same is 2
+            whole = mixed(range_hash(c.sums, c.lo, c.hi) + (c.at - c.lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            first = np.unique(whole, return_index=True)[1]
+            cell, where = np.unique((c.core >> shift).astype(np.int64), return_inverse=True)
+            cells.append(cell)
+            counts.append(np.maximum(np.bincount(where[first], minlength=len(cell)), np.minimum(np.bincount(where), 2)))
+            rank = mixed(c.core + c.at.astype(np.uint64)) >> np.uint64(1)
+            some = np.argsort(rank)[:64]
+            ranks.append(rank[some])
+            heads += [c.bytes[p : p + shape.core] for p in c.at[some].tolist()]
+            if sum(map(len, cells)) > 4_000_000:
+                yield from pieces(cells, counts, ranks, heads)
+                cells, counts, ranks, heads = [], [], [], []
+        if cells:
+            yield from pieces(cells, counts, ranks, heads)
 
     def add(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if key[0] < 0:  # the sample: the least ranks
@@ -479,12 +498,12 @@ def spans(documents: DataFrame, length: int = 200, id_col: str = "doc_id", text:
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits, hot, splitters = state.value
         for run in _runs(parts, shape, bits, hot):
-            for b, blob in run.pieces(splitters):
-                yield pd.DataFrame({"bucket": [b], "blob": [blob]})
+            rows = list(run.pieces(splitters))
             done = run.spans()
             for i in range(0, len(done), 50_000):  # to any bucket: they only pass through
                 blob = zlib.compress(done[i : i + 50_000].tobytes(), 1)
-                yield pd.DataFrame({"bucket": [-1 - zlib.crc32(blob) % buckets], "blob": [blob]})
+                rows.append((-1 - zlib.crc32(blob) % buckets, blob))
+            yield pd.DataFrame(rows, columns=["bucket", "blob"])
 
     def join(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["_id", "_tag", "a", "b"]
