@@ -44,7 +44,7 @@ TABLE_BITS, SLICE_BITS = 27, 20
 SAMPLE, SAMPLE_GROUPS = 20_480, 32
 #: Classes up to PAIRS distinct members are compared in pairs; prefixes from HOT on skip the sort.
 PAIRS, HOT = 32, 60_000
-CHUNK_BYTES, RUN_BYTES = 2_000_000, 10_000_000
+CHUNK_BYTES, RUN_BYTES = 1_000_000, 8_000_000
 
 
 class Shape:
