@@ -243,6 +243,31 @@ def test_lm_counts(spark):
     assert m.t[0, "u"].sum() == 40 and m.t[1, "b"].sum() == 20 and m.vocab == 3
 
 
+def test_lm_exact(spark):
+    """More distinct words than any fixed table had places: each n-gram keeps its own counts."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(4000)), i % 2 == 0) for i in range(60)] + [(100, "w0x0 w0x1 w0x0 w0x1", True), (101, "w0x1 never w0x0", False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, t boolean")
+    m = lm_score.learn(df, "t")
+    assert m.vocab == 240_001 and m.t[0, "u"].sum() == 240_007
+    words = {m: [x for i, t, g in rows if g or not m for x in t.split()] for m in (0, 1)}
+    count = lambda m, of: collections.Counter(x for i, t, g in rows if g or not m for x in of(["", *t.split()]))
+    of = {"u": lambda w: w[1:], "c": lambda w: w[:-1], "b": lambda w: list(zip(w, w[1:], strict=False))}
+    total = {(m, k): count(m, f) for m in (0, 1) for k, f in of.items()}
+    got = {r.doc_id: r for r in lm_score.scored(df, m, "t").collect()}
+    for i, t, g in rows:
+        w, mean = ["", *t.split()], {}
+        for m in (0, 1):
+            own = {k: collections.Counter(f(w)) if g or not m else {} for k, f in of.items()}
+            left = lambda k, x: total[m, k][x] - own[k].get(x, 0)  # noqa: B023, E731
+            size = len(words[m]) - (len(w) - 1) * (g or not m)
+            loss = []
+            for a, b in zip(w, w[1:], strict=False):
+                flat = (left("u", b) + 0.5) / (size + 0.5 * 240_001)
+                loss.append(-np.log(0.6 * (left("b", (a, b)) / left("c", a) if left("c", a) else flat) + 0.4 * flat))
+            mean[m] = np.mean(loss)
+        assert np.isclose(got[i].target_loss, mean[1]) and np.isclose(got[i].background_loss, mean[0]), i
+
+
 # --- suffix dedup ---
 
 

@@ -1,13 +1,15 @@
 """LM scoring: cross-entropy difference of a target and a background n-gram model.
 
 Both models are interpolated word bigrams over one shared vocabulary, counted over all documents:
-the background over the whole corpus, the target over the labelled good part. Counts live in
-tables of a fixed size (words and bigrams are hashed into BUCKETS places, a place being a word or
-bigram class of the shared vocabulary), so that neither model grows with the corpus. Tasks count
-into dense arrays that are cut into slices, compressed and summed by slice; no document's tokens
-pass through a shuffle. A document's score is the mean per-token loss under the target model
-minus that under the background model: lower means closer to the target. A document's own counts
-are taken out of the models that it was counted in, so that no document is scored by itself.
+the background over the whole corpus, the target over the labelled good part. N-grams are counted
+exactly (by 64-bit hashes, nothing is put into places of a table). Documents are dealt out to
+chunks of bounded size; each chunk sends its own distinct n-grams with their partial counts, in
+slices of the hash range, to the slices' tasks; these sum over all chunks and send each chunk the
+totals of just its n-grams, in the order in which they came. So a hot n-gram arrives at most once
+from each chunk, and no task holds more than one chunk or one slice. A document's score is the
+mean per-token loss under the target model minus that under the background model: lower means
+closer to the target. A document's own counts are taken out of the models that it was counted in,
+so that no document is scored by itself.
 
 Defined results: null and texts without words have n_tokens 0 and score 0; repeated rows count
 as often as they stand there; an empty target gives both models the same counts (score 0); other
@@ -18,145 +20,211 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Words, batches, mixed, table
 
-UNIGRAM_BITS, BIGRAM_BITS = 17, 20
-SLICE_BITS = 14
+#: Characters of a chunk of documents and those that a slice of the hash range stands for, on
+#: average; the numbers of both grow with the corpus. Small corpora are still dealt out.
+CHUNK_CHARS, SLICE_CHARS = 8_000_000, 8_000_000
+LEAST_CHUNKS, LEAST_SLICES = 64, 16
 #: Share of the bigram estimate, and the prior of the unigram estimate.
 LAMBDA, PRIOR = 0.6, 0.5
 START = np.uint64(0x5851F42D4C957F2D)
 BATCH_CHARS = 1_000_000
+#: Kinds of counts (words, bigrams, words as contexts): the lowest two bits of a key.
+KINDS = "ubc"
 
 
-def places(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token: its text, its place in the unigram table, and in the bigram table."""
+def keys(texts) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Of each token: its text, and its keys of each kind (START is the context at a text's head)."""
     w = Words(texts, "blank")
     doc = np.repeat(np.arange(len(texts)), np.diff(w.first))
     before = np.empty_like(w.hash)
     before[1:] = w.hash[:-1]
     before[w.first[:-1][np.diff(w.first) > 0]] = START
-    uni = w.hash >> np.uint64(64 - UNIGRAM_BITS)
-    bi = mixed(before * np.uint64(0x9E3779B97F4A7C15) + w.hash) >> np.uint64(64 - BIGRAM_BITS)
-    return doc, uni.astype(np.int64), bi.astype(np.int64)
+    raw = {"u": w.hash, "b": before * np.uint64(0x9E3779B97F4A7C15) + w.hash, "c": before}
+    return doc, {k: mixed(raw[k]) & ~np.uint64(3) | np.uint64(i) for i, k in enumerate(KINDS)}
 
 
-def context(texts) -> np.ndarray:
-    """Of each token, the unigram place of the token before it (of START at a text's head)."""
-    w = Words(texts, "blank")
-    before = np.empty_like(w.hash)
-    before[1:] = w.hash[:-1]
-    before[w.first[:-1][np.diff(w.first) > 0]] = START
-    return (before >> np.uint64(64 - UNIGRAM_BITS)).astype(np.int64)
+def _packed(x: np.ndarray) -> bytes:
+    """Unsigned values by byte planes, so that empty upper bytes cost nothing."""
+    return zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), 1)
 
 
-def _sizes() -> dict[str, int]:
-    return {"u": 1 << UNIGRAM_BITS, "b": 1 << BIGRAM_BITS, "c": 1 << UNIGRAM_BITS}
+def _unpacked(data: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-def counts(documents: DataFrame, target: str, text: str = "text") -> DataFrame:
-    """Slices of the count tables, summed: (model, kind, slice, data). ``target``: a boolean column;
-    its documents count for the target model, all documents for the background model."""
+class _Chunk:
+    """A chunk's tokens: their texts, and for each kind their places among its sorted distinct keys."""
 
-    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = {(m, k): np.zeros(n, np.int64) for m in (0, 1) for k, n in _sizes().items()}
-        for pdf in batches(parts, text, BATCH_CHARS):
-            texts = pdf[text].tolist()
-            doc, uni, bi = places(texts)
-            good = pdf[target].eq(True).to_numpy(bool)[doc]
-            for k, at in (("u", uni), ("b", bi), ("c", context(texts))):
-                n = len(sums[0, k])
-                sums[0, k] += np.bincount(at, minlength=n)
-                sums[1, k] += np.bincount(at[good], minlength=n)
-        yield from _slices(sums)
+    def __init__(self, pdf: pd.DataFrame, text: str):
+        docs, found, at = [], {k: [] for k in KINDS}, 0
+        for part in batches([pdf], text, BATCH_CHARS):
+            doc, own = keys(part[text].tolist())
+            docs.append(doc + at)
+            at += len(part)
+            for k in KINDS:
+                found[k].append(own[k])
+        self.doc = np.concatenate(docs) if docs else np.zeros(0, np.int64)
+        joined = np.concatenate([x for k in KINDS for x in found[k]]) if docs else np.zeros(0, np.uint64)
+        self.keys, where = np.unique(joined, return_inverse=True)
+        self.at = dict(zip(KINDS, where.reshape(3, -1), strict=True))
 
-    def add(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << SLICE_BITS, np.int64)
-        for pdf in frames:  # a slice's parts come in pieces, never all at once
-            for d in pdf["data"]:
-                total += np.frombuffer(zlib.decompress(d), np.int64)
-        yield pd.DataFrame({"model": [key[0]], "kind": [key[1]], "slice": [key[2]], "data": [zlib.compress(total.tobytes(), 1)]})
+    def cuts(self, slices: int) -> np.ndarray:
+        """Where the slices of the hash range begin among the keys."""
+        own = (self.keys >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)
+        return np.searchsorted(own, np.arange(slices + 1, dtype=np.uint64))
 
-    kind = "model int, kind string, slice int, data binary"
-    own = documents.select(text, target).mapInPandas(count, kind)
-    return own.groupBy("model", "kind", "slice").applyInPandas(add, kind)
+    def counted(self, tokens: np.ndarray | None = None) -> np.ndarray:
+        """How often each key stands in the chunk, or in the given tokens."""
+        return sum(np.bincount(a if tokens is None else a[tokens], minlength=len(self.keys)) for a in self.at.values()).astype(np.uint64)
 
 
-def _slices(sums: dict) -> Iterator[pd.DataFrame]:
-    for (model, kind), total in sums.items():
-        cut = total.reshape(-1, 1 << SLICE_BITS)
-        some = np.flatnonzero(cut.any(1))
-        yield pd.DataFrame({"model": model, "kind": kind, "slice": some, "data": [zlib.compress(cut[i].tobytes(), 1) for i in some]}).astype({"model": "int32", "slice": "int32"})
+def _marked(pdf: pd.DataFrame, target: str) -> pd.DataFrame:
+    """The documents of a chunk, with the target column set where labels came as rows of their own."""
+    label = pdf["_label"].to_numpy(bool)
+    own = pdf[~label].reset_index(drop=True)
+    if own["_key"].notna().any():
+        own[target] = own["_key"].notna() & own["_key"].isin(set(pdf["_key"][label]))
+    return own
 
 
 class Models:
-    """Log-probabilities of both models from their count tables (a fixed few MB)."""
-
-    def __init__(self, rows):
-        self.t = {(m, k): np.zeros(n, np.float32) for m in (0, 1) for k, n in _sizes().items()}
-        for r in rows:
-            self.t[r["model"], r["kind"]][r["slice"] << SLICE_BITS : (r["slice"] + 1) << SLICE_BITS] = np.frombuffer(zlib.decompress(r["data"]), np.int64)
-        #: without a target both models are the corpus
-        self.same = not self.t[1, "u"].any()
-        if self.same:
-            self.t |= {(1, k): self.t[0, k] for k in _sizes()}
-        #: shared vocabulary: the unigram places that the corpus uses
-        self.vocab = max(1, int((self.t[0, "u"] > 0).sum()))
-
-    def loss(self, m: int, at: dict[str, np.ndarray], own: dict[str, np.ndarray], n_own: np.ndarray) -> np.ndarray:
-        """The loss of each token; ``own`` and ``n_own``: what its document counts for itself."""
-        u, b, c = (np.maximum(self.t[m, k][at[k]] - own[k], 0) for k in "ubc")
-        flat = (u + PRIOR) / (np.maximum(self.t[m, "u"].sum(dtype=np.float64) - n_own, 0) + PRIOR * self.vocab)
-        pair = np.where(c > 0, np.minimum(b, c) / np.maximum(c, 1), flat)
-        return -np.log(LAMBDA * pair + (1 - LAMBDA) * flat)
+    """The exact counts of both models, held as what each chunk of the documents needs of them."""
+
+    def __init__(self, dealt: DataFrame, target: str, text: str, slices: int):
+        self.dealt, self.target, self.text, self.slices = dealt, target, text, slices
+        self.answers = _answers(_partials(dealt, target, text, slices))
+
+    @cached_property
+    def totals(self) -> np.ndarray:
+        """Of each slice: the tokens counted for the background by kind, for the target by kind, and the distinct words."""
+        one = self.answers.groupBy("slice").agg(F.first("sums").alias("sums")).select("sums")
+        return np.array([r["sums"] for r in one.collect()], np.int64).reshape(-1, 7)
+
+    @property
+    def t(self) -> dict[tuple[int, str], np.ndarray]:
+        return {(m, k): self.totals[:, 3 * m + i] for m in (0, 1) for i, k in enumerate(KINDS)}
+
+    @property
+    def vocab(self) -> int:
+        """Shared vocabulary: the distinct words of the corpus."""
+        return max(1, int(self.totals[:, 6].sum()))
+
+
+def _partials(dealt: DataFrame, target: str, text: str, slices: int) -> DataFrame:
+    """(chunk, slice, keys, n, good): each chunk's distinct keys of each slice with their counts."""
+
+    def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own = _marked(pdf, target)
+        c = _Chunk(own, text)
+        n, good = c.counted(), c.counted(own[target].eq(True).to_numpy(bool)[c.doc])
+        cut = c.cuts(slices)
+        rows = [(key[0], s, _packed(np.diff(c.keys[a:b], prepend=np.uint64(0))), _packed(n[a:b]), _packed(good[a:b])) for s, (a, b) in enumerate(zip(cut, cut[1:], strict=False))]
+        return pd.DataFrame(rows, columns=["chunk", "slice", "keys", "n", "good"])
+
+    return dealt.groupBy("_chunk").applyInPandas(count, "chunk long, slice long, keys binary, n binary, good binary")
+
+
+def _answers(partials: DataFrame) -> DataFrame:
+    """(chunk, slice, n, good, sums): the corpus's counts of each chunk's keys, in the chunk's order,
+    and the slice's totals."""
+
+    def add(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunk, own, n, good = [], [], [], []
+        for pdf in frames:
+            chunk += pdf["chunk"].tolist()
+            own += [np.cumsum(_unpacked(d, np.uint64), dtype=np.uint64) for d in pdf["keys"]]
+            n += [_unpacked(d, np.uint64).astype(np.uint32) for d in pdf["n"]]
+            good += [_unpacked(d, np.uint64).astype(np.uint32) for d in pdf["good"]]
+        first = np.cumsum([0] + [len(x) for x in own])
+        known, where = np.unique(np.concatenate(own), return_inverse=True)
+        del own
+        all_n, all_good = (np.bincount(where, np.concatenate(x), len(known)).astype(np.uint64) for x in (n, good))
+        kind = (known & np.uint64(3)).astype(np.int64)
+        sums = [int(x[kind == i].sum()) for x in (all_n, all_good) for i in range(3)] + [int((kind == 0).sum())]
+        for i, c in enumerate(chunk):
+            mine = where[first[i] : first[i + 1]]
+            yield pd.DataFrame({"chunk": [c], "slice": [key[0]], "n": [_packed(all_n[mine])], "good": [_packed(all_good[mine])], "sums": [sums]})
+
+    return partials.groupBy("slice").applyInPandas(add, "chunk long, slice long, n binary, good binary, sums array<long>")
+
+
+def _dealt(documents: DataFrame, chunk: Column, target: Column, name: str, label: bool = False, key: Column | None = None) -> DataFrame:
+    return documents.withColumns({name: target, "_chunk": chunk, "_label": F.lit(label), "_key": F.lit(None).cast("string") if key is None else key})
+
+
+def _sizes(documents: DataFrame, text: str) -> tuple[int, int]:
+    """Chunks and slices for a corpus, by its characters."""
+    chars = documents.agg(F.sum(F.length(text))).first()[0] or 0
+    return max(LEAST_CHUNKS, -(-chars // CHUNK_CHARS)), max(LEAST_SLICES, -(-chars // SLICE_CHARS))
 
 
 def learn(documents: DataFrame, target: str, text: str = "text") -> Models:
-    """Both models; what reaches the driver are the summed tables, of a fixed size."""
-    return Models(counts(documents, target, text).toLocalIterator())
+    """Both models. ``target``: a boolean column; its documents count for the target model, all
+    documents for the background model. Nothing but the corpus's size reaches the driver."""
+    chunks, slices = _sizes(documents, text)
+    chunk = F.pmod(F.xxhash64(*documents.columns), F.lit(chunks))
+    return Models(_dealt(documents, chunk, F.col(target), target), target, text, slices)
 
 
 def _own(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
     """How often each token's place stands in its own text."""
-    _, where, n = np.unique(doc << 24 | at, return_inverse=True, return_counts=True)
+    _, where, n = np.unique(doc << 32 | at, return_inverse=True, return_counts=True)
     return n[where]
 
 
 def scored(documents: DataFrame, models: Models, target: str, text: str = "text") -> DataFrame:
     """The documents with n_tokens, target_loss and background_loss (means per token) and score.
 
-    ``target``: the column that ``counts`` went by.
+    ``documents`` and ``target``: those that ``learn`` counted.
     """
     keep = [c for c in documents.columns if c not in ("n_tokens", "target_loss", "background_loss", "score")]
-    state = documents.sparkSession.sparkContext.broadcast(models)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches(parts, text, BATCH_CHARS):
-            texts = pdf[text].tolist()
-            doc, uni, bi = places(texts)
-            at = {"u": uni, "b": bi, "c": context(texts)}
-            n = np.bincount(doc, minlength=len(pdf))
-            good = (pdf[target].eq(True) | state.value.same).to_numpy(bool)[doc].astype(np.int64)
-            own = {k: _own(doc, v) for k, v in at.items()}
-            mean = []
-            for m, counted in ((1, good), (0, 1)):
-                loss = state.value.loss(m, at, {k: v * counted for k, v in own.items()}, n[doc] * counted)
-                mean.append(np.bincount(doc, loss, len(pdf)) / np.maximum(n, 1))
-            yield pdf.assign(n_tokens=n.astype(np.int64), target_loss=mean[0], background_loss=mean[1], score=mean[0] - mean[1])
+    slices = models.slices
+
+    def run(key: tuple, pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        own = _marked(pdf, target)
+        c = _Chunk(own, text)
+        answers = answers.sort_values("slice")
+        total = {m: np.concatenate([_unpacked(d, np.uint64) for d in answers[k]] or [np.zeros(0)]).astype(np.float64) for m, k in ((0, "n"), (1, "good"))}
+        if len(answers) != slices or len(total[0]) != len(c.keys):
+            raise ValueError("these documents are not those that the models counted")
+        sums = np.array(answers["sums"].tolist(), np.int64).sum(0)
+        words, vocab, same = {0: sums[0], 1: sums[3]}, max(1, sums[6]), not sums[3]
+        if same:  # without a target both models are the corpus
+            total[1], words[1] = total[0], words[0]
+        n = np.bincount(c.doc, minlength=len(own))
+        good = (own[target].eq(True) | same).to_numpy(bool)[c.doc].astype(np.int64)
+        stands = {k: _own(c.doc, c.at[k]) for k in KINDS}
+        mean = []
+        for m, counted in ((1, good), (0, 1)):
+            u, b, before = (total[m][c.at[k]] - stands[k] * counted for k in KINDS)
+            flat = (u + PRIOR) / (words[m] - n[c.doc] * counted + PRIOR * vocab)
+            loss = -np.log(LAMBDA * np.where(before > 0, b / np.maximum(before, 1), flat) + (1 - LAMBDA) * flat)
+            mean.append(np.bincount(c.doc, loss, len(own)) / np.maximum(n, 1))
+        return own[keep].assign(n_tokens=n.astype(np.int64), target_loss=mean[0], background_loss=mean[1], score=mean[0] - mean[1])
 
     kind = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
-    return documents.select(*keep).mapInPandas(run, f"{kind}, n_tokens long, target_loss double, background_loss double, score double")
+    both = models.dealt.groupBy("_chunk").cogroup(models.answers.groupBy("chunk"))
+    return both.applyInPandas(run, f"{kind}, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents against the documents labelled good; the label table joins by doc_id alone."""
+    """All documents against the documents labelled good; the labels go to their documents' chunks."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(True))
-    # the same join at every size: a broadcast that fits only small label tables would change the plan
-    marked = docs.join(good.hint("merge"), "doc_id", "left").withColumn("good", F.coalesce("good", F.lit(False)))
-    return scored(marked, learn(marked, "good"), "good").select("doc_id", "n_tokens", "target_loss", "background_loss", "score")
+    good = table(spark, sf_dir, "labels").filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType), F.lit(None).cast("string").alias("text"))
+    chunks, slices = _sizes(docs, "text")
+    key = F.col("doc_id").cast("string")
+    # rows without an id have no label and are dealt out by their texts
+    chunk = F.pmod(F.xxhash64(F.coalesce(key, F.col("text"))), F.lit(chunks))
+    dealt = _dealt(docs, chunk, F.lit(False), "good", key=key).union(_dealt(good.distinct(), chunk, F.lit(False), "good", label=True, key=key))
+    models = Models(dealt, "good", "text", slices)
+    return scored(docs, models, "good").select("doc_id", "n_tokens", "target_loss", "background_loss", "score")
