@@ -198,6 +198,30 @@ def test_line_frequency(spark):
     assert quality_rules.cleaned(df.limit(0)).count() == 0
 
 
+def test_line_frequency_large_host(spark):
+    """The limit is a number of documents: a larger host does not loosen it."""
+    own = lambda i: " ".join(f"own{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}{chr(97 + i // 676)}w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    stock = " ".join(f"stock{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(80))
+    rows = [(i, f"{stock}\n{own(i)}" if i < 21 else own(i), "big") for i in range(1000)] + [(2000 + i, f"{stock}\n{own(i)}", "small") for i in range(20)]
+    got = {r.doc_id: r for r in quality_rules.cleaned(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert not any(got[i].kept for i in range(21)) and all(got[i].clean_text == own(i) for i in range(21))
+    assert all(got[i].kept and got[i].clean_text == got[i].text for i in [*range(21, 1000), *range(2000, 2020)])
+
+
+def test_line_frequency_given(spark):
+    """In sf0.1 the stock lines go, from the documents that hold them and from no others."""
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "source")
+    holders, texts = collections.defaultdict(set), {}
+    normal = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", re.sub("[0-9]+", "0", re.sub("[A-Z]+", lambda m: m[0].lower(), x))).strip(" ")
+    for r in d.collect():
+        texts[r.doc_id] = r.text or ""
+        for x in {normal(x) for x in texts[r.doc_id].split("\n")} - {""}:
+            holders[r.source, x].add(r.doc_id)
+    want = {i for ids in holders.values() if len(ids) > 20 for i in ids}
+    assert len(want) > 1000
+    assert {r.doc_id for r in quality_rules.line_losses(d).select("doc_id").collect()} == want
+
+
 # --- mixing ---
 
 

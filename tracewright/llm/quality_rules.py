@@ -1,8 +1,8 @@
 """Quality rules: per-document rules, and the frequency of normalised lines across documents.
 
 Lines are normalised (ASCII lower case, numbers to 0, white space to one space, trimmed), hashed
-and counted once per document and host; lines of more documents than a host's limit are removed,
-and a document that loses too much is rejected. Counting is two-level (host and line as key, with
+and counted once per document and host; lines of more than LINE_FLOOR documents of a host are
+removed, whatever the host's size, and a document that loses too much is rejected. Counting is two-level (host and line as key, with
 partial sums before the shuffle), so that neither a large host nor a frequent line meets in one
 task. Only DataFrame functions are used.
 
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS, ascii_lower, table
 
-#: A host's limit: a line may stand in this share of the host's documents, and in LINE_FLOOR anyway.
-LINE_SHARE, LINE_FLOOR = 0.2, 20
+#: A line may stand in so many documents of a host; the limit is the same for hosts of every size.
+LINE_FLOOR = 20
 #: A document is depleted with fewer words left, or a smaller share of them.
 LEAST_WORDS, LEAST_SHARE = 25, 0.5
 MIN_WORDS, REPEAT_NUM, REPEAT_DEN = 50, 50, 100
@@ -88,17 +88,15 @@ def line_table(documents: DataFrame, host: str = "source", text: str = "text") -
     return one.select("doc_id", "host", F.col("x.h").alias("line"), F.col("x.n").alias("n_words"))
 
 
-def frequent_lines(lines: DataFrame, documents: DataFrame, host: str = "source", share: float = LINE_SHARE, floor: int = LINE_FLOOR) -> DataFrame:
-    """(host, line) of all lines above their host's limit."""
-    hosts = documents.groupBy(F.coalesce(F.col(host), F.lit("")).alias("host")).agg(F.count("*").alias("n_docs"))
-    counted = lines.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > floor)
-    return counted.join(hosts, "host").filter(F.col("n") > share * F.col("n_docs")).select("host", "line")
+def frequent_lines(lines: DataFrame, floor: int = LINE_FLOOR) -> DataFrame:
+    """(host, line) of all lines that more than ``floor`` documents of the host hold."""
+    return lines.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > floor).select("host", "line")
 
 
-def line_losses(documents: DataFrame, host: str = "source", text: str = "text", share: float = LINE_SHARE, floor: int = LINE_FLOOR) -> DataFrame:
+def line_losses(documents: DataFrame, host: str = "source", text: str = "text", floor: int = LINE_FLOOR) -> DataFrame:
     """(doc_id, removed): the hashes of the lines that each document loses; other documents have no row."""
     lines = line_table(documents, host, text)
-    gone = lines.join(frequent_lines(lines, documents, host, share, floor), ["host", "line"], "left_semi")
+    gone = lines.join(frequent_lines(lines, floor), ["host", "line"], "left_semi")
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
 
 
