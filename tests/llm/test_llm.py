@@ -392,6 +392,17 @@ def test_html_table(spark, sf):
     assert all(r.text for r in html_extract.op10_html_extract(spark, sf).collect())
 
 
+def test_html_uneven_sections():
+    """Short sections, lists, tables, captions and bare text beside a long section stay, in page order."""
+    long = "".join(f"<p>Long {i}, " + "word, " * 3 + "x" * 80 + "</p>" for i in range(12))
+    parts = f"Lead text.<section><h2>A</h2>{long}</section><section><h2>B</h2><p>Short section, it says little.</p></section><ul><li>item</li></ul><table><tr><td>cell</td></tr></table><figure><figcaption>caption</figcaption></figure><p>End.</p>"
+    menu = "<div>" + "".join(f'<a href="/{i}">Link {i}</a> ' for i in range(30)) + "</div>"
+    for page in (f"<body>{menu}<article>{parts}</article></body>", f"<body>{menu}<main><div>{parts}</div></main></body>", f"<body>{menu}<div>{parts}</div></body>", f"<body>{menu}{parts}</body>"):
+        got = html_extract.main_text(page).split("\n\n")
+        assert [x for x in got if not x.startswith("Long ")] == ["Lead text.", "A", "B", "Short section, it says little.", "item", "cell", "caption", "End."], page[-40:]
+        assert len(got) == 20
+
+
 # --- pipeline ---
 
 

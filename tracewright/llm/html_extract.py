@@ -2,7 +2,8 @@
 
 A page is read into a tree; each paragraph-like block gives points for its length and commas to
 its parent and, halved, to its grandparent, discounted by the share of its text in links. The
-best-scoring container is kept with those siblings that score near it or read like text. Page
+best-scoring container is widened to the article (or main, or section of sibling parts) around it,
+and all of that is kept in page order, with those siblings that are not mostly links. Page
 furniture (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
 comments) is left out before scoring, by tag, role, or words of class and id.
 
@@ -35,6 +36,8 @@ UNLIKELY = re.compile(rf"(?:^|[\s_-])(?:{UNLIKELY_WORDS.replace(' ', '|')})(?:$|
 LIKELY = re.compile(r"article|content|entry|main|post|story|text|body", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form note".split())
 SCORED = frozenset("p pre td blockquote li dd div section article h2 h3".split())
+#: A part of the page with this share of its text in links is no text.
+MOST_LINKS = 0.25
 CLOSES = {"p": BLOCK - {"caption", "html", "body", "td", "th", "tr", "tbody", "thead", "tfoot"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 
 
@@ -161,18 +164,34 @@ def best(root: Node) -> list[Node]:
     top = max(nodes, key=lambda n: n.score, default=root)
     if top.score <= 0:
         return [root]
+    top = _whole(top, size)
     if top.parent is None:
         return [top]
-    kept = []
-    for c in top.parent.children:
-        if not isinstance(c, Node) or c.off:
-            continue
-        text, links, _ = size[c]
-        near = c.score >= max(10.0, 0.2 * top.score) and (c.tag == top.tag or c.names == top.names)
-        reads = c.tag in ("p", "h1", "h2", "h3", "blockquote", "pre") and text and links / text < 0.25 and (text > 80 or top.tag == c.tag or c.tag[0] == "h")
-        if c is top or near or reads:
-            kept.append(c)
-    return kept
+    return [c for c in top.parent.children if c is top or _reads(c, size)]
+
+
+def _linked(n: Node, size: dict) -> bool:
+    text, links, _ = size[n]
+    return links >= MOST_LINKS * text
+
+
+def _whole(top: Node, size: dict) -> Node:
+    """The outermost article (else main) around the best node, else the section or div whose parts
+    it and its siblings are, where little of that is links; else the node itself."""
+    around, up = {}, top
+    while up is not None:
+        around[up.tag] = up
+        up = up.parent
+    if found := around.get("article") or around.get("main"):
+        return found
+    return top.parent if top.parent is not None and top.parent.tag in ("section", "div") and not _linked(top.parent, size) else top
+
+
+def _reads(c: Node | str, size: dict) -> bool:
+    """Whether a sibling of the kept container is text: all that has some and isn't mostly links."""
+    if isinstance(c, str):
+        return bool(c.strip())
+    return not c.off and size[c][0] > 0 and not _linked(c, size)
 
 
 def blocks(nodes: list[Node]) -> list[str]:
