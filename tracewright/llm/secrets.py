@@ -28,7 +28,8 @@ HEX = r"[0-9a-f]{24,}"
 ASSIGN_LEAST = 6
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+CANDIDATE_LEAST = 16
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{CANDIDATE_LEAST},}}"
 #: Bounds of the labelled sample: documents looked at, and tokens of each label.
 SAMPLE_DOCS, SAMPLE_TOKENS = 400, 20_000
 #: A token is taken where the ratio is at least LEAST_TOTAL and LEAST_MEAN for each step (nats).
@@ -103,14 +104,27 @@ def ratio(token: Column, model: list[float]) -> Column:
     return F.aggregate(F.split(token, ""), zero, step, lambda acc: acc["s"])
 
 
+def _pieces(s: Column, base: Column) -> Column:
+    """What the base spans (sorted by start) leave of a candidate, where it is long enough for one."""
+    piece = lambda a, b: F.struct(a.cast("int").alias("start"), s["kind"].alias("kind"), b.cast("int").alias("end"))
+    some = lambda a, b: F.filter(F.array(piece(a, b)), lambda p: p["end"] - p["start"] >= CANDIDATE_LEAST)
+    zero = F.struct(s["start"].alias("at"), F.filter(F.array(piece(s["start"], s["start"])), lambda p: p["end"] > p["start"]).alias("out"))
+
+    def step(acc: Column, b: Column) -> Column:
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], some(acc["at"], b["start"])).alias("out"))
+
+    over = F.filter(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    return F.aggregate(over, zero, step, lambda acc: F.concat(acc["out"], some(acc["at"], s["end"])))
+
+
 def scan(documents: DataFrame, model: list[float], text: str = "text") -> DataFrame:
     """The documents with ``base`` and ``spans``, arrays of (start, kind, end); kind counts in KINDS."""
     d = documents.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
     d = d.withColumn("base", base_spans(F.col("_t"))).withColumn("_c", _matches(F.col("_t"), CANDIDATE, 3))
     cut = lambda s: F.col("_t").substr(s["start"] + 1, s["end"] - s["start"])
-    free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    d = d.withColumn("_c", F.when(F.size("base") > 0, F.flatten(F.transform("_c", lambda s: _pieces(s, F.col("base"))))).otherwise(F.col("_c")))
     d = d.withColumn("_s", F.transform("_c", lambda s: F.struct(s.alias("s"), ratio(cut(s), model).alias("r"))))
-    random = lambda x: (x["r"] >= LEAST_TOTAL) & (x["r"] >= LEAST_MEAN * (x["s"]["end"] - x["s"]["start"])) & free(x["s"])
+    random = lambda x: (x["r"] >= LEAST_TOTAL) & (x["r"] >= LEAST_MEAN * (x["s"]["end"] - x["s"]["start"]))
     added = F.transform(F.filter("_s", random), lambda x: x["s"])
     return d.withColumn("spans", F.sort_array(F.concat("base", added))).drop("_t", "_c", "_s")
 
