@@ -1,5 +1,7 @@
 """Plans: what must not be in them, and what the scans read."""
 
+import re
+
 import pytest
 
 from tracewright.plans import registry
@@ -24,6 +26,12 @@ def test_no_product_of_rows(spark, sf, name):
         assert "BroadcastNestedLoopJoin" not in text
 
 
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - EAGER))
+def test_frames_grow_from_one_end(spark, sf, name):
+    """A frame that moves its start and reaches to the end is computed anew for each row."""
+    assert not re.search(r"specifiedwindowframe\(\w+, (?!unboundedpreceding)[^,]+, unboundedfollowing", plan(registry.QUERIES[name](spark, sf)))
+
+
 def test_scans_read_what_they_need(spark, sf):
     text = plan(registry.QUERIES["contact_bouts"](spark, sf))
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,value:double>" in text

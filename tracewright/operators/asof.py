@@ -1,7 +1,8 @@
 """As-of, nearest and range joins.
 
-As-of joins are one union, one sort per key and a running last value: no row meets more than its
-neighbours. Range joins are equi-joins on time bins.
+As-of joins are one union, one sort per key and direction, and a running last value: no row meets
+more than its neighbours, and each frame grows by one row at a time. Rows of one time go by their
+values. Range joins are equi-joins on time bins.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-START, END = Window.unboundedPreceding, Window.unboundedFollowing
+START = Window.unboundedPreceding
 
 
 def _union(left: DataFrame, right: DataFrame, keys, t: str, value: str, right_first: bool) -> DataFrame:
@@ -20,13 +21,22 @@ def _union(left: DataFrame, right: DataFrame, keys, t: str, value: str, right_fi
     return a.unionByName(b, allowMissingColumns=True)
 
 
+def _before(keys) -> Column:
+    """The last right value at or before each row."""
+    return F.last("_v", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_t", "_s", "_v").rowsBetween(START, 0))
+
+
+def _after(keys, own: bool = False) -> Column:
+    """The first right value after each row (``own``: the row itself included), as a running last
+    value in descending order: a frame that reaches forward is computed anew for every row."""
+    return F.last("_v", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc("_t"), F.desc("_s"), F.desc("_v")).rowsBetween(START, 0 if own else -1))
+
+
 def backward(left: DataFrame, right: DataFrame, keys, t: str, value: str, out: str, clamp: bool = False) -> DataFrame:
     """The right value at or before each left time; with ``clamp`` the first one where none is before."""
-    w = Window.partitionBy(*keys).orderBy("_t", "_s")
-    u = _union(left, right, keys, t, value, True)
-    u = u.withColumn("_b", F.last("_v", ignorenulls=True).over(w.rowsBetween(START, 0)))
+    u = _union(left, right, keys, t, value, True).withColumn("_b", _before(keys))
     if clamp:
-        u = u.withColumn("_b", F.coalesce("_b", F.first("_v", ignorenulls=True).over(w.rowsBetween(START, END))))
+        u = u.withColumn("_b", F.coalesce("_b", F.min("_v").over(Window.partitionBy(*keys))))
     return u.filter("_l is not null").select("_l.*", F.col("_b.v").alias(out))
 
 
@@ -35,10 +45,8 @@ def nearest(left: DataFrame, right: DataFrame, keys, t: str, value: str, out: st
 
     Left rows without a partner within the tolerance are dropped.
     """
-    w = Window.partitionBy(*keys).orderBy("_t", "_s")
     u = _union(left, right, keys, t, value, True)
-    u = u.withColumn("_b", F.last("_v", ignorenulls=True).over(w.rowsBetween(START, 0))).withColumn("_a", F.first("_v", ignorenulls=True).over(w.rowsBetween(1, END)))
-    u = u.filter("_l is not null")
+    u = u.withColumn("_b", _before(keys)).withColumn("_a", _after(keys)).filter("_l is not null")
     back, ahead = F.col("_t") - F.col("_b.t"), F.col("_a.t") - F.col("_t")
     first = back.isNotNull() & (ahead.isNull() | (back < ahead if later else back <= ahead))
     u = u.withColumn("_g", F.when(first, back).otherwise(ahead)).withColumn("_p", F.when(first, F.col("_b.v")).otherwise(F.col("_a.v")))
@@ -50,9 +58,8 @@ def nearest(left: DataFrame, right: DataFrame, keys, t: str, value: str, out: st
 
 def interpolated(left: DataFrame, right: DataFrame, keys, t: str, value: str, out: str) -> DataFrame:
     """Linear interpolation of the right series at the left times, held at its ends."""
-    w = Window.partitionBy(*keys).orderBy("_t", "_s")
     u = _union(left, right, keys, t, value, True)
-    u = u.withColumn("_b", F.last("_v", ignorenulls=True).over(w.rowsBetween(START, 0))).withColumn("_a", F.first("_v", ignorenulls=True).over(w.rowsBetween(1, END))).filter("_l is not null")
+    u = u.withColumn("_b", _before(keys)).withColumn("_a", _after(keys)).filter("_l is not null")
     span = F.col("_a.t") - F.col("_b.t")
     mid = F.col("_b.v") + (F.col("_a.v") - F.col("_b.v")) * (F.col("_t") - F.col("_b.t")) / span
     return u.select("_l.*", F.when(F.col("_b").isNull(), F.col("_a.v")).when(F.col("_a").isNull() | (span <= 0), F.col("_b.v")).otherwise(mid).alias(out))
@@ -63,9 +70,8 @@ def bracket_slope(left: DataFrame, right: DataFrame, keys, t: str, value: str, o
     last pair beyond the end."""
     w = Window.partitionBy(*keys).orderBy(t)
     pair = right.select(*keys, F.col(t), ((F.col(value) - F.lag(value).over(w)) / F.nullif(F.col(t) - F.lag(t).over(w), F.lit(0.0))).alias("_slope")).filter("_slope is not null")
-    o = Window.partitionBy(*keys).orderBy("_t", "_s")
     u = _union(left, pair, keys, t, "_slope", False)
-    u = u.withColumn("_a", F.first("_v", ignorenulls=True).over(o.rowsBetween(0, END))).withColumn("_z", F.last("_v", ignorenulls=True).over(o.rowsBetween(START, END)))
+    u = u.withColumn("_a", _after(keys, own=True)).withColumn("_z", F.max("_v").over(Window.partitionBy(*keys)))
     return u.filter("_l is not null").select("_l.*", F.coalesce("_a.v", "_z.v").alias(out))
 
 

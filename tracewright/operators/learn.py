@@ -24,10 +24,13 @@ def scores(pairs: DataFrame, truth: str, predicted: str) -> DataFrame:
 
 
 def percentile_of(values: DataFrame, cases: DataFrame, keys, x: str) -> DataFrame:
-    """Each case with the share of its class's values that are no greater."""
-    a = values.select(*keys, F.col(x), F.lit(1).alias("_k")).unionByName(cases.select(*keys, F.col(x), F.lit(0).alias("_k"), *[c for c in cases.columns if c not in (*keys, x)]), allowMissingColumns=True)
-    w = Window.partitionBy(*keys)
-    return a.withColumn("share", F.sum("_k").over(w.orderBy(x).rangeBetween(Window.unboundedPreceding, 0)) / F.sum("_k").over(w)).filter("_k = 0").drop("_k")
+    """Each case with the share of its class's values that are no greater: running sums over the
+    distinct values of a class, so that no class meets in one task. Cases without a value go."""
+    from .stats import running
+
+    both = values.select(*keys, x, F.lit(1).alias("_v")).unionByName(cases.select(*keys, x, F.lit(0).alias("_v")))
+    r = running(both, keys, x, {"k": F.sum("_v")}).select(*keys, x, ((F.col("k_below") + F.col("k")) / F.col("k_total")).alias("share"))
+    return cases.join(r, [*keys, x])
 
 
 def _vectors(df: DataFrame, vec: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import asof, islands
 
-START, END = Window.unboundedPreceding, Window.unboundedFollowing
+START = Window.unboundedPreceding
 
 
 def sustained_rise(df: DataFrame, keys, order, t: str, rate: Column, least: float, hold: int) -> DataFrame:
@@ -79,7 +79,7 @@ def backfilled(events: DataFrame, key: str, reach: float, lead: float) -> DataFr
 
 def peeled(events: DataFrame, key: str, quiet: float, late: float) -> DataFrame:
     """A drop without a new onset for ``quiet`` after it and with a release within ``late`` is a release."""
-    ahead = Window.partitionBy(key).orderBy("start").rowsBetween(1, END)
+    ahead = Window.partitionBy(key).orderBy(F.desc("start")).rowsBetween(START, -1)
     onset = F.min(F.when(F.col("kind") == "onset", F.col("start"))).over(ahead)
     release = F.min(F.when(F.col("kind") == "release", F.col("start"))).over(ahead)
     d = events.withColumn("_o", onset).withColumn("_r", release)

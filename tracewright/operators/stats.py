@@ -23,12 +23,44 @@ def upper_median(x: str) -> Column:
 
 
 def rank_value(df: DataFrame, keys, x: str, share: float, out: str) -> DataFrame:
-    """sorted[floor(share * n)] of each group, by row numbers (no group is gathered in a row)."""
+    """sorted[floor(share * n)] of each episode, by row numbers; ``rank_values`` is for large groups."""
     w = Window.partitionBy(*keys)
     d = df.filter(F.col(x).isNotNull()).select(*keys, x, F.row_number().over(w.orderBy(x)).alias("_r"), F.count("*").over(w).alias("_n"))
     return d.filter(F.col("_r") == F.least(F.floor(F.col("_n") * share) + 1, F.col("_n"))).select(*keys, F.col(x).alias(out))
 
 
+def running(df: DataFrame, keys, x: str, measures: dict[str, Column]) -> DataFrame:
+    """(keys, x, measures, <m>_below, <m>_total): sums for each distinct value, over all lesser values
+    of its group, and over the group.
+
+    Two levels: values are counted first, then dealt to BINS equal ranges of the group's values, whose
+    sums run over at most BINS rows; so a group of any size is spread over many tasks. Null values go.
+    """
+    c = df.filter(F.col(x).isNotNull()).groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], x).agg(*[m.alias(n) for n, m in measures.items()])
+    own = [f"_k{i}" for i in range(len(keys))]
+    ends = c.groupBy(*[F.col(k).alias(f"{k}_") for k in own]).agg(F.min(x).cast("double").alias("_lo"), F.max(x).cast("double").alias("_hi"))
+    equal = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in own]
+    part = c.join(ends, equal) if own else c.crossJoin(F.broadcast(ends))
+    place = F.floor((F.col(x).cast("double") - F.col("_lo")) * BINS / (F.col("_hi") - F.col("_lo")))
+    part = part.withColumn("_p", F.when(F.col("_hi") > F.col("_lo"), place).otherwise(0)).drop("_lo", "_hi", *[f"{k}_" for k in own])
+    sums = part.groupBy(*own, "_p").agg(*[F.sum(n).alias(n) for n in measures])
+    w = Window.partitionBy(*own)
+    before = w.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(*[F.col(k).alias(f"{k}_") for k in own], F.col("_p").alias("_p_"), *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_base") for n in measures], *[F.sum(n).over(w).alias(f"{n}_total") for n in measures])
+    inner = Window.partitionBy(*own, "_p").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    d = part.select("*", *[F.coalesce(F.sum(n).over(inner), F.lit(0)).alias(f"{n}_own") for n in measures])
+    d = d.join(base, [*equal, F.col("_p") == F.col("_p_")])
+    return d.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], x, *measures, *[(F.col(f"{n}_base") + F.col(f"{n}_own")).alias(f"{n}_below") for n in measures], *[f"{n}_total" for n in measures])
+
+
+def rank_values(df: DataFrame, keys, x: str, shares: dict[str, float]) -> DataFrame:
+    """sorted[floor(share * n)] of few large groups, for several shares at once."""
+    r = running(df, keys, x, {"n": F.count("*")})
+    at = lambda p: F.least(F.floor(F.col("n_total") * p), F.col("n_total") - 1)
+    hit = lambda p: (F.col("n_below") <= at(p)) & (at(p) < F.col("n_below") + F.col("n"))
+    return r.groupBy(*keys).agg(*[F.max(F.when(hit(p), F.col(x))).alias(out) for out, p in shares.items()])
+
+
 def min_max(df: DataFrame, columns) -> DataFrame:
     """(column, min, max) of the finite values, to 3 digits."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("e")).select("e.*")
@@ -155,18 +187,9 @@ def average_ranks(df: DataFrame, keys, x: str, out: str) -> DataFrame:
 
 
 def mann_whitney(df: DataFrame, group: str, x: str) -> DataFrame:
-    """One row: n1, n2, U and AUC = U / (n1 n2) of group true over group false.
-
-    Values are counted first; ranks are then running sums over the distinct values.
-    """
-    c = df.filter(F.col(x).isNotNull()).groupBy(x).agg(F.count_if(F.col(group)).alias("a"), F.count_if(~F.col(group)).alias("b"))
-    # negatives below each value: a running sum in two levels, by BINS equal ranges of the values
-    ends = c.agg(F.min(x).cast("double").alias("_lo"), F.max(x).cast("double").alias("_hi"))
-    part = c.crossJoin(F.broadcast(ends)).withColumn("_p", F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(x) - F.col("_lo")) * BINS / (F.col("_hi") - F.col("_lo")))).otherwise(0))
-    sums = part.groupBy("_p").agg(F.sum("b").alias("s"))  # BINS + 1 rows at most
-    base = sums.select("_p", F.coalesce(F.sum("s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    own = F.coalesce(F.sum("b").over(Window.partitionBy("_p").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    d = part.join(F.broadcast(base), "_p").withColumn("below", F.col("base") + own)
+    """One row: n1, n2, U and AUC = U / (n1 n2) of group true over group false, by running sums over
+    the distinct values."""
+    d = running(df, [], x, {"a": F.count_if(F.col(group)), "b": F.count_if(~F.col(group))}).withColumn("below", F.col("b_below"))
     g = d.agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(F.col("a") * (F.col("below") + F.col("b") / 2)).alias("u"))
     return g.select("n1", "n2", "u", (F.col("u") / (F.col("n1") * F.col("n2"))).alias("auc"))
 

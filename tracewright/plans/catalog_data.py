@@ -63,9 +63,9 @@ def series_flatten(spark, sf_dir):
     return f.select("episode", "i", F.explode(F.array(*[F.struct(F.lit(n).alias("dim"), F.col(c).alias("v")) for n, c in (("state | q", "q"), ("state | p", "p"), ("action | q", "d"))])).alias("e")).select("episode", "i", "e.*")
 
 
-@query(f"""WITH {FRAMES}, k AS (SELECT * FROM (VALUES ('state | q', 'q'), ('action | q', 'q'), ('state | p', 'p')) t(name, suffix)) SELECT suffix, string_agg(name, ',' ORDER BY name) AS names, count(*) AS n FROM k, (SELECT count(*) AS c FROM fr) WHERE c > 0 GROUP BY suffix""")
+@query("""SELECT suffix, string_agg(name, ',' ORDER BY name) AS names, count(*) AS n FROM (SELECT DISTINCT o_orderstatus || ' | ' || o_orderpriority AS name, o_orderpriority AS suffix FROM orders) GROUP BY suffix""")
 def suffix_groups(spark, sf_dir):
-    names = frames(spark, sf_dir).select(F.explode(F.array(F.lit("state | q"), F.lit("action | q"), F.lit("state | p"))).alias("name")).distinct()
+    names = table(spark, sf_dir, "orders").select(F.concat_ws(" | ", "o_orderstatus", "o_orderpriority").alias("name")).distinct()
     return names.withColumn("suffix", F.split("name", r" \| ")[1]).groupBy("suffix").agg(F.concat_ws(",", F.array_sort(F.collect_list("name"))).alias("names"), F.count("*").alias("n"))
 
 

@@ -28,12 +28,10 @@ def knn_scores(spark, sf_dir):
     return rounded(learn.scores(learn.vote(_knn(spark, sf_dir), 7).join(e, "query"), "truth", "predicted"), "accuracy", "macro_f1", "balanced_accuracy")
 
 
-@query("""WITH v AS (SELECT quality, n_chars AS x FROM labels JOIN documents USING (doc_id) WHERE doc_id % 2 = 0), c AS (SELECT doc_id, quality, n_chars AS x FROM labels JOIN documents USING (doc_id) WHERE doc_id % 2 = 1)
-SELECT c.doc_id, c.quality, c.x, round((SELECT count(*) FROM v WHERE v.quality = c.quality AND v.x <= c.x) / (SELECT count(*) FROM v WHERE v.quality = c.quality)::DOUBLE, 6) AS share FROM c""")
+@query("""SELECT doc_id, quality, x, round(share, 6) AS share FROM (SELECT doc_id, quality, n_chars AS x, cume_dist() OVER (PARTITION BY quality ORDER BY n_chars) AS share FROM labels JOIN documents USING (doc_id))""")
 def class_percentiles(spark, sf_dir):
     d = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id").select("doc_id", "quality", F.col("n_chars").alias("x"))
-    out = learn.percentile_of(d.filter("doc_id % 2 = 0"), d.filter("doc_id % 2 = 1"), ["quality"], "x")
-    return rounded(out.select("doc_id", "quality", "x", "share"), "share")
+    return rounded(learn.percentile_of(d, d, ["quality"], "x").select("doc_id", "quality", "x", "share"), "share")
 
 
 @query()

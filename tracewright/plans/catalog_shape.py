@@ -103,11 +103,11 @@ def folder_discovery(spark, sf_dir):
     return p.groupBy(F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1).alias("folder")).agg(F.count("*").alias("files"), F.min("page_id").alias("first"), F.array_join(F.array_sort(F.collect_set(part)), ",").alias("parts"))
 
 
-@query(f"""WITH {SIGNAL}, r AS (SELECT episode, min(i) FILTER (x > 100) AS a, max(i) FILTER (x > 100) AS b FROM sig GROUP BY ALL) SELECT '{{' || string_agg('"' || episode || '":[' || a || ',' || b || ']', ',' ORDER BY episode) || '}}' AS cuts FROM r WHERE a IS NOT NULL AND episode < 20""")
+@query(f"""WITH {SIGNAL}, r AS (SELECT episode, min(i) FILTER (x > 100) AS a, max(i) FILTER (x > 100) AS b FROM sig GROUP BY ALL) SELECT episode, '{{"' || episode || '":[' || a || ',' || b || ']}}' AS cuts FROM r WHERE a IS NOT NULL""")
 def cuts_document(spark, sf_dir):
-    r = signal(spark, sf_dir).filter("episode < 20 and x > 100").groupBy("episode").agg(F.min("i").alias("a"), F.max("i").alias("b"))
-    one = F.concat(F.lit('"'), F.col("episode"), F.lit('":['), F.col("a"), F.lit(","), F.col("b"), F.lit("]"))
-    return r.agg(F.array_sort(F.collect_list(F.struct("episode", one.alias("s")))).alias("l")).select(F.concat(F.lit("{"), F.array_join(F.col("l.s"), ","), F.lit("}")).alias("cuts"))
+    """One JSON line for each episode that has a cut."""
+    r = signal(spark, sf_dir).filter("x > 100").groupBy("episode").agg(F.min("i").alias("a"), F.max("i").alias("b"))
+    return r.select("episode", F.concat(F.lit('{"'), "episode", F.lit('":['), "a", F.lit(","), "b", F.lit("]}")).alias("cuts"))
 
 
 @query(f"""WITH {SIGNAL}, c AS (SELECT *, CASE WHEN (x > 34) = (lag(x) OVER (PARTITION BY episode ORDER BY i) > 34) THEN 0 ELSE 1 END AS c FROM sig), g AS (SELECT *, sum(c) OVER (PARTITION BY episode ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM c),
@@ -134,10 +134,10 @@ def vqa_parse(spark, sf_dir):
     return d.select("event_id", F.when(F.col("k").isNull(), None).when(F.col("k") % 2 == 0, "count").otherwise("attribute").alias("kind"), "k")
 
 
-@query("""SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS instruction FROM (SELECT conv_id, turn, substring(text, 1, 30) AS text FROM conversations WHERE role = 'user' AND length(trim(text)) > 0) GROUP BY ALL""")
+@query("""SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS instruction FROM (SELECT conv_id, turn, text FROM conversations WHERE role = 'user' AND length(trim(text)) > 0) GROUP BY ALL""")
 def language_instruction(spark, sf_dir):
     u = table(spark, sf_dir, "conversations").filter("role = 'user' and length(trim(text)) > 0")
-    return u.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 30).alias("s")))), lambda r: r["s"]), "\n").alias("instruction"))
+    return u.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("s")))), lambda r: r["s"]), "\n").alias("instruction"))
 
 
 @query(f"""WITH {SIGNAL}, g AS (SELECT thr::INT AS thr, hold::INT AS hold FROM (VALUES (10), (20), (50)) a(thr), (VALUES (1), (2), (3)) b(hold)), f AS (SELECT episode, i, thr, x > thr AS f FROM sig, (VALUES (10), (20), (50)) a(thr)),
@@ -180,8 +180,4 @@ def clock_map(spark, sf_dir):
 SELECT label, round(max(CASE WHEN r = least(floor(n * 0.05::DOUBLE) + 1, n) THEN d END), 6) AS p05, round(max(CASE WHEN r = least(floor(n * 0.5::DOUBLE) + 1, n) THEN d END), 6) AS p50, round(max(CASE WHEN r = least(floor(n * 0.95::DOUBLE) + 1, n) THEN d END), 6) AS p95 FROM r GROUP BY ALL""")
 def deviation_ranks(spark, sf_dir):
     d = signal(spark, sf_dir).select("label", (F.col("x") - F.avg("x").over(Window.partitionBy("episode"))).alias("d"))
-    out = None
-    for p, name in ((0.05, "p05"), (0.5, "p50"), (0.95, "p95")):
-        v = stats.rank_value(d, ["label"], "d", p, name)
-        out = v if out is None else out.join(v, "label")
-    return rounded(out, "p05", "p50", "p95")
+    return rounded(stats.rank_values(d, ["label"], "d", {"p05": 0.05, "p50": 0.5, "p95": 0.95}), "p05", "p50", "p95")

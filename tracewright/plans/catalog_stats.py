@@ -194,12 +194,18 @@ def flag_weight(spark, sf_dir):
 
 
 @query("""WITH r AS (SELECT o_orderstatus AS status, o_custkey AS episode, count(*) AS weight FROM orders GROUP BY ALL)
-SELECT status, episode, weight, row_number() OVER (ORDER BY CASE status WHEN 'F' THEN 0 WHEN 'P' THEN 1 ELSE 2 END, weight DESC, episode) AS place FROM r QUALIFY place <= 50""")
+SELECT status, episode, weight, row_number() OVER (ORDER BY CASE status WHEN 'F' THEN 0 WHEN 'P' THEN 1 ELSE 2 END, weight DESC, episode) AS place FROM r""")
 def triage_sort(spark, sf_dir):
     r = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("episode")).agg(F.count("*").alias("weight"))
     rank = F.when(F.col("status") == "F", 0).when(F.col("status") == "P", 1).otherwise(2)
-    top = r.withColumn("_k", rank).orderBy("_k", F.desc("weight"), "episode").limit(50)
-    return top.withColumn("place", F.row_number().over(Window.orderBy("_k", F.desc("weight"), "episode"))).drop("_k")
+    # places without one task for all rows: classes of one rank and weight, then places within them
+    r = r.withColumn("_k", rank)
+    classes = r.groupBy("_k", "weight").agg(F.count("*").alias("n"))
+    w = Window.orderBy("_k", F.desc("weight")).rowsBetween(Window.unboundedPreceding, -1)
+    classes = classes.select("_k", "weight", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("base"))
+    own = stats.running(r, ["_k", "weight"], "episode", {"n": F.count("*")}).select("_k", "weight", "episode", "n_below")
+    d = r.join(own, ["_k", "weight", "episode"]).join(F.broadcast(classes), ["_k", "weight"])
+    return d.select("status", "episode", "weight", (F.col("base") + F.col("n_below") + 1).alias("place"))
 
 
 @query("""WITH r AS (SELECT n_regionkey AS scene, count(*) AS n, count(*) FILTER (c_acctbal > 5000) AS successes, round(avg(c_acctbal), 4) AS score FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),

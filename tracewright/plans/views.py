@@ -43,7 +43,7 @@ def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotation atoms: (episode, ts, role, style, content), from conversation turns."""
     c = table(spark, sf_dir, "conversations")
     style = F.when(F.col("role") == "user", "interjection").when(F.col("role") == "system", "memory").otherwise("subtask")
-    return c.select(F.col("conv_id").alias("episode"), (F.col("turn") * 0.5).alias("ts"), "role", style.alias("style"), F.substring("text", 1, 40).alias("content"))
+    return c.select(F.col("conv_id").alias("episode"), (F.col("turn") * 0.5).alias("ts"), "role", style.alias("style"), F.col("text").alias("content"))
 
 
-ATOMS = "atoms AS (SELECT conv_id AS episode, turn * 0.5::DOUBLE AS ts, role, CASE role WHEN 'user' THEN 'interjection' WHEN 'system' THEN 'memory' ELSE 'subtask' END AS style, substring(text, 1, 40) AS content FROM conversations)"
+ATOMS = "atoms AS (SELECT conv_id AS episode, turn * 0.5::DOUBLE AS ts, role, CASE role WHEN 'user' THEN 'interjection' WHEN 'system' THEN 'memory' ELSE 'subtask' END AS style, text AS content FROM conversations)"
