@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -414,6 +415,29 @@ def test_html_uneven_sections():
         assert len(got) == 20
 
 
+def test_html_bad_markup():
+    """Every paragraph of an article comes back, whatever stands in attributes and between tags."""
+    t = html_extract.main_text
+    assert t("<article><p title=don't>First para, one.</p><p>Second.</p><p>Third.</p></article>") == "First para, one.\n\nSecond.\n\nThird."
+    assert t("<article><!--><p>First para, one.</p><!--->A<!-- x --!><p>Second.</p></article>") == "First para, one.\n\nA\n\nSecond."
+    assert t('<article><p title="never closed>First para, one.</p><p data-hidden=1>3 < 4 & 5</p></article>') == "First para, one.\n\n3 < 4 & 5"
+    assert t("<article><p>One<svg/> two<br/>three <a href=/x/>link</a> after, it goes on, and on.</p></article>") == "One two three link after, it goes on, and on."
+    rng = np.random.default_rng(4)
+    attrs = ["", " title=don't", ' data-x="a > b"', " alt='it \"is\"'", " hidden-not", " x=", " / y", ' a="b"c', " id=p1", " onclick=f('x')", " =odd"]
+    noise = ["", "<!-->", "<!-- - -- x -->", "</b>", "</div2>", "</>", "</3 x>", "<?php a ?>", "<![CDATA[x]]>", "<br>", "<img src=a.png>", "<i></i>", "<script>if (a < b) '</p>'</script>", "\n", "<svg/>"]
+    for _ in range(300):
+        texts = [f"Text {k}, of one, {rng.integers(1e6)}" for k in range(8)]
+        body = "".join(f"{rng.choice(noise)}<p{rng.choice(attrs)}>{x}{rng.choice(['</p>', '', '</p></p>', '</p></span>'])}" for x in texts)
+        assert t(f"<html><body><nav>menu</nav><article>{body}</article><footer>foot</footer>").split("\n\n") == texts, body
+
+
+def test_html_is_linear():
+    for page in ("<article><p>a, b" + "</b>" * 40_000, "<article><p>" + "<i>" * 40_000 + "</b>" * 40_000, "<b><div>" + "<i>" * 40_000 + "</b>" * 40_000 + "<p>z, y" * 40_000):
+        start = time.process_time()
+        html_extract.main_text(page)
+        assert time.process_time() - start < 5
+
+
 # --- pipeline ---
 
 

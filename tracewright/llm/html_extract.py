@@ -8,8 +8,9 @@ furniture (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 comments) is left out before scoring, by tag, role, or words of class and id.
 
 Defined results: null, empty or tag-less input gives its plain text or the empty string; unclosed
-and misnested tags are closed as browsers do for paragraphs and list items; a page cut off in a
-tag loses that tag; pages are independent rows, repeated rows repeat; other columns pass through.
+and misnested tags are closed as browsers do for paragraphs and list items; end tags without a start
+are ignored; a quote counts only at the head of an attribute's value; a page cut off in a tag loses
+that tag; pages are independent rows, repeated rows repeat; other columns pass through.
 """
 
 from __future__ import annotations
@@ -23,8 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)|<(?=\Z)", re.S)
-ATTR = re.compile(r"""\b(class|id|role|aria-label|itemprop|hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+# Quotes count only where a value begins; a quote that is never closed is part of an unquoted value.
+TOKEN = re.compile(
+    r"""<(?:!--(?:-?>|.*?(?:--!?>|\Z))|[!?][^>]*+(?:>|\Z)|/(?:>|[^a-zA-Z>][^>]*+(?:>|\Z))
+    |(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]++)?+)?+)*+)(>|\Z)|\Z)""",
+    re.S | re.X,
+)
+ATTR = re.compile(r"""[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
+UNQUOTED = re.compile(r"""=\s*[^\s"'>][^\s>]*\Z""")
 # Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title template noscript iframe svg math xmp noembed noframes".split())
@@ -35,6 +42,8 @@ UNLIKELY_WORDS = r"ads? advert\w* adbox adslot adunit adsbygoogle adsense banner
 UNLIKELY = re.compile(rf"(?:^|[\s_-])(?:{UNLIKELY_WORDS.replace(' ', '|')})(?:$|[\s_-])", re.I)
 LIKELY = re.compile(r"article|content|entry|main|post|story|text|body", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form note".split())
+#: Raw elements whose content browsers never read as markup, even where no end tag follows.
+SWALLOWS = RAW - {"template", "noscript", "svg", "math"}
 SCORED = frozenset("p pre td blockquote li dd div section article h2 h3".split())
 #: A part of the page with this share of its text in links is no text.
 MOST_LINKS = 0.25
@@ -44,31 +53,67 @@ CLOSES = {"p": BLOCK - {"caption", "html", "body", "td", "th", "tr", "tbody", "t
 class Node:
     __slots__ = ("tag", "names", "role", "parent", "children", "score", "off")
 
-    def __init__(self, tag: str, parent: Node | None, attrs: str = ""):
+    def __init__(self, tag: str, parent: Node | None, attrs: str = "", in_article: bool = False):
         self.tag, self.parent, self.children, self.score = tag, parent, [], 0.0
-        found = {k.lower(): v.strip("\"'") for k, v in ATTR.findall(attrs)} if attrs else {}
+        found: dict[str, str] = {}
+        for k, v in ATTR.findall(attrs) if attrs else ():
+            found.setdefault(k.lower(), v[1:-1] if v[:1] in ("'", '"') and v[-1:] == v[:1] else v)
         self.names = f"{found.get('class', '')} {found.get('id', '')} {found.get('itemprop', '')}".strip()
         self.role = found.get("role", "").lower()
         hidden = "hidden" in found or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I)
-        self.off = bool(hidden) or tag in DROPPED or self.role in ROLES or (tag == "header" and not _within(parent, "article"))
+        self.off = bool(hidden) or tag in DROPPED or self.role in ROLES or (tag == "header" and not in_article)
         if not self.off and self.names and tag not in ("html", "body", "article", "main"):
             self.off = bool(UNLIKELY.search(self.names)) and not re.search(r"(?:^|\s)(?:article|main|content|post|story|entry)[-_]?(?:body|content|text)?(?:\s|$)", self.names, re.I)
 
 
-def _within(node: Node | None, tag: str) -> bool:
-    while node is not None:
-        if node.tag == tag:
-            return True
-        node = node.parent
-    return False
+class _Open:
+    """The open elements, with their depths by tag, so that an end tag never searches them."""
+
+    def __init__(self, root: Node):
+        self.stack, self.blocks, self.depths = [root], [], {}
+
+    def push(self, node: Node) -> None:
+        self.depths.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in BLOCK and node.tag != "p":
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def close(self, depth: int) -> None:
+        """Close the element at the depth and all that it holds."""
+        while len(self.stack) > depth:
+            tag = self.stack.pop().tag
+            self.depths[tag].pop()
+            if tag in BLOCK and tag != "p":
+                self.blocks.pop()
+
+    def last(self, tag: str) -> int:
+        """The depth of the innermost open element of the tag; 0 where there is none."""
+        at = self.depths.get(tag)
+        return at[-1] if at else 0
+
+    def end(self, tag: str) -> None:
+        """An end tag closes up to its own start, but an inline one never crosses a block."""
+        at = self.last(tag)
+        inner = max(self.blocks[-1] if self.blocks else 0, self.last("p"))
+        if at and (tag in BLOCK or tag in RAW or inner < at):
+            self.close(at)
+
+    def begin(self, tag: str) -> None:
+        """Close the paragraphs, items and cells that a start tag ends."""
+        for open_tag, closers in CLOSES.items():
+            at = self.last(open_tag) if tag in closers else 0
+            if at and (self.blocks[-1] if self.blocks else 0) <= at:
+                self.close(at)
 
 
 def parse(html: str) -> Node:
     """The page as a tree of nodes and strings; parts that are left out anyway keep no text."""
-    root = at = Node("html", None)
+    root = Node("html", None)
+    now = _Open(root)
     end = 0
     pos = 0
     while m := TOKEN.search(html, pos):
+        at = now.stack[-1]
         if m.start() > end and not at.off:
             at.children.append(html[end : m.start()])
         pos = end = m.end()
@@ -76,43 +121,29 @@ def parse(html: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            up = at
-            while up is not None and up.tag != tag:
-                up = up.parent
-            # an end tag closes up to its own start, but an inline one never crosses a block
-            if up is not None and up is not root and (tag in BLOCK or tag in RAW or not _block_between(at, up)):
-                at = up.parent
+            now.end(tag)
             continue
         if tag in ("html", "body"):
             continue
-        for open_tag, closers in CLOSES.items():
-            if tag in closers:
-                up = at
-                while up is not root and up.tag != open_tag and (up.tag not in BLOCK or up.tag in ("p",)):
-                    up = up.parent
-                if up is not root and up.tag == open_tag:
-                    at = up.parent
-        node = Node(tag, at, m[3])
+        now.begin(tag)
+        at = now.stack[-1]
+        node = Node(tag, at, m[3], now.last("article") > 0)
         node.off = node.off or at.off
         at.children.append(node)
+        if m[3].rstrip().endswith("/") and not UNQUOTED.search(m[3]):
+            continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, pos)
-            pos = end = close.end() if close else len(html)
-        elif tag not in VOID and not m[3].endswith("/"):
-            at = node
-    if end < len(html) and not at.off:
-        at.children.append(html[end:])
+            if close := re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, pos):
+                pos = end = close.end()
+            elif tag in SWALLOWS:
+                pos = end = len(html)
+        elif tag not in VOID:
+            now.push(node)
+    if end < len(html) and not now.stack[-1].off:
+        now.stack[-1].children.append(html[end:])
     return root
 
 
-def _block_between(at: Node, up: Node) -> bool:
-    while at is not up:
-        if at.tag in BLOCK:
-            return True
-        at = at.parent
-    return False
-
-
 def _walk(root: Node) -> list[Node]:
     """All kept nodes, parents first."""
     out, stack = [], [root]
