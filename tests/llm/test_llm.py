@@ -214,24 +214,46 @@ def test_line_frequency_large_host(spark):
     """The limit is a number of documents: a larger host does not loosen it."""
     own = lambda i: " ".join(f"own{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}{chr(97 + i // 676)}w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
     stock = " ".join(f"stock{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(80))
-    rows = [(i, f"{stock}\n{own(i)}" if i < 21 else own(i), "big") for i in range(1000)] + [(2000 + i, f"{stock}\n{own(i)}", "small") for i in range(20)]
+    rows = [(i, f"{stock}\n{own(i)}" if i < 21 else own(i), "big") for i in range(1000)] + [(2000 + i, f"{stock}\n{own(i)}" if i < 20 else own(i), "middle") for i in range(200)] + [(3000 + i, f"{stock}\n{own(i)}" if i < 5 else own(i), "small") for i in range(30)]
     got = {r.doc_id: r for r in quality_rules.cleaned(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert not any(got[i].kept for i in range(21)) and all(got[i].clean_text == own(i) for i in range(21))
-    assert all(got[i].kept and got[i].clean_text == got[i].text for i in [*range(21, 1000), *range(2000, 2020)])
+    gone = [*range(21), *range(3000, 3005)]
+    assert not any(got[i].kept for i in gone) and all(got[i].clean_text == own(i % 1000) for i in gone)
+    assert all(r.kept and r.clean_text == r.text for i, r in got.items() if i not in gone)
+
+
+def test_line_frequency_counts_documents(spark):
+    """Rows of one id are one document; each row loses its own lines; rows without an id count by their texts."""
+    stock, own = " ".join(f"stock{chr(97 + k % 26)}" for k in range(30)), lambda i: " ".join(f"own{chr(97 + i)}w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    text = f"{stock}\n{own(0)}"
+    once = spark.createDataFrame([(1, text, "a")] * 30 + [(None, text, "a")] * 30 + [(2 + i, own(1 + i), "a") for i in range(20)], "doc_id long, text string, source string")
+    assert all(r.kept and r.n_words_left == r.n_words for r in quality_rules.judged(once).collect())
+    many = spark.createDataFrame([(1 + i, f"{stock}\n{own(i)}", "a") for i in range(21)] + [(1, own(2), "a"), (1, text, "b"), (1, text, "a")], "doc_id long, text string, source string")
+    got = collections.Counter((r.doc_id, r.source, r.n_words_left, r.clean_text == r.text) for r in quality_rules.cleaned(many).collect())
+    assert got == collections.Counter([(1 + i, "a", 60, False) for i in range(21)] + [(1, "a", 60, True), (1, "b", 90, True), (1, "a", 60, False)])
+
+
+def test_line_rule_odd(spark, odd):
+    got = quality_rules.cleaned(odd).select("doc_id", "text", "clean_text", "score", "token", "n_words", "kept").collect()
+    assert len(got) == len(ODD) and all(r.clean_text == (r.text or "") and (r.score, r.token) == (0, "h") for r in got)
 
 
 def test_line_frequency_given(spark):
-    """In sf0.1 the stock lines go, from the documents that hold them and from no others."""
-    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "source")
-    holders, texts = collections.defaultdict(set), {}
+    """In sf0.01 and sf0.1 the stock lines go, from the documents that hold them and from no others."""
     normal = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", re.sub("[0-9]+", "0", re.sub("[A-Z]+", lambda m: m[0].lower(), x))).strip(" ")
-    for r in d.collect():
-        texts[r.doc_id] = r.text or ""
-        for x in {normal(x) for x in texts[r.doc_id].split("\n")} - {""}:
-            holders[r.source, x].add(r.doc_id)
-    want = {i for ids in holders.values() if len(ids) > 20 for i in ids}
-    assert len(want) > 1000
-    assert {r.doc_id for r in quality_rules.line_losses(d).select("doc_id").collect()} == want
+    for sf, least_lost, rejected in (("sf0.01", 100, 0), ("sf0.1", 1000, 8)):
+        d = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text", "source")
+        holders, hosts, lines = collections.defaultdict(set), collections.Counter(), {}
+        for r in d.collect():
+            hosts[r.source] += 1
+            lines[r.doc_id] = [(r.source, x) for x in map(normal, (r.text or "").split("\n")) if x]
+            for x in lines[r.doc_id]:
+                holders[x].add(r.doc_id)
+        gone = {x for x, ids in holders.items() if len(ids) > 20 or (len(ids) >= 5 and len(ids) > 0.1 * hosts[x[0]])}
+        want = {i: n for i, own in lines.items() if (n := sum(len(x[1].split(" ")) for x in own if x in gone))}
+        got = quality_rules.judged(d).collect()
+        assert len(want) > least_lost
+        assert {r.doc_id: r.n_words - r.n_words_left for r in got if r.n_words_left < r.n_words} == want
+        assert sum(not r.kept and not r.base_failed for r in got) == rejected
 
 
 # --- mixing ---

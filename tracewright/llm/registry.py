@@ -17,5 +17,6 @@ QUERIES = {
 ORACLES = {
     "op1_chat_format": chat_format.ORACLE,
     "op3_decontaminate": decontaminate.ORACLE,
+    "op5_quality_rules": quality_rules.ORACLE,
     "op6_poisson_mixing": mixing.ORACLE,
 }
