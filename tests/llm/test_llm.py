@@ -121,6 +121,29 @@ def test_ngram_join_odd(spark, odd):
     assert sorted(r.doc_id or 0 for r in ngram_join.deduplicated(odd).collect()) == [0, 1, 2, 3, 4, 5, 6, 8]
 
 
+def test_ngram_join_rows(spark):
+    """String ids; one id with different texts; rows without an id; an id whose rows are near copies of others."""
+    rng = np.random.default_rng(6)
+    text = lambda: " ".join(f"w{i}" for i in rng.integers(0, 9000, 80))
+    a, b, c = text(), text(), text()
+    rows = [("1", a), ("1", b), ("2", a + " more"), ("x", c), (None, c + " tail"), (None, text()), (None, b), ("1", a), ("e", None), ("e", "")]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    got = collections.Counter((r.doc_id, r.component_id) for r in ngram_join.linked(df).collect())
+    assert got == collections.Counter([("1", "1"), ("1", "1"), ("1", "1"), ("2", "1"), ("x", "x"), (None, "x"), (None, None), (None, "1"), ("e", "e"), ("e", "e")])
+    kept = {(r.doc_id, r.text) for r in ngram_join.deduplicated(df).collect()}
+    assert kept == {("1", a), ("1", b), ("x", c), rows[5], ("e", None), ("e", "")}
+
+
+@pytest.mark.parametrize("bits", [8, 26])
+def test_ngram_join_full_table(spark, docs, bits, monkeypatch):
+    """A full count table only costs work."""
+    monkeypatch.setattr(ngram_join, "COUNT_BITS", bits)
+    monkeypatch.setattr(ngram_join, "SLICE_BITS", min(bits, 19))
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.linked(df, 3, 90, 100).collect()}
+    assert got == brute_components(docs, 3, 90, 100)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 50), (50, 77), (200, 200)]
     got = {r.vertex: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}

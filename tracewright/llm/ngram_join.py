@@ -2,7 +2,8 @@
 
 A document is its set of distinct word shingles (64-bit hashes). Documents with the same set form
 a class; classes are joined. Shingles are ordered rarest first by a count table of a fixed size
-(any common order is correct; a good one saves work). Two sets of similarity t share at least l
+with logarithmic counts: where a corpus fills it, rare shingles look alike but frequent ones still
+stand out (any common order is correct; a good one saves work). Two sets of similarity t share at least l
 shingles of their prefixes of |x| - ceil(t |x|) + l; l is chosen for each class by the number of
 candidates that its plain prefix would give, so expensive documents get longer prefixes and ask
 for as many more shared shingles before verification, which intersects the whole sets.
@@ -11,17 +12,20 @@ Candidates come in steps that keep large groups of near copies from giving all p
 class is verified against one leader, the class with most shared prefix shingles among those that
 lead its postings. Then members of one leader's group that it does not connect are compared by
 the few shingles in which they differ from it, under the prefix rule again. At last pairs of
-different leaders that are not yet connected are formed within a posting. No link between
-different components can be lost: every pair is verified, already connected, or ruled out by a
-prefix rule.
+different leaders that are not yet connected are formed within a posting, by bands of set sizes. No
+link between different components can be lost: every pair is verified, already connected, or ruled
+out by a prefix rule.
 
 Defined results: null texts and texts without words have the empty set and link with nothing;
 with fewer words than a shingle the whole sequence is one shingle; repeated rows and equal sets
-are one class; other columns are ignored by ``linked`` and pass through ``deduplicated``.
+are one class; rows of one id with different texts are documents of their own (each links by its own
+text), and so are rows without an id; ids may be of any type with an order; other columns are ignored
+by ``linked`` and pass through ``deduplicated``, where a row repeated with id and text is one row.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -63,7 +67,8 @@ def shingles(texts, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_table(documents: DataFrame, width: int, text: str) -> np.ndarray:
-    """How many documents hold a shingle of each place, at most 255: a table of 2**COUNT_BITS bytes."""
+    """Eight times the logarithm of how many documents hold a shingle of each place: a table of
+    2**COUNT_BITS bytes. (A task counts up to 255; sums over tasks have no limit.)"""
     shift = np.uint64(64 - COUNT_BITS)
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -80,7 +85,7 @@ def count_table(documents: DataFrame, width: int, text: str) -> np.ndarray:
         for pdf in frames:
             for d in pdf["data"]:
                 total += np.frombuffer(zlib.decompress(d), np.uint8)
-        yield pd.DataFrame({"slice": [key[0]], "data": [zlib.compress(np.minimum(total, 255).astype(np.uint8).tobytes(), 1)]})
+        yield pd.DataFrame({"slice": [key[0]], "data": [zlib.compress(np.minimum(8 * np.log2(total + 1), 255).astype(np.uint8).tobytes(), 1)]})
 
     kind = "slice int, data binary"
     out = np.zeros((1 << (COUNT_BITS - SLICE_BITS), 1 << SLICE_BITS), np.uint8)
@@ -89,8 +94,13 @@ def count_table(documents: DataFrame, width: int, text: str) -> np.ndarray:
     return out.ravel()
 
 
+def _keyed(documents: DataFrame, id_col: str, text: str) -> DataFrame:
+    """The documents with (_k1, _k2), 96 bits of id and text: what tells rows apart."""
+    return documents.withColumns({"_k1": F.xxhash64(id_col, F.coalesce(F.col(text), F.lit(""))), "_k2": F.hash(F.col(id_col), F.octet_length(text))})
+
+
 def signatures(documents: DataFrame, counts: np.ndarray, width: int, num: int, den: int, id_col: str, text: str) -> DataFrame:
-    """(doc_id, n, h1, h2, prefix): set size, set fingerprint, and the longest prefix, rarest first."""
+    """(doc_id, k1, k2, n, h1, h2, prefix): set size, set fingerprint, and the longest prefix, rarest first."""
     sc = documents.sparkSession.sparkContext
     state, shift = sc.broadcast(counts), np.uint64(64 - COUNT_BITS)
 
@@ -104,24 +114,30 @@ def signatures(documents: DataFrame, counts: np.ndarray, width: int, num: int, d
             order = np.lexsort((h, state.value[(h >> shift).astype(np.int64)], d))
             h = h[order].view(np.int64)
             most = n - -(-num * n // den) + np.minimum(MOST_MATCHES, -(-num * n // den))
-            yield pd.DataFrame({"doc_id": pdf[id_col], "n": n.astype(np.int64), "h1": h1, "h2": h2, "prefix": [h[a : a + k] for a, k in zip(first[:-1], most, strict=True)]})
+            yield pd.DataFrame({"doc_id": pdf[id_col], "k1": pdf["_k1"], "k2": pdf["_k2"], "n": n.astype(np.int64), "h1": h1, "h2": h2, "prefix": [h[a : a + k] for a, k in zip(first[:-1], most, strict=True)]})
 
     kind = documents.schema[id_col].dataType.simpleString()
-    return documents.select(id_col, text).mapInPandas(sign, f"doc_id {kind}, n long, h1 long, h2 long, prefix array<long>")
+    return _keyed(documents.select(id_col, text), id_col, text).mapInPandas(sign, f"doc_id {kind}, k1 long, k2 int, n long, h1 long, h2 long, prefix array<long>")
 
 
-def _sets(documents: DataFrame, ids: DataFrame, width: int, id_col: str, text: str) -> DataFrame:
-    """(rep, s): the whole shingle sets of the documents named."""
+def _sets(documents: DataFrame, reps: DataFrame, width: int, id_col: str, text: str) -> DataFrame:
+    """(rep, s): the whole shingle sets of the documents named by (rep, k1, k2)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
         for pdf in batches(parts, text, BATCH_CHARS):
+            # repeated rows stand side by side after the join; one of them is enough (more would do no harm)
+            pdf = pdf[pdf["rep"].ne(pdf["rep"].shift(fill_value=last))].reset_index(drop=True) if last is not None else pdf[pdf["rep"].ne(pdf["rep"].shift())].reset_index(drop=True)
+            if not len(pdf):
+                continue
+            last = pdf["rep"].iloc[-1]
             d, h = shingles(pdf[text].tolist(), width)
             first = np.searchsorted(d, np.arange(len(pdf) + 1))
             yield pd.DataFrame({"rep": pdf["rep"], "s": [h[a:b].view(np.int64) for a, b in zip(first[:-1], first[1:], strict=True)]})
 
-    kind = documents.schema[id_col].dataType.simpleString()
-    own = documents.select(F.col(id_col).alias("rep"), text).join(ids.hint("merge"), "rep", "left_semi")
-    return own.mapInPandas(run, f"rep {kind}, s array<long>")
+    named = reps.select("rep", F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
+    own = _keyed(documents.select(id_col, text), id_col, text).select("_k1", "_k2", text).join(named.hint("merge"), ["_k1", "_k2"]).select("rep", text)
+    return own.mapInPandas(run, "rep long, s array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -170,13 +186,14 @@ def _within_groups(star: DataFrame, num: int, den: int) -> DataFrame:
     return both.filter((den + num) * differ <= (den - num) * (F.col("n_x") + F.col("n_y"))).select("a", "b")
 
 
-def linked(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id): documents link at Jaccard similarity num / den or more;
-    component_id is the least id that links reach."""
+def _linked(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, k1, k2, n, head): each row with the least (none, doc_id, k1, k2) that its links reach."""
     counts = count_table(documents, width, text)
     signed = written(signatures(documents, counts, width, num, den, id_col, text), "signed")
-    classes = signed.filter("n > 0").groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n", "prefix")).alias("m"), F.count("*").alias("docs"))
-    classes = classes.select("h1", "h2", F.col("m.doc_id").alias("rep"), F.col("m.n").alias("n"), F.col("m.prefix").alias("prefix"), "docs")
+    head = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
+    classes = signed.filter("n > 0").groupBy("h1", "h2").agg(F.min(F.struct(head.alias("head"), "n", "prefix")).alias("m"), F.count("*").alias("docs"))
+    # classes are numbered: compact keys for what follows, whatever the ids are
+    classes = written(classes.select("h1", "h2", F.monotonically_increasing_id().alias("rep"), "m.head", "m.n", "m.prefix", "docs"), "classes")
     least = F.ceil(F.lit(num) * F.col("n") / F.lit(den)).cast("int")  # shingles of x that a partner must share
     posted = classes.select(F.col("rep"), F.col("n"), F.posexplode("prefix").alias("place", "token"))
     lists = posted.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1")
@@ -190,7 +207,8 @@ def linked(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10, id
     posted = posted.withColumn("matches", matches).filter(F.col("place") < plain + F.col("matches"))
     posted = written(posted.select("token", "rep", "n", "place", "matches", "support"), "postings")
 
-    sets = written(_sets(documents, posted.select("rep").distinct(), width, id_col, text), "sets")
+    open_classes = classes.select("rep", "head.k1", "head.k2").join(posted.select("rep").distinct(), "rep", "left_semi")
+    sets = written(_sets(documents, open_classes, width, id_col, text), "sets")
 
     # each class against one leader, the class with most shared prefix shingles
     leads = posted.groupBy("token").agg(F.max_by(F.struct(F.col("rep").alias("lead"), F.col("n").alias("lead_n")), F.struct("support", -F.col("rep"))).alias("l"))
@@ -209,8 +227,13 @@ def linked(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10, id
     at = at.join(star.select("rep", "lead"), "rep", "left").withColumn("lead", F.coalesce("lead", "rep"))
     open_lists = at.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("lead").alias("lo_lead"), F.max("lead").alias("hi_lead")).filter("lo < hi and lo_lead < hi_lead").select("token")
     at = at.join(open_lists, "token", "left_semi")
-    x, y = (at.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("rep", "n", "place", "matches", "component", "lead")]) for k in "xy")
-    pairs = x.join(y, "token").filter((F.col("rep_x") < F.col("rep_y")) & (F.col("component_x") != F.col("component_y")) & (F.col("lead_x") != F.col("lead_y")) & near(F.col("n_x"), F.col("n_y")))
+    # partners' sizes differ by a factor of den / num at most: a frequent shingle's list is cut by bands of sizes
+    band = F.log(F.col("n").cast("double")) / math.log(den / num)
+    x, y = (at.select("token", band.alias(f"band_{k}"), *[F.col(c).alias(f"{c}_{k}") for c in ("rep", "n", "place", "matches", "component", "lead")]) for k in "xy")
+    x = x.withColumn("band", F.explode(F.sequence(F.floor(F.col("band_x") - 1e-6), F.floor(F.col("band_x") + 1 + 1e-6))))
+    y = y.withColumn("band", F.floor("band_y"))
+    smaller = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("rep_x") < F.col("rep_y")))
+    pairs = x.join(y, ["token", "band"]).filter(smaller & (F.col("component_x") != F.col("component_y")) & (F.col("lead_x") != F.col("lead_y")) & near(F.col("n_x"), F.col("n_y")))
     # from the first shared shingle on, no more than the shorter rest can be shared
     rest = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
     pairs = pairs.groupBy(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("matches_x", "matches_y")).alias("k"), F.max(rest).alias("rest"), F.first(F.col("n_x") + F.col("n_y")).alias("sum"))
@@ -218,18 +241,24 @@ def linked(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10, id
     links = written(links.union(_verified(pairs.select("a", "b"), sets, num, den)), "links")
     joined = components(links, "a", "b")
 
-    whole = classes.select("h1", "h2", "rep", "docs").join(joined.withColumnRenamed("vertex", "rep"), "rep", "left")
-    whole = whole.filter("docs > 1 or component is not null").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n", "h1", "h2").join(whole, ["h1", "h2"], "left")
-    own = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    whole = classes.select("h1", "h2", "rep", "docs", "head").join(joined.withColumnRenamed("vertex", "rep"), "rep", "left")
+    whole = whole.filter("docs > 1 or component is not null").withColumn("component", F.coalesce("component", "rep"))
+    heads = whole.groupBy("component").agg(F.min("head").alias("head"))
+    whole = whole.select("h1", "h2", "component").join(heads, "component").drop("component")
+    out = signed.select("doc_id", "k1", "k2", "n", "h1", "h2").join(whole, ["h1", "h2"], "left")
+    return out.select("doc_id", "k1", "k2", "n", F.when(F.col("n") > 0, F.coalesce("head", head)).otherwise(head).alias("head"))
+
+
+def linked(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id): documents link at Jaccard similarity num / den or more;
+    component_id is the least id that links reach (null where none of them has an id)."""
+    return _linked(documents, width, num, den, id_col, text).select("doc_id", F.col("n").alias("n_shingles"), F.col("head.doc_id").alias("component_id"))
 
 
-def deduplicated(documents: DataFrame, **options) -> DataFrame:
-    """One document of each component: the one with the least id. Rows without an id all stay."""
-    id_col = options.get("id_col", "doc_id")
-    kept = linked(documents, **options).filter("component_id = doc_id").select(F.col("doc_id").alias(id_col))
-    return documents.join(kept.hint("merge"), id_col, "left_semi").dropDuplicates([id_col]).unionByName(documents.filter(F.col(id_col).isNull()))
+def deduplicated(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each component: the one with the least id (rows without an id last)."""
+    kept = _linked(documents, width, num, den, id_col, text).filter("head.k1 = k1 and head.k2 = k2").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
+    return _keyed(documents, id_col, text).join(kept.hint("merge"), ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(documents.columns)
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
