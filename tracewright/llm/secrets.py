@@ -4,10 +4,14 @@ Two first-order Markov models over the same alphabet, one of random strings and
 identifiers, are trained from labelled samples; a candidate token is a secret where the
 log-likelihood ratio of the two passes a threshold, in total and per character. Training and
 scanning use only DataFrame functions; the table of ratios has a fixed size (alphabet squared).
+Candidates are the runs of the alphabet that the base spans leave of a text.
+
+Arrays of matches are folded in blocks of their square root, since a fold that appends copies what
+it has: a text with many matches costs about their number to the power 1.5, not 2.
 
 Defined results: null text is empty and has no span; ties and repeated rows are treated row by
-row; columns other than the id and the text pass through ``redacted`` and are ignored by ``scan``.
-Spans are code points, end exclusive. A text is scanned whole.
+row; ``scan`` adds the columns base and spans (or those named), all other columns pass through it and
+``redacted``. Spans are code points, end exclusive. A text is scanned whole.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 KINDS = ("assign", "access", "hex", "markov")
 # The base rules. Quantified forms find the same matches as one-or-more with a
@@ -36,27 +40,72 @@ SAMPLE_DOCS, SAMPLE_TOKENS = 400, 20_000
 LEAST_TOTAL, LEAST_MEAN = 12.0, 0.6
 
 
+def _let(x: Column, f) -> Column:
+    """``f(x)`` with x computed once: what a lambda takes from outside is computed for each element."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
+def _blocks(a: Column) -> Column:
+    """The array in pieces of the square root of its size."""
+    n = F.size(a)
+    wide = F.greatest(F.ceil(F.sqrt(n)), F.lit(1)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / wide), F.lit(1)).cast("int") - 1), lambda b: F.slice(a, b * wide + 1, wide))
+    return F.filter(cut, lambda b: F.size(b) > 0)
+
+
+def _starts(blocks: Column, add) -> Column:
+    """What ``add(state, block)`` has come to, from 0, before each block."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda acc, b: F.struct(add(acc["at"], b).cast("int").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    return F.aggregate(blocks, zero, step, lambda acc: acc["out"])
+
+
 def _matches(text: Column, regex: str, kind: int, group: int = 0, least: int = 0) -> Column:
-    """Leftmost non-overlapping matches as sorted (start, kind, end), by the pieces between them."""
+    """Leftmost non-overlapping matches as sorted (start, kind, end, m), by the pieces between them."""
     whole = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
     inner = F.regexp_extract_all(text, F.lit(regex), F.lit(group)) if group else whole
-    none = F.lit(None).cast("array<struct<start:int,kind:int,end:int>>")
-    zero = F.struct(F.lit(0).alias("at"), F.coalesce(none, F.array().cast("array<struct<start:int,kind:int,end:int>>")).alias("out"))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,m:string>>")
+    pieces = F.slice(F.split(text, regex, -1), F.lit(1), F.size(whole))
+    whole = F.arrays_zip(pieces.alias("p"), whole.alias("m"), inner.alias("g"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["p"])
-        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(x["m"].isNotNull() & (F.length(x["g"]) >= least), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        end = start + F.length(x["m"])
+        one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["m"].alias("m")))
+        return F.struct(end.alias("at"), F.when(F.length(x["g"]) >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+    def joined(blocks: Column) -> Column:
+        at = _starts(blocks, lambda at, b: F.aggregate(b, at, lambda n, x: n + F.length(x["p"]) + F.length(x["m"])))
+        return F.flatten(F.zip_with(blocks, at, lambda b, a: F.aggregate(b, F.struct(a.alias("at"), none.alias("out")), step, lambda acc: acc["out"])))
+
+    return F.when(text.rlike(regex), _let(whole, lambda z: _let(_blocks(z), joined))).otherwise(none)
+
 
-    zipped = F.arrays_zip(F.split(text, regex, -1).alias("p"), whole.alias("m"), inner.alias("g"))
-    return F.when(text.rlike(regex), F.aggregate(zipped, zero, step, lambda acc: acc["out"])).otherwise(zero["out"])
+def _replaced(text: Column, spans: Column, by) -> Column:
+    """The text with ``by(start, end)`` for each part of it under a sorted span that no earlier span covers."""
+    ends = lambda at, b: F.greatest(at, F.array_max(F.transform(b, lambda s: s["end"])))
+
+    def one(b: Column, a: Column) -> Column:
+        # the part of the text that the block rewrites: inside it, offsets are small
+        return _let(text.substr(a + 1, ends(a, b) - a), lambda own: F.aggregate(b, F.struct(a.alias("at"), F.lit("").alias("out")), step(own, a), lambda acc: acc["out"]))
+
+    def step(own: Column, a: Column):
+        def run(acc: Column, s: Column) -> Column:
+            start = F.greatest(acc["at"], s["start"])
+            new = F.concat(acc["out"], own.substr(acc["at"] - a + 1, start - acc["at"]), by(s["start"], start, s["end"]))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["end"] > acc["at"], new).otherwise(acc["out"]).alias("out"))
+
+        return run
+
+    rest = text.substr(F.greatest(F.array_max(F.transform(spans, lambda s: s["end"])), F.lit(0)) + 1, F.length(text))
+    made = _let(_blocks(spans), lambda blocks: F.array_join(F.zip_with(blocks, _starts(blocks, ends), one), ""))
+    return F.when(F.size(spans) > 0, F.concat(made, rest)).otherwise(text)
 
 
 def base_spans(text: Column) -> Column:
     """Spans of the three rules, sorted by start, then by the kind's place in KINDS."""
-    found = [_matches(text, ASSIGN, 0, 1, ASSIGN_LEAST), _matches(text, ACCESS, 1), _matches(text, HEX, 2)]
-    return F.sort_array(F.concat(*found))
+    found = F.concat(_matches(text, ASSIGN, 0, 1, ASSIGN_LEAST), _matches(text, ACCESS, 1), _matches(text, HEX, 2))
+    return F.sort_array(F.transform(found, lambda s: F.struct(s["start"], s["kind"], s["end"])))
 
 
 def labelled_samples(documents: DataFrame, text: str = "text", docs: int = SAMPLE_DOCS, tokens: int = SAMPLE_TOKENS) -> DataFrame:
@@ -65,6 +114,7 @@ def labelled_samples(documents: DataFrame, text: str = "text", docs: int = SAMPL
     for plain decimal numbers (card, phone and order numbers aren't secrets of this kind)."""
     ids = documents.select(F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(docs).select("doc_id").distinct()
     some = documents.join(F.broadcast(ids), "doc_id").select(F.coalesce(F.col(text), F.lit("")).alias("t"))
+    some = written(some.orderBy(F.xxhash64("t"), "t").limit(docs), "secret-sample")
     value = F.regexp_extract_all("t", F.lit(f"{ASSIGN}|({ACCESS})|({HEX})"), F.lit(0))
     keyed = some.select(F.explode(value).alias("token")).select(F.regexp_extract("token", r"([A-Za-z0-9+/_=-]+)$", 1).alias("token")).filter(F.col("token").rlike("[0-9]") & (F.length("token") >= 12))
     words = some.select(F.explode(F.regexp_extract_all("t", F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z_-]{3,}(?![A-Za-z0-9+/_=-])"), F.lit(0))).alias("token"))
@@ -74,7 +124,7 @@ def labelled_samples(documents: DataFrame, text: str = "text", docs: int = SAMPL
     )).alias("token"))
     numbers = documents.sparkSession.range(tokens // 4).select(F.abs(F.xxhash64("id")).cast("string").alias("token"))
     common = words.distinct().orderBy(F.xxhash64("token"), "token").limit(tokens).union(numbers)
-    return keyed.limit(tokens).union(made).select("token", F.lit(1).alias("label")).union(common.select("token", F.lit(0).alias("label")))
+    return keyed.orderBy(F.xxhash64("token"), "token").limit(tokens).union(made).select("token", F.lit(1).alias("label")).union(common.select("token", F.lit(0).alias("label")))
 
 
 def train(samples: DataFrame, add: float = 0.5) -> list[float]:
@@ -104,42 +154,23 @@ def ratio(token: Column, model: list[float]) -> Column:
     return F.aggregate(F.split(token, ""), zero, step, lambda acc: acc["s"])
 
 
-def _pieces(s: Column, base: Column) -> Column:
-    """What the base spans (sorted by start) leave of a candidate, where it is long enough for one."""
-    piece = lambda a, b: F.struct(a.cast("int").alias("start"), s["kind"].alias("kind"), b.cast("int").alias("end"))
-    some = lambda a, b: F.filter(F.array(piece(a, b)), lambda p: p["end"] - p["start"] >= CANDIDATE_LEAST)
-    zero = F.struct(s["start"].alias("at"), F.filter(F.array(piece(s["start"], s["start"])), lambda p: p["end"] > p["start"]).alias("out"))
-
-    def step(acc: Column, b: Column) -> Column:
-        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], some(acc["at"], b["start"])).alias("out"))
-
-    over = F.filter(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return F.aggregate(over, zero, step, lambda acc: F.concat(acc["out"], some(acc["at"], s["end"])))
-
-
-def scan(documents: DataFrame, model: list[float], text: str = "text") -> DataFrame:
-    """The documents with ``base`` and ``spans``, arrays of (start, kind, end); kind counts in KINDS."""
+def scan(documents: DataFrame, model: list[float], text: str = "text", base: str = "base", spans: str = "spans") -> DataFrame:
+    """The documents with two arrays of (start, kind, end): the base spans, and all; kind counts in KINDS."""
     d = documents.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    d = d.withColumn("base", base_spans(F.col("_t"))).withColumn("_c", _matches(F.col("_t"), CANDIDATE, 3))
-    cut = lambda s: F.col("_t").substr(s["start"] + 1, s["end"] - s["start"])
-    d = d.withColumn("_c", F.when(F.size("base") > 0, F.flatten(F.transform("_c", lambda s: _pieces(s, F.col("base"))))).otherwise(F.col("_c")))
-    d = d.withColumn("_s", F.transform("_c", lambda s: F.struct(s.alias("s"), ratio(cut(s), model).alias("r"))))
+    d = d.withColumn(base, base_spans(F.col("_t")))
+    bare = _replaced(F.col("_t"), F.col(base), lambda _, a, b: F.repeat(F.lit(" "), b - a))
+    d = d.withColumn("_t", F.when(F.size(base) > 0, bare).otherwise(F.col("_t"))).withColumn("_t", _matches(F.col("_t"), CANDIDATE, 3))
+    d = d.withColumn("_t", F.transform("_t", lambda s: F.struct(s.alias("s"), ratio(s["m"], model).alias("r"))))
     random = lambda x: (x["r"] >= LEAST_TOTAL) & (x["r"] >= LEAST_MEAN * (x["s"]["end"] - x["s"]["start"]))
-    added = F.transform(F.filter("_s", random), lambda x: x["s"])
-    return d.withColumn("spans", F.sort_array(F.concat("base", added))).drop("_t", "_c", "_s")
-
-
-def redacted(scanned: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """Replace every span (overlapping ones as one) by the mark; the span columns go."""
-    t = F.col(text)
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    added = F.transform(F.filter("_t", random), lambda x: F.struct(x["s"]["start"], x["s"]["kind"], x["s"]["end"]))
+    return d.withColumn(spans, F.sort_array(F.concat(base, added))).drop("_t")
 
-    def step(acc: Column, s: Column) -> Column:
-        new = F.concat(acc["out"], t.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
 
-    whole = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], t.substr(acc["at"] + 1, F.length(t))))
-    return scanned.withColumn(text, F.when(F.size("spans") > 0, whole).otherwise(t)).drop("base", "spans")
+def redacted(documents: DataFrame, model: list[float], text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """The documents with every span (overlapping ones as one) replaced by the mark."""
+    d = scan(documents, model, text, "_base", "_spans")
+    new = _replaced(F.col(text), F.col("_spans"), lambda start, free, _: F.when(start == free, mark).otherwise(""))
+    return d.withColumn(text, new).drop("_base", "_spans")
 
 
 def _listed(spans: str) -> Column:
