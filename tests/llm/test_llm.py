@@ -165,6 +165,46 @@ def test_decontaminate(spark, odd):
     assert decontaminate.matches(odd.limit(0), bench).count() == 0
 
 
+def test_decontaminate_plain(spark):
+    """Hits, and each item's longest match with its first place, against a plain search."""
+    rng = np.random.default_rng(11)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 4, n)]
+    items = [word(int(n)) for n in rng.integers(0, 40, 12)] + [["a"] * 30, ["a"] * 10, ["a", "b"] * 8]
+    texts = [word(int(n)) for n in rng.integers(0, 300, 20)] + [["a"] * 50, ["b", "a"] * 20, items[3] * 2, []]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    want = {}
+    for d, t in enumerate(texts):
+        hit, best = set(), {}
+        for k, w in enumerate(items):
+            m = min(10, len(w))
+            for i in range(len(t)):
+                for j in range(len(w)):
+                    n = 0
+                    while i + n < len(t) and j + n < len(w) and t[i + n] == w[j + n]:
+                        n += 1
+                    if m and n >= m:
+                        hit |= set(range(i, i + n))
+                        if -n < best.get(str(k), (0,))[0]:
+                            best[str(k)] = (-n, i, j)
+        want[d] = (len(t), len(hit), {k: (-n, i, j) for k, (n, i, j) in best.items()})
+    for limit in (10_000, 60):
+        got = decontaminate.matches(df, bench, block_words=limit).collect()
+        assert {r.doc_id: (r.n_words, r.n_hit, {m.item_id: (m.n_words, m.doc_word, m.item_word) for m in r.matches}) for r in got} == want
+        assert all(sum(h.end - h.start for h in r.hits) == r.n_hit for r in got)
+
+
+def test_decontaminate_repetition():
+    """A text of one word against an item of that word: beginnings, not all pairs of windows."""
+    tests = decontaminate.Tests(["x"], [" ".join(["w"] * 400)])
+    start = time.process_time()
+    shard = decontaminate.Shard([" ".join(["w"] * 60_000)])
+    shard.search(tests, 0)
+    ranges, m = shard.found()
+    assert ranges[0].tolist() == [[0, 60_000]] and m.tolist() == [[0, 0, 0, 0, 0, 400]]
+    assert time.process_time() - start < 3
+
+
 # --- secrets ---
 
 
