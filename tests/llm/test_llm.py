@@ -463,8 +463,11 @@ def plain_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize(("pairs", "hot"), [(32, 60_000), (2, 60_000), (32, 8)])
-def test_suffix_dedup(spark, pairs, hot):
+@pytest.mark.parametrize(("pairs", "hot", "bits"), [(32, 60_000, 29), (2, 60_000, 29), (32, 8, 29), (32, 8, 7)])
+def test_suffix_dedup(spark, pairs, hot, bits, monkeypatch):
+    """Also with large classes, hot prefixes, and a full table."""
+    monkeypatch.setattr(suffix_dedup, "MOST_BITS", bits)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 1000)
     rng = np.random.default_rng(7)
     letters = lambda n: "".join(rng.choice(list("abcdé \n"), n))
     parts = [letters(int(n)) for n in (70, 130, 199, 200, 230, 300, 450)]

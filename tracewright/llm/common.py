@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,11 +77,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Running polynomial sums; ``range_hash`` gives from them the hash of any range."""
+def prefix_hash(data: np.ndarray, other: bool = False) -> np.ndarray:
+    """Running polynomial sums; ``range_hash`` gives from them the hash of any range. ``other``: with
+    other values for the bytes, for a second hash."""
     up, _ = powers(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=out[1:])
+    np.cumsum((mixed(_BYTE) if other else _BYTE)[data] * up[: len(data)], out=out[1:])
     return out
 
 
@@ -90,6 +92,16 @@ def range_hash(sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (sums[b] - sums[a]) * down[a]
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Unsigned values by byte planes, so that empty upper bytes cost nothing."""
+    return zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), 1)
+
+
+def unpacked(data: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def word_table(kind: str) -> np.ndarray:
     """Which bytes of UTF-8 belong to words: ``blank`` (all but white space) or ``alnum`` (0-9, A-Z, a-z and all above 7F)."""
     t = np.ones(256, bool)

@@ -18,7 +18,6 @@ columns pass through ``scored``.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -27,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, batches, mixed, table
+from .common import Words, batches, mixed, packed, table, unpacked
 
 #: Characters of a chunk of documents and those that a slice of the hash range stands for, on
 #: average; the numbers of both grow with the corpus. Small corpora are still dealt out.
@@ -52,16 +51,6 @@ def keys(texts) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     return doc, {k: mixed(raw[k]) & ~np.uint64(3) | np.uint64(i) for i, k in enumerate(KINDS)}
 
 
-def _packed(x: np.ndarray) -> bytes:
-    """Unsigned values by byte planes, so that empty upper bytes cost nothing."""
-    return zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), 1)
-
-
-def _unpacked(data: bytes, kind) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
-
-
 class _Chunk:
     """A chunk's tokens: their texts, and for each kind their places among its sorted distinct keys."""
 
@@ -128,7 +117,7 @@ def _partials(dealt: DataFrame, target: str, text: str, slices: int) -> DataFram
         c = _Chunk(own, text)
         n, good = c.counted(), c.counted(own[target].eq(True).to_numpy(bool)[c.doc])
         cut = c.cuts(slices)
-        rows = [(key[0], s, _packed(np.diff(c.keys[a:b], prepend=np.uint64(0))), _packed(n[a:b]), _packed(good[a:b])) for s, (a, b) in enumerate(zip(cut, cut[1:], strict=False))]
+        rows = [(key[0], s, packed(np.diff(c.keys[a:b], prepend=np.uint64(0))), packed(n[a:b]), packed(good[a:b])) for s, (a, b) in enumerate(zip(cut, cut[1:], strict=False))]
         return pd.DataFrame(rows, columns=["chunk", "slice", "keys", "n", "good"])
 
     return dealt.groupBy("_chunk").applyInPandas(count, "chunk long, slice long, keys binary, n binary, good binary")
@@ -142,9 +131,9 @@ def _answers(partials: DataFrame) -> DataFrame:
         chunk, own, n, good = [], [], [], []
         for pdf in frames:
             chunk += pdf["chunk"].tolist()
-            own += [np.cumsum(_unpacked(d, np.uint64), dtype=np.uint64) for d in pdf["keys"]]
-            n += [_unpacked(d, np.uint64).astype(np.uint32) for d in pdf["n"]]
-            good += [_unpacked(d, np.uint64).astype(np.uint32) for d in pdf["good"]]
+            own += [np.cumsum(unpacked(d, np.uint64), dtype=np.uint64) for d in pdf["keys"]]
+            n += [unpacked(d, np.uint64).astype(np.uint32) for d in pdf["n"]]
+            good += [unpacked(d, np.uint64).astype(np.uint32) for d in pdf["good"]]
         first = np.cumsum([0] + [len(x) for x in own])
         known, where = np.unique(np.concatenate(own), return_inverse=True)
         del own
@@ -153,7 +142,7 @@ def _answers(partials: DataFrame) -> DataFrame:
         sums = [int(x[kind == i].sum()) for x in (all_n, all_good) for i in range(3)] + [int((kind == 0).sum())]
         for i, c in enumerate(chunk):
             mine = where[first[i] : first[i + 1]]
-            yield pd.DataFrame({"chunk": [c], "slice": [key[0]], "n": [_packed(all_n[mine])], "good": [_packed(all_good[mine])], "sums": [sums]})
+            yield pd.DataFrame({"chunk": [c], "slice": [key[0]], "n": [packed(all_n[mine])], "good": [packed(all_good[mine])], "sums": [sums]})
 
     return partials.groupBy("slice").applyInPandas(add, "chunk long, slice long, n binary, good binary, sums array<long>")
 
@@ -194,7 +183,7 @@ def scored(documents: DataFrame, models: Models, target: str, text: str = "text"
         own = _marked(pdf, target)
         c = _Chunk(own, text)
         answers = answers.sort_values("slice")
-        total = {m: np.concatenate([_unpacked(d, np.uint64) for d in answers[k]] or [np.zeros(0)]).astype(np.float64) for m, k in ((0, "n"), (1, "good"))}
+        total = {m: np.concatenate([unpacked(d, np.uint64) for d in answers[k]] or [np.zeros(0)]).astype(np.float64) for m, k in ((0, "n"), (1, "good"))}
         if len(answers) != slices or len(total[0]) != len(c.keys):
             raise ValueError("these documents are not those that the models counted")
         sums = np.array(answers["sums"].tolist(), np.int64).sum(0)

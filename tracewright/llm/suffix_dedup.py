@@ -6,9 +6,12 @@ Every byte under a string of LENGTH bytes that also starts elsewhere is found (a
    GRAM bytes, among the first SPAN positions, is an anchor. Equal windows have their anchor at the
    same offset, so two equal windows show as two suffixes (at the anchors) that agree for at least
    CORE = LENGTH - SPAN + 1 bytes. Nothing is sampled away: each window has its anchor.
-2. Distinguishing prefixes. A table of fixed size counts the hashes of the suffixes' first CORE
-   bytes (two or more is one bit); suffixes whose CORE is unique can't take part in a repeat and
-   are not exchanged.
+2. Distinguishing prefixes. The hashes of the suffixes' first CORE bytes are counted by a shuffle,
+   in slices of the hash range whose number grows with the input. Those that stand twice or more
+   set a bit of a table that is sized by the input too (up to 2**MOST_BITS bits, which is what is
+   broadcast); suffixes whose CORE is unique can't take part in a repeat and are not exchanged.
+   (Where so many different COREs repeat that the table fills, unique ones pass as well: more is
+   exchanged, with the same result.)
 3. Merge sort. Each task sorts its suffixes, front-codes them (common prefix with the one before,
    and the rest) and sends the pieces of its run to the range buckets given by sampled splitters.
    A bucket merges its runs with a loser tree that keeps, for each loser, its common prefix with
@@ -17,8 +20,8 @@ Every byte under a string of LENGTH bytes that also starts elsewhere is found (a
 4. Reading repeats off. Neighbours in the order with a common prefix of CORE or more form a class.
    For every pair in a class, left agreement plus right agreement of LENGTH or more is a repeat;
    classes too large for pairs compare their members' windows by hash instead (exact as well).
-   Prefixes so frequent that a class could outgrow a task (HOT, and far above the mean) never enter
-   the sort: their windows are counted by a shuffled aggregation.
+   Prefixes so frequent that a class could outgrow a task (HOT different contexts) never enter the
+   sort: their windows are counted by a shuffled aggregation, by two hashes of 64 bits.
 
 Defined results: null and empty texts have no bytes; texts shorter than LENGTH lose nothing;
 repeated rows are copies of each other and lose all they share; matches never cross rows.
@@ -36,12 +39,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mixed, prefix_hash, range_hash, table
+from .common import mixed, packed, prefix_hash, range_hash, table, unpacked
 
 GRAM = 16
-#: Bits of the table of step 2, of a slice of it, and the splitters' sample.
-TABLE_BITS, SLICE_BITS = 27, 20
-SAMPLE, SAMPLE_GROUPS = 20_480, 32
+#: Bytes of text for each bit of the table of step 2 (an anchor comes about every 60 bytes), its greatest
+#: size, and the anchors that a slice of the hash range stands for.
+BIT_BYTES, LEAST_BITS, MOST_BITS, SLICE_ANCHORS = 30, 20, 29, 2_000_000
+#: Bits of a CORE's hash that are counted.
+HASH_BITS = 48
+#: Bytes of text for each bucket of the sort, and sampled suffixes for each splitter.
+BUCKET_BYTES, SAMPLE, SAMPLE_GROUPS = 32_000_000, 16, 32
 #: Classes up to PAIRS distinct members are compared in pairs; prefixes from HOT on skip the sort.
 PAIRS, HOT = 32, 60_000
 CHUNK_BYTES, RUN_BYTES = 1_000_000, 8_000_000
@@ -116,24 +123,43 @@ def _chunks(parts: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple
 # --- step 2: which cores are not unique -----------------------------------------------------
 
 
-def core_table(texts: DataFrame, shape: Shape) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """(bits of cells counted twice or more, hot cells, sampled suffix heads)."""
-    shift = np.uint64(64 - TABLE_BITS)
-    low = (1 << SLICE_BITS) - 1
+class Table:
+    """What all tasks know of the COREs: the bits of those that repeat, the hot ones, and the splitters."""
 
-    def pieces(cells: list, counts: list, ranks: list, heads: list) -> Iterator[pd.DataFrame]:
-        cell, where = np.unique(np.concatenate(cells), return_inverse=True)
+    def __init__(self, bits: int, data: np.ndarray, hot: np.ndarray, splitters: list[bytes]):
+        self.shift, self.data, self.hot, self.splitters = np.uint64(64 - bits), data, hot, splitters
+
+    def split(self, c: Chunk) -> tuple[np.ndarray, np.ndarray]:
+        """Masks of the anchors that are sorted, and of those with a hot CORE."""
+        cell = (c.core >> self.shift).astype(np.int64)
+        twice = (self.data[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
+        near = np.minimum(np.searchsorted(self.hot, cell), max(len(self.hot) - 1, 0))
+        is_hot = self.hot[near] == cell if len(self.hot) else np.zeros(len(cell), bool)
+        return twice & ~is_hot, is_hot
+
+
+def core_table(texts: DataFrame, shape: Shape) -> tuple[Table, int]:
+    """The table of the texts' COREs, and the number of buckets of the sort."""
+    size = texts.agg(F.sum(F.octet_length("_t"))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, (size // BIT_BYTES).bit_length()))
+    slice_bits = min(bits - 3, max(4, (size // 60 // SLICE_ANCHORS).bit_length()))
+    buckets = max(4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
+    cut, to_slice, own_bits = np.uint64(64 - HASH_BITS), np.uint64(HASH_BITS - slice_bits), bits - slice_bits
+    sample_size = SAMPLE * buckets // SAMPLE_GROUPS
+
+    def pieces(cores: list, counts: list, ranks: list, heads: list) -> Iterator[pd.DataFrame]:
+        core, where = np.unique(np.concatenate(cores), return_inverse=True)
         n = np.bincount(where, np.concatenate(counts)).astype(np.uint32)
-        slices = np.unique(cell >> SLICE_BITS)
-        cut = np.searchsorted(cell, np.append(slices, slices[-1:] + 1) << SLICE_BITS)
-        body = [(cell[a:b] & low).astype(np.uint32).tobytes() + n[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        yield pd.DataFrame({"slice": slices, "rank": 0, "data": [zlib.compress(x, 1) for x in body]})
+        slices, first = np.unique(core >> to_slice, return_index=True)
+        ends = np.append(first[1:], len(core))
+        body = [packed(np.diff(core[a:b], prepend=np.uint64(0))) for a, b in zip(first, ends, strict=True)]
+        yield pd.DataFrame({"slice": slices.astype(np.int64), "rank": 0, "data": body, "n": [packed(n[a:b]) for a, b in zip(first, ends, strict=True)]})
         rank = np.concatenate(ranks)
-        some = np.argsort(rank)[:64]
-        yield pd.DataFrame({"slice": -1 - (rank[some] % np.uint64(SAMPLE_GROUPS)).astype(int), "rank": rank[some].astype(np.int64), "data": [heads[i] for i in some]})
+        some = np.argsort(rank)[:256]
+        yield pd.DataFrame({"slice": -1 - (rank[some] % np.uint64(SAMPLE_GROUPS)).astype(int), "rank": rank[some].astype(np.int64), "data": [heads[i] for i in some], "n": b""})
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells, counts, ranks, heads = [], [], [], []
+        cores, counts, ranks, heads = [], [], [], []
         for _, raw in _chunks(parts, []):
             c = Chunk(raw, shape)
             if not len(c.at):
@@ -141,54 +167,50 @@ def core_table(texts: DataFrame, shape: Shape) -> tuple[np.ndarray, np.ndarray,
             # what counts is different contexts, since equal ones are settled where they stand; twice the same is 2
             whole = mixed(range_hash(c.sums, c.lo, c.hi) + (c.at - c.lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             first = np.unique(whole, return_index=True)[1]
-            cell, where = np.unique((c.core >> shift).astype(np.int64), return_inverse=True)
-            cells.append(cell)
-            counts.append(np.maximum(np.bincount(where[first], minlength=len(cell)), np.minimum(np.bincount(where), 2)))
+            core, where = np.unique(c.core >> cut, return_inverse=True)
+            cores.append(core)
+            counts.append(np.maximum(np.bincount(where[first], minlength=len(core)), np.minimum(np.bincount(where), 2)))
             rank = mixed(c.core + c.at.astype(np.uint64)) >> np.uint64(1)
             some = np.argsort(rank)[:64]
             ranks.append(rank[some])
             heads += [c.bytes[p : p + shape.core] for p in c.at[some].tolist()]
-            if sum(map(len, cells)) > 4_000_000:
-                yield from pieces(cells, counts, ranks, heads)
-                cells, counts, ranks, heads = [], [], [], []
-        if cells:
-            yield from pieces(cells, counts, ranks, heads)
+            if sum(map(len, cores)) > 2_000_000:
+                yield from pieces(cores, counts, ranks, heads)
+                cores, counts, ranks, heads = [], [], [], []
+        if cores:
+            yield from pieces(cores, counts, ranks, heads)
 
     def add(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if key[0] < 0:  # the sample: the least ranks
             best: list[tuple[int, bytes]] = []
             for pdf in frames:
-                best = sorted([*best, *zip(pdf["rank"], pdf["data"], strict=True)])[: SAMPLE // SAMPLE_GROUPS]
+                best = sorted([*best, *zip(pdf["rank"], pdf["data"], strict=True)])[:sample_size]
             yield pd.DataFrame({"slice": -1, "bits": [d for _, d in best], "hot": b""})
             return
-        total = np.zeros(1 << SLICE_BITS, np.int64)
+        cores, counts = [], []
         for pdf in frames:
-            for d in pdf["data"]:
-                body = np.frombuffer(zlib.decompress(d), np.uint32)
-                total[body[: len(body) // 2]] += body[len(body) // 2 :]
-        # a cell is hot by itself and against the others: a full table makes none
-        hot = np.flatnonzero(total >= max(shape.hot, 64 * total.mean())).astype(np.uint32)
-        yield pd.DataFrame({"slice": [key[0]], "bits": [zlib.compress(np.packbits(total > 1).tobytes(), 1)], "hot": [hot.tobytes()]})
-
-    out = np.zeros((1 << (TABLE_BITS - SLICE_BITS), 1 << (SLICE_BITS - 3)), np.uint8)
-    hot, sample = [], []
-    counted = texts.select("_t").mapInPandas(count, "slice int, rank long, data binary")
-    for r in counted.groupBy("slice").applyInPandas(add, "slice int, bits binary, hot binary").toLocalIterator():
+            cores += [np.cumsum(unpacked(d, np.uint64), dtype=np.uint64) for d in pdf["data"]]
+            counts += [unpacked(d, np.uint32) for d in pdf["n"]]
+        core, where = np.unique(np.concatenate(cores), return_inverse=True)
+        total = np.bincount(where, np.concatenate(counts))
+        cell = (core >> np.uint64(HASH_BITS - bits)).astype(np.int64)
+        flags = np.zeros(1 << own_bits, bool)
+        flags[cell[total > 1] - (key[0] << own_bits)] = True
+        hot = np.unique(cell[total >= shape.hot])
+        yield pd.DataFrame({"slice": [key[0]], "bits": [zlib.compress(np.packbits(flags).tobytes(), 1)], "hot": [hot.tobytes()]})
+
+    out = np.zeros((1 << slice_bits, 1 << (own_bits - 3)), np.uint8)
+    hot, sample = [np.empty(0, np.int64)], []
+    counted = texts.select("_t").mapInPandas(count, "slice long, rank long, data binary, n binary")
+    for r in counted.groupBy("slice").applyInPandas(add, "slice long, bits binary, hot binary").toLocalIterator():
         if r["slice"] < 0:
             sample.append(bytes(r["bits"]))
         else:
             out[r["slice"]] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
-            hot.append((r["slice"] << SLICE_BITS) + np.frombuffer(r["hot"], np.uint32).astype(np.int64))
-    return out.ravel(), np.sort(np.concatenate(hot)) if hot else np.empty(0, np.int64), sorted(sample)
-
-
-def _split(c: Chunk, bits: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Masks of the anchors that are sorted, and of those with a hot core."""
-    cell = (c.core >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-    twice = (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
-    near = np.minimum(np.searchsorted(hot, cell), max(len(hot) - 1, 0))
-    is_hot = hot[near] == cell if len(hot) else np.zeros(len(cell), bool)
-    return twice & ~is_hot, is_hot
+            hot.append(np.frombuffer(r["hot"], np.int64))
+    sample.sort()
+    splitters = sorted({sample[len(sample) * i // buckets] for i in range(1, buckets)}) if sample else []
+    return Table(bits, out.ravel(), np.sort(np.concatenate(hot)), splitters), buckets
 
 
 # --- step 3: sorted, front-coded runs and their merge ---------------------------------------
@@ -333,7 +355,7 @@ def _unpack(blob: bytes):
     return keys, lcps, right, names[mine], pos, settled[mine].astype(bool)
 
 
-def _runs(parts: Iterator[pd.DataFrame], shape: Shape, bits, hot) -> Iterator[Run]:
+def _runs(parts: Iterator[pd.DataFrame], shape: Shape, known: Table) -> Iterator[Run]:
     """The task's suffixes, as runs of RUN_BYTES of text at most (or one longer text)."""
     run = Run()
     for keys, raw in _chunks(parts, ["_id", "_tag"]):
@@ -342,7 +364,7 @@ def _runs(parts: Iterator[pd.DataFrame], shape: Shape, bits, hot) -> Iterator[Ru
             yield run
             run = Run()
         c = Chunk(raw, shape)
-        c.keep(_split(c, bits, hot)[0])
+        c.keep(known.split(c)[0])
         run.add(keys, c, size)
     yield run
 
@@ -490,15 +512,12 @@ def spans(documents: DataFrame, length: int = 200, id_col: str = "doc_id", text:
     shape = Shape(length, pairs, hot_from)
     spark = documents.sparkSession
     texts = documents.select(*_keyed(id_col, text)).filter(F.octet_length("_t") >= length)
-    bits, hot, sample = core_table(texts, shape)
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    splitters = sorted({sample[len(sample) * i // buckets] for i in range(1, buckets)}) if sample else []
-    state = spark.sparkContext.broadcast((bits, hot, splitters))
+    known, buckets = core_table(texts, shape)
+    state = spark.sparkContext.broadcast(known)
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, hot, splitters = state.value
-        for run in _runs(parts, shape, bits, hot):
-            rows = list(run.pieces(splitters))
+        for run in _runs(parts, shape, state.value):
+            rows = list(run.pieces(state.value.splitters))
             done = run.spans()
             for i in range(0, len(done), 50_000):  # to any bucket: they only pass through
                 blob = zlib.compress(done[i : i + 50_000].tobytes(), 1)
@@ -515,7 +534,7 @@ def spans(documents: DataFrame, length: int = 200, id_col: str = "doc_id", text:
         yield pd.DataFrame(_bucket([b for pdf in frames for b in pdf["blob"]], shape), columns=names)
 
     found = texts.mapInPandas(cut, "bucket int, blob binary").groupBy("bucket").applyInPandas(join, "_id long, _tag long, a long, b long")
-    if len(hot):
+    if len(known.hot):
         found = found.union(_hot_spans(texts, shape, state))
     return found.groupBy("_id", "_tag").agg(F.collect_list(F.struct("a", "b")).alias("s"))
 
@@ -558,20 +577,22 @@ def _hot_spans(texts: DataFrame, shape: Shape, state) -> DataFrame:
     """Repeats among windows whose core is hot, by a shuffled count of window hashes."""
 
     def windows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, hot, _ = state.value
         for keys, raw in _chunks(parts, ["_id", "_tag"]):
             c = Chunk(raw, shape)
-            c.keep(_split(c, bits, hot)[1])
+            c.keep(state.value.split(c)[1])
+            if not len(c.at):
+                continue
             n = np.maximum(c.hi - shape.length - c.lo + 1, 0)
             s = np.unique(np.repeat(c.lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
             doc = np.searchsorted(c.bounds, s, "right") - 1
             rows = np.array(keys, np.int64).reshape(-1, 2)[doc]
-            h = mixed(range_hash(c.sums, s, s + shape.length)).view(np.int64)
-            yield pd.DataFrame({"_id": rows[:, 0], "_tag": rows[:, 1], "a": s - c.bounds[doc], "h": h})
+            sums = (c.sums, prefix_hash(np.frombuffer(c.bytes, np.uint8), other=True))
+            h, g = (mixed(range_hash(x, s, s + shape.length)).view(np.int64) for x in sums)
+            yield pd.DataFrame({"_id": rows[:, 0], "_tag": rows[:, 1], "a": s - c.bounds[doc], "h": h, "g": g})
 
-    rows = texts.mapInPandas(windows, "_id long, _tag long, a long, h long")
-    twice = rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    return rows.join(twice, "h", "left_semi").select("_id", "_tag", "a", (F.col("a") + shape.length).alias("b"))
+    rows = texts.mapInPandas(windows, "_id long, _tag long, a long, h long, g long")
+    twice = rows.groupBy("h", "g").agg(F.count("*").alias("n")).filter("n > 1").select("h", "g")
+    return rows.join(twice, ["h", "g"], "left_semi").select("_id", "_tag", "a", (F.col("a") + shape.length).alias("b"))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
