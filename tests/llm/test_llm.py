@@ -387,6 +387,8 @@ def test_mixing(spark, monkeypatch):
     assert out.exceptAll(mixing.mixed(df.repartition(7), rate, seed=3)).count() == 0
     counts = np.bincount([r["count"] for r in out.filter("source = 'a'").groupBy("doc_id").count().collect()], minlength=4)
     assert abs(counts[1] / 26_667 - 1.125 * np.exp(-1.125)) < 0.02
+    ids = np.array([r.doc_id for r in out.coalesce(1).collect()])  # no order of the input is left
+    assert abs(np.corrcoef(ids[:-1], ids[1:])[0, 1]) < 0.02 and 0.45 < np.mean(np.diff(ids) > 0) < 0.55
     only = mixing.mixed(df, mixing.rates(df, w.filter("source = 'b'")), seed=3)
     assert only.select("source").distinct().collect()[0].source == "b"
     assert mixing.mixed(df.limit(0), rate, 3).count() == 0

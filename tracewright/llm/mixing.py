@@ -3,7 +3,8 @@
 A source's rate is its target share of the corpus over its actual share (times ``scale``). Each
 document's count of copies is the inverse of the Poisson distribution with that mean at a
 hash-seeded uniform number, so it depends on the seed and the document alone: any retry, order
-or partitioning gives the same rows. Copies are exploded and dealt out by a hash (global shuffle).
+or partitioning gives the same rows. Copies are exploded, dealt out by a seeded hash and ordered by
+it inside each partition (global shuffle).
 Means above BLOCK are sums of independent Poisson parts, so that no term underflows.
 
 Defined results: a source without a weight, or with weight 0 or less, gets no copy; a null source
@@ -65,8 +66,9 @@ def mixed(documents: DataFrame, rate: DataFrame, seed: int, source: str = "sourc
     sums = F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda acc, j: acc + poisson_inverse(F.col("rate") / parts, u(j)))
     d = d.withColumn("_k", sums).filter("_k > 0")
     d = d.withColumn("replica", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).drop("_k", "_s", "rate")
-    key = F.xxhash64(F.lit(seed), F.col(id_col), F.col("replica"))
-    return d.repartition(key)
+    # the whole order is that of seeded hashes; the place of origin parts rows that are equal
+    d = d.withColumn("_key", F.xxhash64(F.lit(seed), F.col(id_col), F.col("replica"))).withColumn("_from", F.spark_partition_id())
+    return d.repartition("_key", "_from").sortWithinPartitions("_key", "_from").drop("_key", "_from")
 
 
 #: Target weights of the query: sources in three tiers by the last digit of their names.
