@@ -1,12 +1,14 @@
 """Quality classifier: attention-based multiple-instance learning.
 
 A document is a bag of passages of PASSAGE_WORDS words. Each passage is measured (shares of
-character classes, word lengths, repetition) and encoded by a learned layer; gated attention
-(tanh times sigmoid) weighs the passages; the weighted sum of encodings is scored by a logistic
-layer. Only document labels are used. The model is a few hundred numbers, fitted with Adam on a
-sample of at most SAMPLE labelled documents, chosen by a hash of the id and balanced by class;
-class weights restore the labels' own ratio, so that scores are probabilities. Scoring runs over
-all documents inside Spark's tasks, text by text, without a shuffle.
+character classes, word lengths, repetition, and signed sums of hashed words and of hashed character
+trigrams) and encoded by a learned layer; gated attention (tanh times sigmoid) weighs the passages;
+the weighted sum of encodings is scored by a logistic layer. Only document labels are used. The model
+is about two thousand numbers, fitted with Adam on a sample of at most SAMPLE labelled documents,
+chosen by a hash of the id and balanced by class, and at most FIT_PASSAGES evenly spaced passages of
+each; a tenth of the sample is not fitted but tells when to stop. Class weights restore the labels'
+own ratio, so that scores are probabilities. Scoring runs over all passages of all documents inside
+Spark's tasks, text by text, without a shuffle.
 
 Defined results: null and empty texts are one empty passage and get that passage's score; labels
 that are null are not learned; repeated rows are scored alike; with labels of a single class (or
@@ -27,16 +29,22 @@ from .common import Words, batches, mixed, table
 PASSAGE_WORDS = 48
 #: Most labelled documents that are learned from, half of each class where there are so many.
 SAMPLE = 6000
+#: Most passages of one document that are learned from (scoring uses all).
+FIT_PASSAGES = 48
 THRESHOLD = 0.3
 #: Characters measured at once; about 100 bytes of arrays each.
 BATCH_CHARS = 1_000_000
 ENCODING, ATTENTION, STEPS, RATE, DECAY = 12, 8, 400, 0.02, 1e-4
+#: Steps without a better loss on the held-back tenth after which fitting stops; the greatest scaled measure.
+PATIENCE, LARGEST = 60, 5.0
 
 _CLASS = np.full(256, 10, np.uint8)  # other ASCII
 for _k, _bytes in enumerate((range(97, 123), range(65, 91), range(48, 58), b" \t\r\v\f", b"\n", b".,;:", b"!?", b"#*$%&<>", b"|", range(128, 256))):
     _CLASS[list(_bytes)] = _k
 N_CLASSES = 11
-N_FEATURES = N_CLASSES + 9
+#: Places of the hashed words and of the hashed trigrams.
+WORD_DIMS, GRAM_DIMS = 64, 32
+N_FEATURES = N_CLASSES + 9 + WORD_DIMS + GRAM_DIMS
 
 
 def passages(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +83,20 @@ def passages(texts) -> tuple[np.ndarray, np.ndarray]:
     marked = np.bincount(own, _CLASS[ends] >= 6, total) / some if len(own) else np.zeros(total)
     lone = np.bincount(own, size == 1, total) / some
     length = np.log1p(counts)[np.repeat(np.arange(len(texts)), n_pass)]
-    x = np.column_stack([np.sqrt(kinds / chars[:, None]), mean / 8, spread / 5, np.bincount(own, same, total) / some, distinct, marked, lone, n / PASSAGE_WORDS, length / 6, n == 0])
+    hashed = np.zeros((total, WORD_DIMS + GRAM_DIMS))
+    if len(own):
+        sign = lambda h: 1.0 - 2.0 * (h >> np.uint64(40) & np.uint64(1)).astype(float)
+        where = own * WORD_DIMS + (low % np.uint64(WORD_DIMS)).astype(np.int64)
+        hashed[:, :WORD_DIMS] = np.bincount(where, sign(low), total * WORD_DIMS).reshape(total, -1) / np.sqrt(some)[:, None]
+        # trigrams of bytes inside words: each word's places but its last two
+        data = w.data.astype(np.uint64)
+        inner = np.maximum(w.end - w.start - 2, 0)
+        at = np.repeat(w.start - np.cumsum(inner) + inner, inner) + np.arange(inner.sum())
+        gram = mixed(data[at] << np.uint64(16) | data[at + 1] << np.uint64(8) | data[at + 2])
+        where = np.repeat(own, inner) * GRAM_DIMS + (gram % np.uint64(GRAM_DIMS)).astype(np.int64)
+        grams = np.bincount(own, inner, total)
+        hashed[:, WORD_DIMS:] = np.bincount(where, sign(gram), total * GRAM_DIMS).reshape(total, -1) / np.sqrt(np.maximum(grams, 1))[:, None]
+    x = np.column_stack([np.sqrt(kinds / chars[:, None]), mean / 8, spread / 5, np.bincount(own, same, total) / some, distinct, marked, lone, n / PASSAGE_WORDS, length / 6, n == 0, hashed])
     return x, first
 
 
@@ -102,34 +123,55 @@ class Model:
             self.share = float(label.mean()) if len(label) else 0.5
             return self
         self.shift, self.scale = x.mean(0), x.std(0) + 1e-6
-        x = (x - self.shift) / self.scale
+        # hashed sums are noisier than the shares: they count for less, and nothing counts for more than LARGEST
+        self.scale[-WORD_DIMS - GRAM_DIMS :] *= 2
+        x = self.scaled(x)
         rng = np.random.default_rng(seed)
+        held = rng.random(len(label)) < 0.1
+        if len(set(label[held].tolist())) < 2 or len(set(label[~held].tolist())) < 2:
+            held = np.zeros(len(label), bool)  # too few to hold any back
+        own = np.repeat(held, np.diff(first))
+        cut = lambda bags, rows: (x[rows], np.concatenate([[0], np.cumsum(np.diff(first)[bags])]), label[bags], weight[bags] / weight[bags].sum())
+        xt, ft, yt, wt = cut(~held, ~own)
+        check = cut(held, own) if held.any() else None
         n, k, m = x.shape[1], ENCODING, ATTENTION
         shapes = {"W": (n, k), "b": (k,), "V": (k, m), "U": (k, m), "a": (m,), "o": (k,), "c": ()}
         self.p = {name: rng.normal(0, 1 / np.sqrt(s[0] if s else 1), s) if name not in "bc" else np.zeros(s) for name, s in shapes.items()}
         m1, m2 = ({name: np.zeros(s) for name, s in shapes.items()} for _ in range(2))
-        weight = weight / weight.sum()
+        best, kept, since = np.inf, self.p, 0
         for i in range(1, STEPS + 1):
             p = self.p
-            h, t, g, bag, att, z, y = self.forward(x, first)
-            dy = (y - label) * weight
+            h, t, g, bag, att, z, y = self.forward(xt, ft)
+            dy = (y - yt) * wt
             dz = dy[:, None] * p["o"]
             dh = att[:, None] * dz[bag]
             de = att * (((h - z[bag]) * dz[bag]).sum(1))
             dt, dg = de[:, None] * p["a"] * g * (1 - t * t), de[:, None] * p["a"] * t * g * (1 - g)
             dh = (dh + dt @ p["V"].T + dg @ p["U"].T) * (1 - h * h)
-            grad = {"W": x.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ dg, "a": (t * g).T @ de, "o": z.T @ dy, "c": dy.sum()}
+            grad = {"W": xt.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ dg, "a": (t * g).T @ de, "o": z.T @ dy, "c": dy.sum()}
+            made = {}
             for name, d in grad.items():
                 d = d + DECAY * p[name]
                 m1[name] = 0.9 * m1[name] + 0.1 * d
                 m2[name] = 0.999 * m2[name] + 0.001 * d * d
-                p[name] = p[name] - RATE * (m1[name] / (1 - 0.9**i)) / (np.sqrt(m2[name] / (1 - 0.999**i)) + 1e-8)
+                made[name] = p[name] - RATE * (m1[name] / (1 - 0.9**i)) / (np.sqrt(m2[name] / (1 - 0.999**i)) + 1e-8)
+            self.p = made
+            if check and i % 5 == 0:
+                y = np.clip(self.forward(*check[:2])[-1], 1e-9, 1 - 1e-9)
+                loss = -(check[3] * np.where(check[2] == 1, np.log(y), np.log(1 - y))).sum()
+                best, kept, since = (loss, self.p, 0) if loss < best - 1e-6 else (best, kept, since + 5)
+                if since >= PATIENCE:
+                    break
+        self.p = kept if check else self.p
         return self
 
     def score(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
         if self.p is None:
             return np.full(len(first) - 1, self.share)
-        return self.forward((x - self.shift) / self.scale, first)[-1]
+        return self.forward(self.scaled(x), first)[-1]
+
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.shift) / self.scale, -LARGEST, LARGEST)
 
 
 def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", limit: int = SAMPLE) -> Model:
@@ -149,11 +191,12 @@ def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text:
     def measure(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches(parts, text, BATCH_CHARS):
             x, first = passages(pdf[text].tolist())
-            cut = [x[a:b].astype(np.float32).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+            some = [np.unique(np.linspace(a, b - 1, min(b - a, FIT_PASSAGES)).astype(int)) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            cut = [x[i].astype(np.float32).tobytes() for i in some]
             yield pd.DataFrame({"id": pdf[id_col], "y": pdf["_y"], "x": cut})
 
     kind = documents.schema[id_col].dataType.simpleString()
-    got = rows.mapInPandas(measure, f"id {kind}, y int, x binary").toPandas().drop_duplicates("id").sort_values("id")
+    got = rows.mapInPandas(measure, f"id {kind}, y int, x binary").toPandas().sort_values(["id", "x"], kind="stable").drop_duplicates("id")
     if not len(got):
         return Model()
     parts = [np.frombuffer(b, np.float32).reshape(-1, N_FEATURES) for b in got["x"]]
