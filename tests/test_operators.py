@@ -38,14 +38,43 @@ def test_changepoints():
 def test_cycles_and_gate_and_clock():
     t = np.arange(8.0)
     assert kernels.cycles(t, np.array([10, 12, 2, 1, 3, 11, 12, 12.0]), 8) == [(1.0, 3.0, 5.0)]
-    x = np.array([0, 0, 1, 1, 1, 0, 0, 0, 1, 0, 1, 1, 1.0])
-    gate = kernels.residual_gate(np.arange(13.0), x, 0.5, 2.0)
-    assert gate.tolist() == [True] * 5 + [False] * 5 + [True] * 3
     anchors = kernels.clock_map(np.arange(6.0), np.arange(6) * 10.0, np.arange(12) / 2, np.repeat(np.arange(6) * 10.0, 2), 0.05, 5)
     assert anchors == [(float(k), float(k)) for k in range(6)]
     assert kernels.clock_map(np.arange(3.0), np.arange(3.0), np.arange(3.0), np.arange(3.0), 0.05, 5) == []
 
 
+def test_residual_gate(spark):
+    x = [0, 0, 1, 1, 1, 0, 0, 0, 1, 0, 1, 1, 1.0]
+    df = spark.createDataFrame([(1, i, float(i), float(v)) for i, v in enumerate(x)] + [(2, 0, 0.0, 1.0)], "k int, i int, t double, x double")
+    got = detect.residual_gate(df, "k", "i", "t", "x", 0.5, 2.0).orderBy("k", "i").collect()
+    assert [r.open for r in got] == [True] * 5 + [False] * 5 + [True] * 3 + [True]
+
+
+def test_contacts_are_the_latch(spark):
+    """The windowed form against the row-by-row latch, on noise with ties of time and nulls."""
+    rng = np.random.default_rng(5)
+    rows = [(k, i, float(t), float(v)) for k in range(12) for i, (t, v) in enumerate(zip(np.cumsum(rng.choice([0, 0.1, 0.3], 300)), np.cumsum(rng.normal(0, 0.06, 300)), strict=True))]
+    df = spark.createDataFrame(rows, "k int, i int, t double, x double")
+    got = sorted((r.k, r.kind, r.start, r.fired) for r in detect.contacts(df, "k", "i", "t", "x", detect.Rules()).collect())
+    want = sorted((k, *e) for k in range(12) for e in kernels.latch(*(np.array(c) for c in zip(*[(r[2], r[3]) for r in rows if r[0] == k], strict=True)), 0.15, 0.1, 0.2, 0.3))
+    assert got == want and len(got) > 20
+
+
+def test_clock_map_is_the_plain_search():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        raw = rng.integers(0, 30, 80) / 10
+        frames = rng.choice(raw, 20) + rng.normal(0, 0.03, 20)
+        t, want, at = np.cumsum(rng.choice([0, 1.0], 80)), [], 0
+        for k, v in enumerate(frames):
+            hit = [j for j in range(at, 80) if abs(raw[j] - v) <= 0.05]
+            if hit:
+                at = hit[0]
+                if not want or t[at] > want[-1][1]:
+                    want.append((float(k), float(t[at])))
+        assert kernels.clock_map(np.arange(20.0), frames, t, raw, 0.05, 1) == want
+
+
 def test_scale_groups():
     got = kernels.scale_groups([("a", 1, 10), ("b", 2, 20), ("c", 1e5, 1e7), ("d", 3, 3), ("e", 0.5, float("inf"))])
     assert got == [["a", "b"], ["c"], ["d"], ["e"]]

@@ -1,18 +1,17 @@
 """Event detection over a contact signal: passes from DataFrame to DataFrame.
 
-Only the debounced latch runs as a kernel; what follows is joins and windows over its few events.
+All of it is windows and joins: the debounced latch is the alternation of long enough stretches above
+and below its two levels.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import asof, islands
-from .kernels import latch, per_episode
 
 
 @dataclass(frozen=True)
@@ -34,13 +33,39 @@ class Rules:
     slow_s: float = 2.2
 
 
-def contacts(df: DataFrame, key: str, t: str, x: str, r: Rules) -> DataFrame:
-    """(key, kind, start, fired): onsets and terminals of the debounced latch."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(latch(pdf[t].to_numpy(float), pdf[x].to_numpy(float), r.enter, r.leave, r.enter_s, r.leave_s), columns=["kind", "start", "fired"])
-
-    return per_episode(df.select(key, t, x), key, t, run, "kind string, start double, fired double")
+def contacts(df: DataFrame, key: str, order: str, t: str, x: str, r: Rules) -> DataFrame:
+    """(key, kind, start, fired): onsets and terminals of the debounced latch (``leave`` is at most ``enter``).
+
+    A stretch above ``enter`` (below ``leave``) fires at its first row that is enter_s (leave_s) after
+    its start. Stretches of the two kinds never overlap, so the latch takes those that fire and differ
+    in kind from the one that fired before; the first must be an onset.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    d = df.select(key, order, F.col(t).alias("_t"), F.when(F.col(x) > r.enter, 1).when(F.col(x) < r.leave, 0).otherwise(-1).alias("_z"))
+    d = d.withColumn("_c", F.when(F.col("_z") == F.lag("_z").over(w), 0).otherwise(1))
+    d = d.withColumn("_run", F.sum("_c").over(w)).withColumn("start", F.last(F.when(F.col("_c") == 1, F.col("_t")), ignorenulls=True).over(w))
+    waited = F.col("_t") - F.col("start") >= F.when(F.col("_z") == 1, r.enter_s).otherwise(r.leave_s)
+    g = d.filter("_z >= 0").groupBy(key, "_run", "_z").agg(F.min("start").alias("start"), F.min(F.when(waited, F.col("_t"))).alias("fired")).filter("fired is not null")
+    before = F.coalesce(F.lag("_z").over(Window.partitionBy(key).orderBy("_run")), F.lit(0))
+    g = g.withColumn("_b", before).filter("_z <> _b")
+    return g.select(key, F.when(F.col("_z") == 1, "onset").otherwise("terminal").alias("kind"), "start", "fired")
+
+
+def residual_gate(df: DataFrame, key: str, order: str, t: str, x: str, level: float, hold: float) -> DataFrame:
+    """The rows with ``open``, false where the signal is taken for a residue: after a hold has ended (a
+    stretch of ``hold`` at the level or below, after one above it), until the next load of ``hold`` begins."""
+    w = Window.partitionBy(key).orderBy(order)
+    step = F.col(t) - F.lag(t).over(w)
+    d = df.withColumns({"_f": F.coalesce(F.col(x) > level, F.lit(False)), "_next": F.lead(t).over(w), "_d": step})
+    d = d.withColumn("_d", F.coalesce(F.percentile("_d", F.lit(0.5)).over(Window.partitionBy(key)), F.lit(0.0)))
+    d = d.withColumn("_c", F.when(F.col("_f") == F.lag("_f").over(w), 0).otherwise(1)).withColumn("_run", F.sum("_c").over(w))
+    g = d.groupBy(key, "_run", "_f").agg((F.max(F.coalesce(F.col("_next"), F.col(t) + F.col("_d"))) - F.min(t) >= hold).alias("_long"))
+    o = Window.partitionBy(key).orderBy("_run")
+    load = F.col("_f") & F.col("_long")
+    seen = F.coalesce(F.max(load.cast("int")).over(o.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 1
+    mark = F.when(load, True).when(~F.col("_f") & F.col("_long") & F.col("_seen"), False)
+    g = g.withColumn("_seen", seen).withColumn("open", F.coalesce(F.last(mark, ignorenulls=True).over(o), F.lit(True)))
+    return d.drop("_f", "_next", "_d", "_c").join(g.select(F.col(key).alias("_k"), F.col("_run").alias("_r"), "open"), (F.col(key) == F.col("_k")) & (F.col("_run") == F.col("_r"))).drop("_k", "_r", "_run")
 
 
 def bouts(events: DataFrame, key: str, r: Rules) -> DataFrame:
@@ -77,7 +102,7 @@ def classified(m: DataFrame, key: str, r: Rules) -> DataFrame:
 
 def detect(df: DataFrame, key: str, order: str, t: str, x: str, jaw: str, r: Rules = Rules()) -> DataFrame:
     """All bouts of all episodes, measured and classified."""
-    e = contacts(df, key, t, x, r)
+    e = contacts(df, key, order, t, x, r)
     return classified(measured(df, bouts(e, key, r), key, order, t, x, jaw, r), key, r)
 
 

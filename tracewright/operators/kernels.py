@@ -5,6 +5,9 @@ Each function takes arrays of one ordered episode; ``per_episode`` sorts and gro
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -102,35 +105,28 @@ def cycles(t: np.ndarray, x: np.ndarray, travel: float) -> list[tuple[float, flo
     return out
 
 
-def residual_gate(t: np.ndarray, x: np.ndarray, level: float, hold: float) -> np.ndarray:
-    """False where a signal is taken for a residue: after a hold has ended, until the next sustained
-    load begins. The load's first rows count, so the whole series is looked at first."""
-    above = x > level
-    edge = np.flatnonzero(np.diff(above.astype(int), prepend=int(above[0]) if len(above) else 0)).tolist()
-    bounds = [0, *edge, len(x)]
-    open_ = np.ones(len(x), bool)
-    seen, armed = False, False
-    step = float(np.median(np.diff(t))) if len(t) > 1 else 0.0
-    for a, b in zip(bounds, bounds[1:], strict=False):
-        if b <= a:
-            continue
-        lasted = (t[b] if b < len(t) else t[-1] + step) - t[a] >= hold
-        if above[a] and lasted:
-            armed, seen = False, True
-        elif not above[a] and lasted and seen:
-            armed = True
-        open_[a:b] = not armed
-    return open_
-
-
 def clock_map(frame_t: np.ndarray, frame_v: np.ndarray, raw_t: np.ndarray, raw_v: np.ndarray, reach: float, least: int) -> list[tuple[float, float]]:
     """(frame time, raw time) anchors: each frame takes the next raw row of equal value; the search
-    goes on at the last match, an anchor needs a later raw time. Empty with fewer than ``least``."""
+    goes on at the last match, an anchor needs a later raw time. Empty with fewer than ``least``.
+
+    Raw rows are looked up by bins of their values, so that a frame without a match costs no scan.
+    """
+    bins: dict[int, list[int]] = {}
+    for i, b in enumerate(np.floor(raw_v / (2 * reach)).astype(np.int64).tolist()):
+        bins.setdefault(b, []).append(i)
     out, at = [], 0
     for ft, fv in zip(frame_t.tolist(), frame_v.tolist(), strict=True):
-        hit = np.flatnonzero(np.abs(raw_v[at:] - fv) <= reach)
-        if len(hit):
-            at += int(hit[0])
+        best = len(raw_v)
+        low = math.floor(fv / (2 * reach))
+        for b in (low - 1, low, low + 1):
+            rows = bins.get(b, [])
+            k = bisect_left(rows, at)
+            while k < len(rows) and rows[k] < best and abs(raw_v[rows[k]] - fv) > reach:
+                k += 1
+            if k < len(rows):
+                best = min(best, rows[k])
+        if best < len(raw_v):
+            at = best
             if not out or raw_t[at] > out[-1][1]:
                 out.append((ft, float(raw_t[at])))
     return out if len(out) >= least else []

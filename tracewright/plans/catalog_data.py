@@ -187,7 +187,13 @@ def window_features(spark, sf_dir):
 # --- kernels and the detector ---
 
 
-@query()
+# The SQL of these queries folds row by row, so that it shares no step with the Spark code.
+
+
+@query(f"""WITH RECURSIVE {SIGNAL.replace("sig AS (", "sig AS MATERIALIZED (")}, n AS MATERIALIZED (SELECT episode, (count(*) - 1) / nullif(max(t), 0) AS rate FROM sig GROUP BY ALL),
+st AS (SELECT episode, -1::BIGINT AS i, 0.0::DOUBLE AS zero, NULL::DOUBLE AS t, 0.0::DOUBLE AS rest FROM sig WHERE i = 0
+  UNION ALL SELECT g.episode, g.i, CASE WHEN abs(g.x - zero) < 40 THEN zero + least(1.0, (CASE WHEN st.t IS NULL THEN 1 / coalesce(rate, 30.0) ELSE g.t - st.t END) / 86400.0::DOUBLE) * (g.x - zero) ELSE zero END, g.t, greatest(g.x - zero, 0) FROM st JOIN sig g ON g.episode = st.episode AND g.i = st.i + 1 JOIN n ON n.episode = g.episode)
+SELECT episode, i, round(rest, 6) AS rest FROM st WHERE i >= 0""")
 def adaptive_baseline(spark, sf_dir):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"i": pdf["i"], "rest": kernels.baseline(pdf["t"].to_numpy(), pdf["x"].to_numpy(), 0.0, 86400.0, 40.0).round(6)})
@@ -195,12 +201,16 @@ def adaptive_baseline(spark, sf_dir):
     return kernels.per_episode(signal(spark, sf_dir).select("episode", "i", "t", "x"), "episode", "i", run, "i int, rest double")
 
 
-@query()
-def residual_gate(spark, sf_dir):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"i": pdf["i"], "open": kernels.residual_gate(pdf["t"].to_numpy(), pdf["x"].to_numpy(), 34.0, 14400.0)})
+GATE = """f AS (SELECT episode, i, t, x > 34 AS f, lead(t) OVER w AS nx, t - lag(t) OVER w AS d, CASE WHEN (x > 34) = (lag(x) OVER w > 34) THEN 0 ELSE 1 END AS c FROM sig WINDOW w AS (PARTITION BY episode ORDER BY i)),
+m AS (SELECT episode, coalesce(quantile_cont(d, 0.5), 0) AS step FROM f GROUP BY ALL), r0 AS (SELECT *, sum(c) OVER (PARTITION BY episode ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM f),
+r AS MATERIALIZED (SELECT episode, run, f, max(coalesce(nx, t + step)) - min(t) >= 14400 AS long FROM r0 JOIN m USING (episode) GROUP BY ALL),
+st AS (SELECT episode, run, f AND long AS seen, FALSE AS armed FROM r WHERE run = 1
+  UNION ALL SELECT r.episode, r.run, st.seen OR (f AND long), CASE WHEN f AND long THEN FALSE WHEN NOT f AND long AND st.seen THEN TRUE ELSE armed END FROM st JOIN r ON r.episode = st.episode AND r.run = st.run + 1)"""
 
-    return kernels.per_episode(signal(spark, sf_dir).select("episode", "i", "t", "x"), "episode", "i", run, "i int, open boolean")
+
+@query(f"""WITH RECURSIVE {SIGNAL}, {GATE} SELECT episode, i, NOT armed AS open FROM r0 JOIN st USING (episode, run)""")
+def residual_gate(spark, sf_dir):
+    return detect.residual_gate(signal(spark, sf_dir).select("episode", "i", "t", "x"), "episode", "i", "t", "x", 34.0, 14400.0).select("episode", "i", "open")
 
 
 @query()
@@ -211,20 +221,31 @@ def changepoints(spark, sf_dir):
     return kernels.per_episode(signal(spark, sf_dir).select("episode", "i", "x"), "episode", "i", run, "at int, gain double")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SIGNAL.replace("sig AS (", "sig AS MATERIALIZED (")},
+st AS (SELECT episode, 0::BIGINT AS i, FALSE AS falling, jaw AS xp, t AS tp, NULL::DOUBLE AS xl, NULL::DOUBLE AS tl, NULL::DOUBLE AS p, NULL::DOUBLE AS l, NULL::DOUBLE AS e FROM sig WHERE i = 0
+  UNION ALL SELECT g.episode, g.i, CASE WHEN falling THEN NOT g.jaw - xl >= 60 ELSE xp - g.jaw >= 60 END,
+    CASE WHEN falling THEN CASE WHEN g.jaw - xl >= 60 THEN g.jaw ELSE xp END WHEN g.jaw > xp THEN g.jaw ELSE xp END, CASE WHEN falling THEN CASE WHEN g.jaw - xl >= 60 THEN g.t ELSE tp END WHEN g.jaw > xp THEN g.t ELSE tp END,
+    CASE WHEN falling THEN least(xl, g.jaw) WHEN xp - g.jaw >= 60 THEN g.jaw END, CASE WHEN falling AND g.jaw >= xl THEN tl WHEN falling OR xp - g.jaw >= 60 THEN g.t END,
+    CASE WHEN falling AND g.jaw - xl >= 60 THEN tp END, CASE WHEN falling AND g.jaw - xl >= 60 THEN tl END, CASE WHEN falling AND g.jaw - xl >= 60 THEN g.t END FROM st JOIN sig g ON g.episode = st.episode AND g.i = st.i + 1)
+SELECT episode, round(p, 6) AS peak, round(l, 6) AS trough, round(e, 6) AS "end" FROM st WHERE e IS NOT NULL""")
 def air_miss(spark, sf_dir):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(kernels.cycles(pdf["t"].to_numpy(), pdf["jaw"].to_numpy(), 60.0), columns=["peak", "trough", "end"]).astype(float)
+        return pd.DataFrame(kernels.cycles(pdf["t"].to_numpy(), pdf["jaw"].to_numpy(), 60.0), columns=["peak", "trough", "end"]).astype(float).round(6)
 
     return kernels.per_episode(signal(spark, sf_dir).select("episode", "i", "t", "jaw"), "episode", "i", run, "peak double, trough double, end double")
 
 
 RULES = detect.Rules(enter=34.0, leave=20.0, enter_s=3600.0, leave_s=3600.0, stable_least=40.0, stable_spread=0.8, window=4, slip_rough=80.0, open_travel=10.0, weak_peak=150.0, merge_s=7200.0, short_s=36000.0)
 
+LATCH = f"""{SIGNAL.replace("sig AS (", "sig AS MATERIALIZED (")},
+latch AS (SELECT episode, -1::BIGINT AS i, FALSE AS held, NULL::DOUBLE AS since, NULL::VARCHAR AS kind, NULL::DOUBLE AS "start", NULL::DOUBLE AS fired FROM sig WHERE i = 0
+  UNION ALL SELECT episode, i, held <> fire, CASE WHEN wanted AND NOT fire THEN began END, CASE WHEN fire THEN CASE WHEN held THEN 'terminal' ELSE 'onset' END END, CASE WHEN fire THEN began END, CASE WHEN fire THEN t END
+  FROM (SELECT *, coalesce(wanted AND t - began >= 3600, FALSE) AS fire FROM (SELECT g.episode, g.i, g.t, held, coalesce(CASE WHEN held THEN g.x < 20 ELSE g.x > 34 END, FALSE) AS wanted, coalesce(latch.since, g.t) AS began FROM latch JOIN sig g ON g.episode = latch.episode AND g.i = latch.i + 1)))"""
 
-@query()
+
+@query(f"""WITH RECURSIVE {LATCH} SELECT episode, kind, round("start", 6) AS "start", round(fired, 6) AS fired FROM latch WHERE kind IS NOT NULL""")
 def contact_latch(spark, sf_dir):
-    return detect.contacts(signal(spark, sf_dir), "episode", "t", "x", RULES)
+    return rounded(detect.contacts(signal(spark, sf_dir), "episode", "i", "t", "x", RULES), "start", "fired")
 
 
 @query()

@@ -41,7 +41,10 @@ def place_rows(spark, sf_dir):
     return passes.places(signal(spark, sf_dir), K, ["i"], "us", "x", 2, 60.0, 0.2, 0.5, 43_200_000_000).select("episode", "i", "before")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SIGNAL}, p0 AS (SELECT episode, i, t, x, lag(x, 2) OVER (PARTITION BY episode ORDER BY i) AS before, max(x) OVER (PARTITION BY episode ORDER BY us RANGE BETWEEN 1 FOLLOWING AND 43200000000 FOLLOWING) AS a FROM sig),
+p AS MATERIALIZED (SELECT episode, i, t, row_number() OVER (PARTITION BY episode ORDER BY i) AS r FROM p0 WHERE before > 60 AND x <= 0.8::DOUBLE * before AND coalesce(a <= 0.5::DOUBLE * before, TRUE)),
+st AS (SELECT episode, i, t, r, TRUE AS kept, t AS last FROM p WHERE r = 1 UNION ALL SELECT p.episode, p.i, p.t, p.r, p.t - last >= 43200, CASE WHEN p.t - last >= 43200 THEN p.t ELSE last END FROM st JOIN p ON p.episode = st.episode AND p.r = st.r + 1)
+SELECT episode, i, t FROM st WHERE kept""")
 def place_events(spark, sf_dir):
     p = passes.places(signal(spark, sf_dir), K, ["i"], "us", "x", 2, 60.0, 0.2, 0.5, 43_200_000_000).select("episode", "i", "t")
     return passes.refractory(p, "episode", "t", 12 * HOUR)
@@ -108,8 +111,8 @@ def subtask_anchors(spark, sf_dir):
     return rounded(passes.anchors(b, K, "length"), "grasp", "transport", "place", "end")
 
 
-@query()
+@query(f"""WITH {EVENTS} SELECT 'interjection' AS style, 'user' AS role, count(*) AS n, count(DISTINCT '[auto:' || conf || '] ' || kind || printf(' %.2fs', "start")) AS texts FROM ev WHERE kind <> 'slip' UNION ALL SELECT 'subtask', 'assistant', count(DISTINCT episode), 1 FROM sig""")
 def detected_atoms(spark, sf_dir):
     e = _events(spark, sf_dir).filter("kind <> 'slip'")
     stages = signal(spark, sf_dir).groupBy("episode").agg(F.min("t").alias("start")).withColumn("label", F.lit("approach"))
-    return passes.to_atoms(e, stages, "episode").groupBy("style", "role").agg(F.count("*").alias("n"))
+    return passes.to_atoms(e, stages, "episode").groupBy("style", "role").agg(F.count("*").alias("n"), F.count_distinct("content").alias("texts"))

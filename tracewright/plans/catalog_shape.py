@@ -167,13 +167,18 @@ def scale_groups(spark, sf_dir):
 
 @query()
 def clock_map(spark, sf_dir):
-    """Anchors between two clocks of one signal: each episode's frames against its own rows, by value."""
+    """Anchors between two clocks: each episode's resampled frames (one for each slot of its device grid)
+    against its raw rows, by value."""
+    s = signal(spark, sf_dir)
+    grid = islands.first_per_slot(s, K, "t", 0.0001, ["i"]).select("episode", F.col("i").alias("fi"), F.col("slot").cast("double").alias("slot"))
+    both = s.select("episode", "i", "t", "x").join(grid, (s["episode"] == grid["episode"]) & (F.col("i") == F.col("fi")), "left").select(s["episode"], "i", "t", "x", "slot")
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        some = pdf[pdf["i"] % 3 == 0]
-        a = kernels.clock_map(some["i"].to_numpy(float), some["x"].to_numpy(float), pdf["t"].to_numpy(float), pdf["x"].to_numpy(float), 0.051, 5)
+        some = pdf[pdf["slot"].notna()]
+        a = kernels.clock_map(some["slot"].to_numpy(float), some["x"].to_numpy(float), pdf["t"].to_numpy(float), pdf["x"].to_numpy(float), 0.051, 5)
         return pd.DataFrame(a, columns=["frame", "raw"]).astype(float)
 
-    return kernels.per_episode(signal(spark, sf_dir).select("episode", "i", "t", "x"), "episode", "i", run, "frame double, raw double")
+    return kernels.per_episode(both, "episode", "i", run, "frame double, raw double")
 
 
 @query(f"""WITH {SIGNAL}, d AS (SELECT label, x - avg(x) OVER (PARTITION BY episode) AS d FROM sig), r AS (SELECT label, d, row_number() OVER (PARTITION BY label ORDER BY d) AS r, count(*) OVER (PARTITION BY label) AS n FROM d)
