@@ -1,5 +1,6 @@
 """Operators on small inputs whose results are known."""
 
+import collections
 import json
 
 import numpy as np
@@ -159,17 +160,27 @@ def test_knn_excludes_group(spark):
     assert screen.nearest(df.limit(0), df, 3, "id", "v", "g", "label").count() == 0
 
 
+def test_stream_latch_in_any_order(spark, sf, tmp_path):
+    """Rows out of order over many files, read a few files at a time: the same events as the batch latch."""
+    from tracewright.plans import catalog_stream as c
+
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.orderBy(F.xxhash64("event_id")).repartition(11).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 3).parquet(str(tmp_path / "in"))
+    got = sorted(tuple(r) for r in c.latch_of(stream, events).collect())
+    rows = collections.defaultdict(list)
+    for r in events.selectExpr("user_id", "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts) AS us", "event_id", "value").collect():
+        rows[r.user_id].append((float(r.us), r.event_id, r.value))
+    want = sorted((e, *x) for e, own in rows.items() for x in kernels.latch(*(np.array(col) for col in list(zip(*sorted(own), strict=True))[::2]), 34.0, 20.0, 3.6e9, 3.6e9))
+    assert got == want and len(got) > 5
+
+
 def test_streams_equal_batch(spark, tmp_path):
     rows = [(e, float(k), 1.0 if (k // 5) % 2 else 0.0) for e in (1, 2) for k in range(40)]
     df = spark.createDataFrame(rows, "episode long, t double, x double")
     for k, part in enumerate((df.filter("t < 13"), df.filter("t >= 13 and t < 27"), df.filter("t >= 27"))):
         part.coalesce(1).write.parquet(str(tmp_path / "in" / f"b{k}"))
     stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = online.latched(stream, "episode", "t", "x", 0.5, 0.4, 2.0, 2.0).writeStream.format("memory").queryName("latched").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = sorted(tuple(r) for r in spark.table("latched").collect())
-    want = sorted((e, *ev) for e in (1, 2) for ev in kernels.latch(np.arange(40.0), np.array([r[2] for r in rows[:40]]), 0.5, 0.4, 2.0, 2.0))
-    assert got == want
     timed = stream.withColumn("ts", F.timestamp_seconds("t"))
     q = online.windowed(timed, "ts", ["episode"], "x", "10 seconds", "1 minute").writeStream.format("memory").outputMode("complete").queryName("windowed").option("checkpointLocation", str(tmp_path / "w")).trigger(availableNow=True).start()
     q.awaitTermination(120)

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where none is set (local runs)."""
+    """The folder that all executors share; one of our own only where none is set and all runs in this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -23,14 +25,29 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/[{name[0]}]{name[1:]}.parquet")
 
 
-def available_now(stream: DataFrame, mode: str) -> DataFrame:
+def with_closing(table: DataFrame, closing: DataFrame, mode: str, run) -> DataFrame:
+    """The result of ``run`` on a streamed table with rows that end it, which arrive when all else has.
+
+    ``run`` makes the result's stream of the rows. The query runs twice on one state: over the table,
+    and then over the closing rows, which come through a source of their own.
+    """
+    spark = table.sparkSession
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    closing.limit(0).write.parquet(f"{root}-end")
+    stream = run(table.unionByName(spark.readStream.schema(closing.schema).parquet(f"{root}-end")))
+    available_now(stream, mode, root)
+    closing.write.mode("append").parquet(f"{root}-end")
+    return available_now(stream, mode, root)
+
+
+def available_now(stream: DataFrame, mode: str, root: str | None = None) -> DataFrame:
     """Everything that the stream gives in all batches (``append``), or its last state (``complete``).
 
     Each batch is a table in the shared folder, named by its number: a batch that is run again
     after a failure replaces its own table.
     """
     spark = stream.sparkSession
-    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    root = root or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     last = {}
 
     def keep(batch: DataFrame, number: int) -> None:
