@@ -71,10 +71,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values."""
     x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    x = x ^ (x >> np.uint64(29))
-    x = x * np.uint64(0x9FB21C651E98DF25)
-    return x ^ (x >> np.uint64(32))
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0x9FB21C651E98DF25)
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def prefix_hash(data: np.ndarray, other: bool = False) -> np.ndarray:
@@ -82,7 +83,16 @@ def prefix_hash(data: np.ndarray, other: bool = False) -> np.ndarray:
     other values for the bytes, for a second hash."""
     up, _ = powers(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((mixed(_BYTE) if other else _BYTE)[data] * up[: len(data)], out=out[1:])
+    out[1:] = (mixed(_BYTE) if other else _BYTE)[data]
+    out[1:] *= up[: len(data)]
+    return np.cumsum(out, dtype=np.uint64, out=out)
+
+
+def window_hash(sums: np.ndarray, width: int) -> np.ndarray:
+    """``range_hash`` of all ranges of one width."""
+    _, down = powers(len(sums))
+    out = sums[width:] - sums[:-width]
+    out *= down[: len(out)]
     return out
 
 

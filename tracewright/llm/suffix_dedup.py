@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mixed, packed, prefix_hash, range_hash, table, unpacked
+from .common import mixed, packed, prefix_hash, range_hash, table, unpacked, window_hash
 
 GRAM = 16
 #: Bytes of text for each bit of the table of step 2 (an anchor comes about every 60 bytes), its greatest
@@ -51,7 +51,7 @@ HASH_BITS = 48
 BUCKET_BYTES, SAMPLE, SAMPLE_GROUPS = 32_000_000, 16, 32
 #: Classes up to PAIRS distinct members are compared in pairs; prefixes from HOT on skip the sort.
 PAIRS, HOT = 32, 60_000
-CHUNK_BYTES, RUN_BYTES = 1_000_000, 8_000_000
+CHUNK_BYTES, RUN_BYTES = 500_000, 4_000_000
 
 
 class Shape:
@@ -66,8 +66,8 @@ def _sliding(h: np.ndarray, w: int, take=np.minimum, fill=np.uint64(2**64 - 1))
     """The least (or greatest) of each w neighbours, in two passes."""
     x = np.concatenate([h, np.full((-len(h)) % w, fill, np.uint64)]).reshape(-1, w)
     ahead = take.accumulate(x, axis=1).ravel()
-    behind = np.ascontiguousarray(take.accumulate(x[:, ::-1], axis=1)[:, ::-1]).ravel()
-    return take(behind[: len(h) - w + 1], ahead[w - 1 : len(h)])
+    take.accumulate(x[:, ::-1], axis=1, out=x[:, ::-1])  # x is now the least from each place to its row's end
+    return take(x.ravel()[: len(h) - w + 1], ahead[w - 1 : len(h)])
 
 
 class Chunk:
@@ -81,19 +81,14 @@ class Chunk:
         n, span, length = len(data), shape.span, shape.length
         self.at = np.empty(0, np.int64)
         if n >= length:
-            head = np.arange(n - GRAM + 1)
-            h = mixed(range_hash(self.sums, head, head + GRAM)) | np.uint64(1)
             windows = n - length + 1
-            h = h[: windows + span - 1]
+            h = mixed(window_hash(self.sums, GRAM)[: windows + span - 1])
+            h |= np.uint64(1)
             least = _sliding(h, span)
-            ends = np.zeros(n, np.int32)
-            inner = self.bounds[1:-1]
-            np.add.at(ends, inner[inner < n], 1)
-            text = np.cumsum(ends)
-            least[text[:windows] != text[length - 1 :]] = 0  # windows that would cross texts
+            for end in self.bounds[1:-1].tolist():  # windows that would cross texts
+                least[max(end - length + 1, 0) : end] = 0
             pad = np.zeros(span - 1, np.uint64)
-            most = _sliding(np.concatenate([pad, least, pad]), span, np.maximum, np.uint64(0))
-            self.at = np.flatnonzero(h == most)
+            self.at = np.flatnonzero(h == _sliding(np.concatenate([pad, least, pad]), span, np.maximum, np.uint64(0)))
         self.doc = np.searchsorted(self.bounds, self.at, "right") - 1
         self.lo = np.maximum(self.at - shape.left, self.bounds[self.doc])
         self.hi = np.minimum(self.at + length, self.bounds[self.doc + 1])
