@@ -30,7 +30,7 @@ PASSAGE_WORDS = 48
 #: Most labelled documents that are learned from, half of each class where there are so many.
 SAMPLE = 6000
 #: Most passages of one document that are learned from (scoring uses all).
-FIT_PASSAGES = 48
+FIT_PASSAGES = 12
 THRESHOLD = 0.3
 #: Characters measured at once; about 100 bytes of arrays each.
 BATCH_CHARS = 1_000_000
@@ -122,22 +122,24 @@ class Model:
         if len(set(label.tolist())) < 2:
             self.share = float(label.mean()) if len(label) else 0.5
             return self
-        self.shift, self.scale = x.mean(0), x.std(0) + 1e-6
+        self.shift, self.scale = x.mean(0, dtype=np.float64).astype(np.float32), x.std(0, dtype=np.float64).astype(np.float32) + np.float32(1e-6)
         # hashed sums are noisier than the shares: they count for less, and nothing counts for more than LARGEST
         self.scale[-WORD_DIMS - GRAM_DIMS :] *= 2
         x = self.scaled(x)
         rng = np.random.default_rng(seed)
+        label, weight = label.astype(np.float32), weight.astype(np.float32)
         held = rng.random(len(label)) < 0.1
         if len(set(label[held].tolist())) < 2 or len(set(label[~held].tolist())) < 2:
             held = np.zeros(len(label), bool)  # too few to hold any back
         own = np.repeat(held, np.diff(first))
         cut = lambda bags, rows: (x[rows], np.concatenate([[0], np.cumsum(np.diff(first)[bags])]), label[bags], weight[bags] / weight[bags].sum())
-        xt, ft, yt, wt = cut(~held, ~own)
         check = cut(held, own) if held.any() else None
-        n, k, m = x.shape[1], ENCODING, ATTENTION
+        xt, ft, yt, wt = cut(~held, ~own)
+        del x
+        n, k, m = xt.shape[1], ENCODING, ATTENTION
         shapes = {"W": (n, k), "b": (k,), "V": (k, m), "U": (k, m), "a": (m,), "o": (k,), "c": ()}
-        self.p = {name: rng.normal(0, 1 / np.sqrt(s[0] if s else 1), s) if name not in "bc" else np.zeros(s) for name, s in shapes.items()}
-        m1, m2 = ({name: np.zeros(s) for name, s in shapes.items()} for _ in range(2))
+        self.p = {name: np.asarray(rng.normal(0, 1 / np.sqrt(s[0] if s else 1), s) if name not in "bc" else np.zeros(s), np.float32) for name, s in shapes.items()}
+        m1, m2 = ({name: np.zeros(s, np.float32) for name, s in shapes.items()} for _ in range(2))
         best, kept, since = np.inf, self.p, 0
         for i in range(1, STEPS + 1):
             p = self.p
@@ -154,7 +156,7 @@ class Model:
                 d = d + DECAY * p[name]
                 m1[name] = 0.9 * m1[name] + 0.1 * d
                 m2[name] = 0.999 * m2[name] + 0.001 * d * d
-                made[name] = p[name] - RATE * (m1[name] / (1 - 0.9**i)) / (np.sqrt(m2[name] / (1 - 0.999**i)) + 1e-8)
+                made[name] = np.asarray(p[name] - RATE * (m1[name] / (1 - 0.9**i)) / (np.sqrt(m2[name] / (1 - 0.999**i)) + 1e-8), np.float32)
             self.p = made
             if check and i % 5 == 0:
                 y = np.clip(self.forward(*check[:2])[-1], 1e-9, 1 - 1e-9)
@@ -171,7 +173,9 @@ class Model:
         return self.forward(self.scaled(x), first)[-1]
 
     def scaled(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.shift) / self.scale, -LARGEST, LARGEST)
+        x = x - self.shift
+        x /= self.scale
+        return np.clip(x, -LARGEST, LARGEST, out=x).astype(np.float32, copy=False)
 
 
 def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", limit: int = SAMPLE) -> Model:
@@ -199,11 +203,12 @@ def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text:
     got = rows.mapInPandas(measure, f"id {kind}, y int, x binary").toPandas().sort_values(["id", "x"], kind="stable").drop_duplicates("id")
     if not len(got):
         return Model()
-    parts = [np.frombuffer(b, np.float32).reshape(-1, N_FEATURES) for b in got["x"]]
     label_ = got["y"].to_numpy(float)
     weight = np.where(label_ == 1, share.get(1, 0) / max((label_ == 1).sum(), 1), share.get(0, 0) / max((label_ == 0).sum(), 1))
-    first = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-    return Model().fit(np.concatenate(parts).astype(float), first, label_, weight)
+    first = np.concatenate([[0], np.cumsum(got["x"].map(len).to_numpy() // (4 * N_FEATURES))])
+    x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, N_FEATURES)
+    del got
+    return Model().fit(x, first, label_, weight)
 
 
 def scored(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
