@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mixed, packed, prefix_hash, range_hash, table, unpacked, window_hash
+from .common import batches, mixed, packed, prefix_hash, range_hash, table, unpacked, window_hash
 
 GRAM = 16
 #: Bytes of text for each bit of the table of step 2 (an anchor comes about every 60 bytes), its greatest
@@ -48,7 +48,7 @@ BIT_BYTES, LEAST_BITS, MOST_BITS, SLICE_ANCHORS = 30, 20, 29, 2_000_000
 #: Bits of a CORE's hash that are counted.
 HASH_BITS = 48
 #: Bytes of text for each bucket of the sort, and sampled suffixes for each splitter.
-BUCKET_BYTES, SAMPLE, SAMPLE_GROUPS = 32_000_000, 16, 32
+BUCKET_BYTES, SAMPLE, SAMPLE_GROUPS = 32_000_000, 64, 32
 #: Classes up to PAIRS distinct members are compared in pairs; prefixes from HOT on skip the sort.
 PAIRS, HOT = 32, 60_000
 CHUNK_BYTES, RUN_BYTES = 500_000, 4_000_000
@@ -469,19 +469,29 @@ def repeats(keys: list[bytes], right: np.ndarray, lcp: np.ndarray, settled: np.n
 
 
 def _windows(own, keys, head, d_right, d_left, d_l, d_r, shape: Shape) -> None:
-    """A large class: count the members' windows, by their offset and hash."""
-    whole = [keys[head[i]][d_right[i] :][::-1] + keys[head[i]][: d_right[i]] for i in own]
-    sums = prefix_hash(np.frombuffer(b"".join(whole), np.uint8))
-    start = np.concatenate([[0], np.cumsum([len(x) for x in whole])])[:-1]
-    for a in range(shape.span):
-        at = np.flatnonzero((d_left[own] >= a) & (d_right[own] >= shape.length - a))
-        if len(at) < 2:
+    """A large class: count the members' windows, by their offset and hash. Hashes are made for some
+    members at a time, since running sums take many times the bytes of the texts."""
+    found = np.zeros((shape.span, len(own)), np.uint64)
+    ahead = np.arange(shape.span)
+    for k in range(0, len(own), 2000):
+        some = own[k : k + 2000]
+        whole = [keys[head[i]][d_right[i] :][::-1] + keys[head[i]][: d_right[i]] for i in some]
+        sums = prefix_hash(np.frombuffer(b"".join(whole), np.uint8))
+        anchor = np.concatenate([[0], np.cumsum([len(x) for x in whole])])[:-1] + d_left[some]
+        a, i = np.nonzero((d_left[some] >= ahead[:, None]) & (d_right[some] >= shape.length - ahead[:, None]))
+        p = anchor[i] - a
+        found[a, k + i] = mixed(range_hash(sums, p, p + shape.length) + a.astype(np.uint64)) | np.uint64(1)
+    wide = max(1, 300_000 // len(own))  # offsets that are compared at once
+    for first in range(0, shape.span, wide):
+        a, i = np.nonzero(found[first : first + wide])
+        if len(a) < 2:
             continue
-        p = start[at] + d_left[own[at]] - a
-        _, where, n = np.unique(range_hash(sums, p, p + shape.length), return_inverse=True, return_counts=True)
-        z = own[at[n[where] > 1]]
-        d_l[z] = np.maximum(d_l[z], a)
-        d_r[z] = np.maximum(d_r[z], shape.length - a)
+        a += first
+        _, where, n = np.unique(found[a, i], return_inverse=True, return_counts=True)
+        twice = n[where] > 1
+        z = own[i[twice]]
+        np.maximum.at(d_l, z, a[twice])
+        np.maximum.at(d_r, z, shape.length - a[twice])
 
 
 def _bucket(blobs: list[bytes], shape: Shape) -> np.ndarray:
@@ -503,7 +513,7 @@ def _keyed(id_col: str, text: str) -> list:
 
 
 def spans(documents: DataFrame, length: int = 200, id_col: str = "doc_id", text: str = "text", pairs: int = PAIRS, hot_from: int = HOT) -> DataFrame:
-    """(_id, _tag, s): for each text with repeats the byte ranges under them, not yet joined."""
+    """(_id, _tag, s): for each text with repeats the byte ranges under them, as start * 2**32 + end, not yet joined."""
     shape = Shape(length, pairs, hot_from)
     spark = documents.sparkSession
     texts = documents.select(*_keyed(id_col, text)).filter(F.octet_length("_t") >= length)
@@ -531,7 +541,8 @@ def spans(documents: DataFrame, length: int = 200, id_col: str = "doc_id", text:
     found = texts.mapInPandas(cut, "bucket int, blob binary").groupBy("bucket").applyInPandas(join, "_id long, _tag long, a long, b long")
     if len(known.hot):
         found = found.union(_hot_spans(texts, shape, state))
-    return found.groupBy("_id", "_tag").agg(F.collect_list(F.struct("a", "b")).alias("s"))
+    # a span is one long: the frames of Python tasks hold plain arrays
+    return found.groupBy("_id", "_tag").agg(F.collect_list(F.shiftleft("a", 32) + F.col("b")).alias("s"))
 
 
 def _joined(pairs: np.ndarray) -> np.ndarray:
@@ -550,11 +561,11 @@ def deduplicated(documents: DataFrame, length: int = 200, id_col: str = "doc_id"
     rows = own.join(spans(documents, length, id_col, text, **options).hint("merge"), ["_id", "_tag"], "left").select(id_col, "_t", "s")
 
     def remove(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
+        for pdf in batches(parts, "_t", CHUNK_BYTES):
             out_n, out_spans, out_kept = [], [], []
             for t, s in zip(pdf["_t"], pdf["s"], strict=True):
                 b = t.encode("utf-8", "surrogatepass")
-                gone = [] if s is None or not len(s) else _joined(np.array([(x["a"], x["b"]) for x in s], np.int64)).tolist()
+                gone = [] if s is None or not len(s) else _joined(np.column_stack([s >> 32, s & 0xFFFFFFFF])).tolist()
                 at, kept = 0, []
                 for x, y in gone:
                     kept.append(b[at:x])
