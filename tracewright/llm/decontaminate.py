@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, batches, mixed, powers, table
+from .common import Words, batches, mixed, powers, release, table
 
 WINDOW = 10
 #: Words of the benchmark that one pass holds in each task (about 40 bytes a word).
@@ -191,12 +191,6 @@ def blocks_of(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Iter
     yield ids, texts
 
 
-def _release(b) -> None:
-    """Let go of a broadcast's value in this process; it is read from its local file when next asked for."""
-    if b._path is not None:
-        vars(b).pop("_value", None)
-
-
 def matches(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Each document with n_words, n_hit, ``hits`` (its ranges of hit words) and ``matches``: of each item
     with a window in it the longest verbatim match (item_id, item_word, doc_word, n_words)."""
@@ -205,7 +199,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     blocks = []
     for ids, texts in blocks_of(benchmark, item_id, text, block_words):
         blocks.append(sc.broadcast(Tests(ids, texts, window)))
-        _release(blocks[-1])
+        release(blocks[-1])
 
     def find(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches(rows, text, SHARD_CHARS):
@@ -215,7 +209,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 shard.search(tests, k)
                 names[k] = tests.items
                 if len(blocks) > 1:
-                    _release(b)
+                    release(b)
             ranges, m = shard.found()
             cut = np.searchsorted(m[:, 0], np.arange(len(pdf) + 1))
             rows_ = [[{"item_id": names[k][x], "item_word": a, "doc_word": b, "n_words": n} for _, k, x, a, b, n in m[i:j].tolist()] for i, j in zip(cut[:-1], cut[1:], strict=True)]

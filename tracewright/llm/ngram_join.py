@@ -34,11 +34,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, batches, mixed, table, written
+from .common import Words, batches, mixed, release, table, written
 from .components import components
 
 #: Places of the count table (one saturating byte each) and the longest multi-match.
-COUNT_BITS, SLICE_BITS = 26, 19
+COUNT_BITS, SLICE_BITS = 25, 19
 MOST_MATCHES = 4
 #: A class asks for one more match each time its candidates double beyond this.
 CHEAP = 32
@@ -101,8 +101,8 @@ def _keyed(documents: DataFrame, id_col: str, text: str) -> DataFrame:
 
 def signatures(documents: DataFrame, counts: np.ndarray, width: int, num: int, den: int, id_col: str, text: str) -> DataFrame:
     """(doc_id, k1, k2, n, h1, h2, prefix): set size, set fingerprint, and the longest prefix, rarest first."""
-    sc = documents.sparkSession.sparkContext
-    state, shift = sc.broadcast(counts), np.uint64(64 - COUNT_BITS)
+    state, shift = documents.sparkSession.sparkContext.broadcast(counts), np.uint64(64 - COUNT_BITS)
+    release(state)
 
     def sign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches(parts, text, BATCH_CHARS):
@@ -188,8 +188,7 @@ def _within_groups(star: DataFrame, num: int, den: int) -> DataFrame:
 
 def _linked(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, k1, k2, n, head): each row with the least (none, doc_id, k1, k2) that its links reach."""
-    counts = count_table(documents, width, text)
-    signed = written(signatures(documents, counts, width, num, den, id_col, text), "signed")
+    signed = written(signatures(documents, count_table(documents, width, text), width, num, den, id_col, text), "signed")
     head = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
     classes = signed.filter("n > 0").groupBy("h1", "h2").agg(F.min(F.struct(head.alias("head"), "n", "prefix")).alias("m"), F.count("*").alias("docs"))
     # classes are numbered: compact keys for what follows, whatever the ids are

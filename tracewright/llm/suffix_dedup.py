@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, mixed, packed, prefix_hash, range_hash, table, unpacked, window_hash
+from .common import batches, mixed, packed, prefix_hash, range_hash, release, table, unpacked, window_hash
 
 GRAM = 16
 #: Bytes of text for each bit of the table of step 2 (an anchor comes about every 60 bytes), its greatest
@@ -519,6 +519,7 @@ def spans(documents: DataFrame, length: int = 200, id_col: str = "doc_id", text:
     texts = documents.select(*_keyed(id_col, text)).filter(F.octet_length("_t") >= length)
     known, buckets = core_table(texts, shape)
     state = spark.sparkContext.broadcast(known)
+    release(state)
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for run in _runs(parts, shape, state.value):
