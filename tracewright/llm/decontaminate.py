@@ -33,7 +33,7 @@ WINDOW = 10
 #: Words of the benchmark that one pass holds in each task (about 40 bytes a word).
 BLOCK_WORDS = 2_000_000
 #: Characters of a shard, and pairs of places that are extended at once.
-SHARD_CHARS, PAIRS = 2_000_000, 1_000_000
+SHARD_CHARS, PAIRS = 500_000, 500_000
 
 MATCH = "struct<item_id:string,item_word:int,doc_word:int,n_words:int>"
 SPAN = "struct<start:int,end:int>"

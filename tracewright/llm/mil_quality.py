@@ -33,7 +33,7 @@ SAMPLE = 6000
 FIT_PASSAGES = 12
 THRESHOLD = 0.3
 #: Characters measured at once; about 100 bytes of arrays each.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 500_000
 ENCODING, ATTENTION, STEPS, RATE, DECAY = 12, 8, 400, 0.02, 1e-4
 #: Steps without a better loss on the held-back tenth after which fitting stops; the greatest scaled measure.
 PATIENCE, LARGEST = 60, 5.0

@@ -42,7 +42,7 @@ COUNT_BITS, SLICE_BITS = 26, 19
 MOST_MATCHES = 4
 #: A class asks for one more match each time its candidates double beyond this.
 CHEAP = 32
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 500_000
 
 
 def shingles(texts, width: int) -> tuple[np.ndarray, np.ndarray]:
