@@ -170,8 +170,8 @@ def clock_map(spark, sf_dir):
     """Anchors between two clocks: each episode's resampled frames (one for each slot of its device grid)
     against its raw rows, by value."""
     s = signal(spark, sf_dir)
-    grid = islands.first_per_slot(s, K, "t", 0.0001, ["i"]).select("episode", F.col("i").alias("fi"), F.col("slot").cast("double").alias("slot"))
-    both = s.select("episode", "i", "t", "x").join(grid, (s["episode"] == grid["episode"]) & (F.col("i") == F.col("fi")), "left").select(s["episode"], "i", "t", "x", "slot")
+    grid = islands.first_per_slot(s, K, "t", 0.0001, ["i"]).select("episode", "i", F.col("slot").cast("double").alias("slot"))
+    both = s.select("episode", "i", "t", "x").join(grid, ["episode", "i"], "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         some = pdf[pdf["slot"].notna()]
