@@ -131,3 +131,44 @@ def to_atoms(events: DataFrame, subtasks: DataFrame, key: str) -> DataFrame:
     e = events.select(key, F.col("start").alias("timestamp"), F.lit("interjection").alias("style"), F.lit("user").alias("role"), atom_content(F.col("kind"), F.col("conf"), none, F.col("start").cast("double"), F.lit(None).cast("string")).alias("content"), F.lit(None).cast("string").alias("origin"))
     s = subtasks.select(key, F.col("start").alias("timestamp"), F.lit("subtask").alias("style"), F.lit("assistant").alias("role"), F.col("label").alias("content"), F.lit("auto").alias("origin"))
     return e.unionByName(s)
+
+
+def closed_spans(df: DataFrame, keys, order, t: str, flag: Column, x: Column, least: float) -> DataFrame:
+    """(keys, start, end, first, peak): stretches where the flag holds, to the row that ends them, of a
+    least duration; one that no row ends is left out (incipient slip, rotation)."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    d = islands.run_ids(df.withColumns({"_x": x, "_next": F.lead(t).over(w), "_end": F.lead(F.lit(True)).over(w)}), keys, order, flag).filter("_f")
+    d = d.groupBy(*keys, "run").agg(F.min(t).alias("start"), F.max("_next").alias("end"), F.min_by("_x", F.struct(*order)).alias("first"), F.max("_x").alias("peak"), F.count_if(F.col("_end").isNull()).alias("_open"))
+    return d.filter((F.col("_open") == 0) & (F.col("end") - F.col("start") >= least)).drop("run", "_open")
+
+
+def capability_flags(df: DataFrame, keys, t: str, x: str, enter: float, jaw: Column, arm: Column, layout: bool = True, verified: bool = True, base: bool = False) -> DataFrame:
+    """(keys, flags, approach_end): what an episode cannot support, in a fixed order, ``no_contact`` last.
+    Only an episode without contact has an approach_end: its whole length is one approach."""
+    d = df.groupBy(*keys).agg(F.max(t).alias("_end"), F.max(x).alias("_peak"), F.count(jaw).alias("_jaw"), F.count(arm).alias("_arm"))
+    none = F.coalesce(F.col("_peak") < enter, F.lit(True))
+    told = [(F.lit(not layout), "no_layout"), (F.col("_jaw") < 3, "no_gripper"), (F.col("_arm") < 3, "no_arm"), (F.lit(not verified), "profile_unverified"), (F.lit(base), "base_mode"), (none, "no_contact")]
+    return d.select(*keys, F.array_compact(F.array(*[F.when(c, name) for c, name in told])).alias("flags"), F.when(none & (F.col("_end") > 0), F.col("_end")).alias("approach_end"))
+
+
+def below_exit(x: Column, leave: float, loaded: Column, quantum: Column, quanta: float = 1.5) -> Column:
+    """Whether contact is over: under the exit force, or held by one loaded taxel at ``quanta`` steps
+    of the sensor or less. Without a count or a step only the force decides."""
+    return (x < leave) | F.coalesce((quantum > 0) & (loaded <= 1) & (x <= quanta * quantum), F.lit(False))
+
+
+def flags_in_time(flags: DataFrame, keys, place: str, flag: str, is_span: Column, base: bool) -> DataFrame:
+    """(keys, flags): an episode's flags by the time after their ``@``, those without one last, else in
+    their order of ``place``; in base mode flags of spans go."""
+    d = flags.filter(~is_span) if base else flags
+    at = F.regexp_extract(flag, r"@([\d.]+)", 1).try_cast("double")
+    rows = F.array_sort(F.collect_list(F.struct(F.coalesce(at, F.lit(float("inf"))).alias("at"), F.col(place).alias("place"), F.col(flag).alias("flag"))))
+    return d.groupBy(*keys).agg(rows["flag"].alias("flags"))
+
+
+def evaluation_flags(flags: Column, result: Column, released: Column) -> Column:
+    """The flags with ``result_<result>`` where an episode that released its object did not succeed; the
+    first ``hesitation`` then goes."""
+    at = F.array_position(flags, F.lit("hesitation")).cast("int")
+    rest = F.when(at > 0, F.concat(F.slice(flags, F.lit(1), at - 1), F.slice(flags, at + 1, F.size(flags)))).otherwise(flags)
+    return F.when(F.coalesce((result != "success") & released, F.lit(False)), F.array_append(rest, F.concat(F.lit("result_"), result))).otherwise(flags)

@@ -137,3 +137,40 @@ def sustain(df: DataFrame, keys, order, x: str) -> DataFrame:
     d = df.select(*keys, F.col(x).alias("_x"), F.abs(F.col(x) - F.lag(x).over(w)).alias("_s"), F.row_number().over(w).cast("double").alias("_r"), F.first(x).over(w).alias("_f"), F.last(x).over(w.rowsBetween(START, Window.unboundedFollowing)).alias("_l"))
     g = d.groupBy(*keys).agg(F.sum("_s").alias("tv"), F.max("_f").alias("f"), F.max("_l").alias("l"), F.when(F.count("*") >= 4, F.regr_slope("_x", "_r")).alias("slope"), F.count("*").alias("n"))
     return g.select(*keys, "n", F.col("tv").alias("variation"), F.when(F.col("tv") > 0, F.abs(F.col("l") - F.col("f")) / F.col("tv")).otherwise(0.0).alias("sustain"), "slope")
+
+
+def initial_baseline(df: DataFrame, keys, order, t: str, x: str, jaw: str, least: float, fall: float) -> DataFrame:
+    """(keys, rows, baseline): upper median of the first rows, which last until the jaw fell by ``fall``
+    from its running maximum, ``least`` at the least; three rows or more where there are as many."""
+    w = _w(keys, order)
+    d = df.withColumns({"_top": F.max(jaw).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_k": F.row_number().over(w)})
+    closing = F.min(F.when(F.col(jaw) < F.col("_top") - fall, F.col(t)))
+    n = d.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(t).alias("_t0"), F.max(t).alias("_t1"), closing.alias("_close"))
+    span = F.greatest(F.lit(least), F.coalesce(F.col("_close") - F.col("_t0"), F.lit(least)))
+    rate = F.when(F.col("_t1") > F.col("_t0"), (F.col("_n") - 1) / (F.col("_t1") - F.col("_t0"))).otherwise(0.0)
+    n = n.select(*keys, F.least("_n", F.greatest(F.lit(3), F.floor(rate * span + 0.5))).alias("rows"))
+    d = d.join(n, keys).filter(F.col("_k") <= F.col("rows")).filter(F.col(x).isNotNull())
+    w = Window.partitionBy(*keys)
+    d = d.withColumns({"_r": F.row_number().over(w.orderBy(x)), "_m": F.count("*").over(w)})
+    return d.filter(F.col("_r") == F.floor(F.col("_m") / 2) + 1).select(*keys, "rows", F.col(x).alias("baseline"))
+
+
+def slope(df: DataFrame, keys, t: str, x: str, least: int = 4) -> DataFrame:
+    """(keys, n, slope): least-squares slope over the finite points, null with fewer than ``least``."""
+    d = df.filter(~F.isnan(x) & (F.abs(x) != float("inf")))
+    return d.groupBy(*keys).agg(F.count(x).alias("n"), F.regr_slope(x, t).alias("slope")).withColumn("slope", F.when(F.col("n") >= least, F.col("slope")))
+
+
+def change_gated(df: DataFrame, keys, order, regions: dict[str, list[str]], out: str) -> DataFrame:
+    """Rows in which a region changed, with a bit mask of those that did; a first row has all bits."""
+    w = _w(keys, order)
+    first = F.row_number().over(w) == 1
+    changed = [F.when(first | ~F.struct(*cols).eqNullSafe(F.lag(F.struct(*cols)).over(w)), 1 << k).otherwise(0) for k, cols in enumerate(regions.values())]
+    return df.withColumn(out, sum(changed[1:], changed[0])).filter(F.col(out) > 0)
+
+
+def strided(df: DataFrame, keys, order, most: int) -> DataFrame:
+    """Every step-th row, step = max(1, floor(rows / most))."""
+    w = _w(keys, order)
+    d = df.withColumns({"_k": F.row_number().over(w) - 1, "_n": F.count("*").over(Window.partitionBy(*keys))})
+    return d.filter(F.col("_k") % F.greatest(F.lit(1), F.floor(F.col("_n") / most)) == 0).drop("_k", "_n")
