@@ -76,3 +76,11 @@ def ramp(u: Column, stops: list[tuple[float, float]]) -> Column:
 def url_parts(url: Column) -> Column:
     part = lambda k: F.try_parse_url(url, F.lit(k))
     return F.struct(part("HOST").alias("host"), part("PATH").alias("path"), part("QUERY").alias("query"), part("REF").alias("ref"))
+
+
+def filled(template: Column, **values: Column) -> Column:
+    """The template with ``{name}`` and ``{name:03d}`` replaced by the plain value; a width has no effect."""
+    for name, value in values.items():
+        text = F.regexp_replace(value.cast("string"), r"([\\$])", r"\\$1")
+        template = F.regexp_replace(template, F.lit(rf"\{{{name}(:\d+d)?\}}"), text)
+    return template

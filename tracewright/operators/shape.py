@@ -61,3 +61,47 @@ def actuated(df: DataFrame, keys, x: str, scale: float) -> DataFrame:
     move of more than 35 % of the range from its first value."""
     g = df.groupBy(*keys).agg((F.max(x) - F.min(x)).alias("range"), F.greatest(F.max(x) - F.min_by(x, "i"), F.min_by(x, "i") - F.min(x)).alias("moved"))
     return g.withColumn("actuated", (F.col("range") >= 0.15 * scale) & (F.col("moved") > 0.35 * F.col("range")))
+
+
+def gripper_series(long: DataFrame, key: str, t: str, name: str, place: str, value: str) -> DataFrame:
+    """(key, t, value) of an episode's first series named like a gripper, never an action; none where it
+    has two points or fewer."""
+    d = long.filter(F.col(name).rlike("(?i)gripper") & ~F.col(name).rlike("(?i)^action"))
+    first = d.groupBy(key).agg(F.min_by(name, place).alias(name))
+    d = d.join(first, [key, name]).filter(F.col(t).isNotNull() & F.col(value).isNotNull())
+    return _of_size(d, key, 3).select(key, t, value)
+
+
+def arm_series(long: DataFrame, key: str, t: str, name: str, place: str, value: str) -> DataFrame:
+    """(key, t, joints): frames in which every ``.pos`` series of the episode (no action, no gripper) has a
+    number; none where there are two or fewer."""
+    d = long.filter(F.col(name).rlike(r"(?i)\.pos$") & ~F.col(name).rlike("(?i)^action") & ~F.col(name).rlike("(?i)gripper") & F.col(t).isNotNull())
+    names = d.groupBy(key).agg(F.count_distinct(name).alias("_names"))
+    real = F.when(F.col(value).isNotNull() & ~F.isnan(value), F.struct(F.col(place).alias("p"), F.col(value).alias("v")))
+    d = d.groupBy(key, t).agg(F.array_sort(F.collect_list(real))["v"].alias("joints")).join(names, key).filter(F.size("joints") == F.col("_names"))
+    return _of_size(d, key, 3).select(key, t, "joints")
+
+
+def _of_size(df: DataFrame, key: str, least: int) -> DataFrame:
+    return df.join(df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select(key), key, "left_semi")
+
+
+def episode_files(files: DataFrame, episodes: DataFrame, dataset: str, episode: str, path: str) -> DataFrame:
+    """(dataset, episode, path): files below an episode's folder ``episode_NNNNNN/``; all files of the
+    dataset where it has no such folders."""
+    tag = F.regexp_extract(path, r"episode_(\d{6})/", 1)
+    f = files.withColumn(episode, F.when(tag != "", tag.cast("long")))
+    scoped = f.filter(F.col(episode).isNotNull())
+    flat = f.drop(episode).join(scoped.select(dataset).distinct(), dataset, "left_anti")
+    e = episodes.select(dataset, episode)
+    return e.join(scoped, [dataset, episode]).select(dataset, episode, path).unionByName(e.join(flat, dataset).select(dataset, episode, path))
+
+
+def block_faults(raw: Column, corrected: Column) -> tuple[Column, Column, Column, Column]:
+    """Of flat blocks of (fx, fy, fz) taxels: negative corrected loads, a load made from an all-zero
+    block, a corrected sum above the raw one, and by how much it is above."""
+    z = lambda b: F.filter(b, lambda _, k: k % 3 == 2)
+    total = lambda b: F.aggregate(z(b), F.lit(0.0), lambda a, v: a + v)
+    over = total(corrected) - total(raw)
+    made = ~F.exists(raw, lambda v: v != 0) & F.exists(corrected, lambda v: v != 0)
+    return F.size(F.filter(z(corrected), lambda v: v < 0)), made, over > 1e-9, F.greatest(over, F.lit(0.0))

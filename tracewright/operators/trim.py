@@ -66,3 +66,36 @@ def shift_atoms(atoms: DataFrame, windows: DataFrame, key: str, ts: str) -> Data
     d = atoms.join(windows, key)
     moved = F.col(ts) - F.col("shift")
     return d.filter(F.col(ts).isNull() | moved.between(-1e-9, F.col("kept") + 1e-9)).withColumn(ts, F.greatest(moved, F.lit(0.0))).drop("shift", "kept")
+
+
+def decided(existing: DataFrame, proposals: DataFrame, key: str, overwrite: bool = False) -> DataFrame:
+    """(key, start, end, source, reviewed): decisions after a run of the rule. One that was adjusted or
+    reviewed always stays, any other unless ``overwrite``; new ones are of source ``rule``, not reviewed."""
+    fixed = (F.col("source") == "adjusted") | F.coalesce("reviewed", F.lit(False)) | F.lit(not overwrite)
+    kept = existing.select(key, "start", "end", "source", "reviewed").filter(F.coalesce(fixed, F.lit(False)))
+    new = proposals.join(kept.select(key), key, "left_anti").select(key, "start", "end", F.lit("rule").alias("source"), F.lit(False).alias("reviewed"))
+    untouched = existing.select(key, "start", "end", "source", "reviewed").filter(~F.coalesce(fixed, F.lit(False))).join(proposals.select(key), key, "left_anti")
+    return kept.unionByName(new).unionByName(untouched)
+
+
+def cut_sidecar(rows: DataFrame, cuts: DataFrame, key: str, clock: str, fps: float) -> DataFrame:
+    """Sensor rows of [start, start + kept) frames on a nanosecond clock that begins at ``begin_ns``, with
+    the new beginning; episodes without a beginning keep all rows."""
+    ns = lambda c: F.bround(F.col(c) / F.lit(fps) * F.lit(1e9)).cast("long")
+    c = cuts.select(key, (F.col("begin_ns") + ns("start_frame")).alias("begin_ns"), ns("kept_frames").alias("_span"))
+    d = rows.join(c, key)
+    return d.filter(F.col("begin_ns").isNull() | ((F.col(clock) >= F.col("begin_ns")) & (F.col(clock) < F.col("begin_ns") + F.col("_span")))).drop("_span")
+
+
+def rekeyed(df: DataFrame, episodes: DataFrame, key: str, new: str) -> DataFrame:
+    """Rows of the episodes that stayed, under their new numbers."""
+    return df.join(episodes.select(key, F.col(new).alias("_new")), key).withColumn(key, F.col("_new")).drop("_new")
+
+
+def together(parts: list[DataFrame], key: str, order) -> DataFrame:
+    """One table of several, columns by name and null where a part has none, in order of episodes and parts."""
+    out = None
+    for k, part in enumerate(parts):
+        part = part.withColumn("part", F.lit(k))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out.sort(key, "part", *order)
