@@ -12,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def norm(x):
-    if x is None or x is pd.NaT:
+    if x is None or x is pd.NaT or x is pd.NA:
         return None
     if isinstance(x, (bool, np.bool_)):
         return bool(x)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.operators import annotate, detect, islands, kernels, screen, setops, trim
+from tracewright.operators import annotate, detect, islands, kernels, passes, screen, setops, shape, trim
 from tracewright.operators import timeseries as ts
 from tracewright.sources import sidecar as src
 from tracewright.streaming import online
@@ -226,3 +226,57 @@ def test_batch_isolates_errors_and_resumes(spark, tmp_path):
     assert meta == [(0, 3, 0, 3), (1, 5, 3, 8), (2, 1, 8, 9)]
     with pytest.raises(Exception, match="exists"):
         batch.write_trimmed(df, cuts, str(tmp_path / "out"), "episode", "i", 30.0)
+
+
+def test_closed_spans_leave_out_what_no_row_ends(spark):
+    d = spark.createDataFrame([("a", k, float(k), v) for k, v in enumerate([0, 9, 7, None, 9, 0, 9])], "k string, i int, t double, x int")
+    got = sorted(map(tuple, passes.closed_spans(d, ["k"], ["i"], "t", F.col("x") > 5, F.col("x"), 1.0).collect()))
+    assert got == [("a", 1.0, 3.0, 9, 9), ("a", 4.0, 5.0, 9, 9)]
+    assert passes.closed_spans(d.limit(0), ["k"], ["i"], "t", F.col("x") > 5, F.col("x"), 1.0).count() == 0
+
+
+def test_flags_by_time_and_evaluation(spark):
+    d = spark.createDataFrame([("a", 0, "late@9-9s", False), ("a", 1, "plain", False), ("a", 2, "air@2.5-3s", True), ("a", 3, "early@1-2s", False)], "k string, p int, f string, span boolean")
+    assert passes.flags_in_time(d, ["k"], "p", "f", F.col("span"), False).first().flags == ["early@1-2s", "air@2.5-3s", "late@9-9s", "plain"]
+    assert passes.flags_in_time(d, ["k"], "p", "f", F.col("span"), True).first().flags == ["early@1-2s", "late@9-9s", "plain"]
+    e = spark.createDataFrame([(["x", "hesitation", "hesitation"], "fail", True), (["hesitation"], "success", True), (["hesitation"], None, True)], "f array<string>, r string, rel boolean")
+    assert [r[0] for r in e.select(passes.evaluation_flags(F.col("f"), F.col("r"), F.col("rel"))).collect()] == [["x", "hesitation", "result_fail"], ["hesitation"], ["hesitation"]]
+
+
+def test_upgrade_and_faults(spark):
+    doc = json.dumps({"subtasks": [{"label": "grasp", "start": 1}, {"start": 2}], "high_levels": [{"user_prompt": "go", "robot_utterance": ""}, {"start": 3, "robot_utterance": "yes"}]})
+    d = annotate.upgraded(spark.createDataFrame([(1, doc), (2, None), (3, "not json")], "e int, d string"), "e", "d")
+    say = annotate.speech_text(F.col("role"), F.col("style"), F.col("tool_calls"))
+    assert sorted((r.timestamp, r.style or "", r.content or "", r.say or "") for r in d.withColumn("say", say).collect()) == [(0.0, "interjection", "go", ""), (1.0, "subtask", "grasp", ""), (3.0, "", "", "yes")]
+    rows = [("odd", "x", 0, None), ("vqa", None, 0, None), (None, "x", 0, None), ("subtask", "x", 0, "front"), ("vqa", "x", 0, "front"), (None, None, 1, None), ("plan", "x", None, "")]
+    f = spark.createDataFrame(rows, "s string, c string, n int, cam string")
+    assert [r[0] for r in f.select(annotate.fault(*map(F.col, ("s", "c", "n", "cam")))).collect()] == ["style", "empty", "speech", "camera", None, None, None]
+
+
+def test_local_edits_compare_multisets(spark):
+    one = lambda rows: spark.createDataFrame(rows, "e int, ts double, c string")
+    hub = one([(1, 0.0, "a"), (1, 0.0, "a"), (2, 0.0, "a"), (3, 1.0, "b")])
+    local = one([(1, 0.0, "a"), (2, 0.0, "a"), (3, None, None), (4, None, None)])
+    got = annotate.local_edits(local, hub, hub.limit(0), hub.limit(0), "e", ["ts", "c"])
+    # 1: one copy less; 3: emptied, but the proposal is empty too; 4: empty everywhere
+    assert {r.e: r.edited for r in got.collect()} == {1: True, 2: False, 3: False, 4: False}
+
+
+def test_decisions_and_reviews_keep_what_people_made(spark):
+    old = spark.createDataFrame([(1, 0, 9, "adjusted", False), (2, 0, 9, "rule", True), (3, 0, 9, "rule", False)], "e int, start int, end int, source string, reviewed boolean")
+    new = spark.createDataFrame([(k, 1, 5) for k in (1, 2, 3, 4)], "e int, start int, end int")
+    assert sorted((r.e, r.start) for r in trim.decided(old, new, "e").collect()) == [(1, 0), (2, 0), (3, 0), (4, 1)]
+    assert sorted((r.e, r.start) for r in trim.decided(old, new, "e", True).collect()) == [(1, 0), (2, 0), (3, 1), (4, 1)]
+    c = spark.createDataFrame([(1, "human", "S1"), (2, "auto", "S2"), (3, None, "S3")], "e int, source string, stage string")
+    n = spark.createDataFrame([(k, "S5") for k in (1, 2, 3, 4)], "e int, stage string")
+    assert {r.e: (r.stage, r.written) for r in annotate.reviewed(c, n, "e", ["stage"]).collect()} == {1: ("S1", False), 2: ("S5", True), 3: ("S3", False), 4: ("S5", True)}
+
+
+def test_files_and_series_of_an_episode(spark):
+    f = spark.createDataFrame([("a", "r/episode_000001/x.csv"), ("a", "r/other.csv"), ("b", "x.csv"), ("b", "y.csv")], "d string, p string")
+    e = spark.createDataFrame([("a", 1), ("a", 2), ("b", 7)], "d string, e long")
+    assert sorted(map(tuple, shape.episode_files(f, e, "d", "e", "p").collect())) == [("a", 1, "r/episode_000001/x.csv"), ("b", 7, "x.csv"), ("b", 7, "y.csv")]
+    d = spark.createDataFrame([(1, t, n, p, v) for t in range(3) for n, p, v in (("Action.Gripper.pos", 0, 1.0), ("my.GRIPPER.pos", 1, 2.0), ("a.pos", 2, 3.0), ("b.pos", 3, None if t == 1 else 4.0))], "e int, t int, n string, p int, v double")
+    assert {r.v for r in shape.gripper_series(d, "e", "t", "n", "p", "v").collect()} == {2.0}
+    assert shape.arm_series(d, "e", "t", "n", "p", "v").count() == 0  # two whole frames are too few
+    assert sorted(r.joints for r in shape.arm_series(d.fillna(5.0), "e", "t", "n", "p", "v").collect()) == [[3.0, 4.0], [3.0, 4.0], [3.0, 5.0]]

@@ -172,3 +172,24 @@ def evaluation_flags(flags: Column, result: Column, released: Column) -> Column:
     at = F.array_position(flags, F.lit("hesitation")).cast("int")
     rest = F.when(at > 0, F.concat(F.slice(flags, F.lit(1), at - 1), F.slice(flags, at + 1, F.size(flags)))).otherwise(flags)
     return F.when(F.coalesce((result != "success") & released, F.lit(False)), F.array_append(rest, F.concat(F.lit("result_"), result))).otherwise(flags)
+
+
+def after_events(events: DataFrame, rows: DataFrame, keys, start: str, t: str, x: str, step: float, steps: int) -> DataFrame:
+    """(keys, start, step, peak): greatest value in each of the ``steps`` closed intervals after an event, 0
+    where none is greater. Rows meet events by bins of the whole reach, so a long episode is spread."""
+    reach = step * steps
+    e = events.select(*keys, F.col(start).alias("start")).distinct()
+    grid = e.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    e = e.withColumn("_b", F.explode(F.array(F.floor(F.col("start") / reach), F.floor(F.col("start") / reach) + 1)))
+    d = e.join(rows.select(*keys, F.col(t).alias("_t"), F.col(x).alias("_x"), F.floor(F.col(t) / reach).alias("_b")), [*keys, "_b"])
+    at = F.floor((F.col("_t") - F.col("start")) / step).cast("int")
+    d = d.withColumn("step", F.explode(F.sequence(at - 1, at + 1)))  # a row on a border is in both
+    a = F.col("start") + F.col("step") * step
+    d = d.filter((F.col("_t") >= a) & (F.col("_t") <= a + step)).groupBy(*keys, "start", "step").agg(F.max("_x").alias("_m"))
+    return grid.join(d, [*keys, "start", "step"], "left").select(*keys, "start", "step", F.greatest(F.coalesce("_m", F.lit(0.0)), F.lit(0.0)).alias("peak"))
+
+
+def rise_to_end(df: DataFrame, keys, order, x: str, out: str) -> DataFrame:
+    """How far the value still rises above each row's until the series ends, 0 at the least."""
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order]).rowsBetween(START, -1)
+    return df.withColumn(out, F.greatest(F.coalesce(F.max(x).over(w) - F.col(x), F.lit(0.0)), F.lit(0.0)))

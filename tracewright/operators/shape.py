@@ -105,3 +105,26 @@ def block_faults(raw: Column, corrected: Column) -> tuple[Column, Column, Column
     over = total(corrected) - total(raw)
     made = ~F.exists(raw, lambda v: v != 0) & F.exists(corrected, lambda v: v != 0)
     return F.size(F.filter(z(corrected), lambda v: v < 0)), made, over > 1e-9, F.greatest(over, F.lit(0.0))
+
+
+def paired_rows(df: DataFrame, keys, flat: str, first: int, names: tuple[str, str]) -> DataFrame:
+    """(keys, row, names): a frame of ``first`` values of one column and then those of another as rows, the
+    shorter column padded with nulls; an empty frame has no rows."""
+    parts = [F.slice(flat, 1, first), F.slice(flat, F.lit(first + 1), F.greatest(F.size(flat) - first, F.lit(0)))]
+    d = df.select(*keys, *[p.alias(n) for p, n in zip(parts, names, strict=True)])
+    return d.select(*keys, F.posexplode(F.arrays_zip(*names)).alias("row", "_v")).select(*keys, "row", *[F.col(f"_v.{n}") for n in names])
+
+
+def by_position(groups: list[DataFrame], keys, place: str) -> DataFrame:
+    """Chart groups side by side: rows of equal position are one row, null where a group is shorter."""
+    out = groups[0]
+    for g in groups[1:]:
+        out = out.join(g, [*keys, place], "full")
+    return out
+
+
+def csv_text(df: DataFrame, keys, order: str, columns) -> DataFrame:
+    """(keys, csv): a group's rows in order as lines, values joined by commas without quotes, nulls empty."""
+    line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line"))))
+    return df.groupBy(*keys).agg(F.array_join(rows["line"], "\n").alias("csv"))

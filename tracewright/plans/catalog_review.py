@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -73,12 +74,12 @@ def local_edits(spark, sf_dir):
 
 
 @query("""WITH l AS (SELECT o_custkey AS e, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY ALL), f AS (SELECT o_custkey AS e, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL)
-SELECT c_custkey AS episode, CASE WHEN l.n IS NOT NULL THEN 'local' WHEN f.n IS NOT NULL THEN 'file' ELSE 'missing' END AS origin, coalesce(l.n, f.n) AS atoms FROM customer LEFT JOIN l ON l.e = c_custkey LEFT JOIN f ON f.e = c_custkey WHERE c_acctbal > 0 AND c_mktsegment <> 'BUILDING'""")
+SELECT c_custkey AS episode, CASE WHEN l.n IS NOT NULL THEN 'local' WHEN f.n IS NOT NULL THEN 'file' ELSE 'missing' END AS origin, coalesce(l.n, f.n, 0) AS atoms FROM customer LEFT JOIN l ON l.e = c_custkey LEFT JOIN f ON f.e = c_custkey WHERE c_acctbal > 0 AND c_mktsegment <> 'BUILDING'""")
 def commit_entries(spark, sf_dir):
     report = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("episode"), (F.col("c_acctbal") > 0).alias("staged"), (F.col("c_mktsegment") == "BUILDING").alias("committed"))
     o = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "episode")
     copies = lambda status: o.filter(F.col("o_orderstatus") == status).groupBy("episode").agg(F.count("*").alias("atoms"))
-    return annotate.commit_entries(report, copies("O"), copies("F"), "episode")
+    return annotate.commit_entries(report, copies("O"), copies("F"), "episode").fillna(0, ["atoms"])
 
 
 @query("""WITH c AS (SELECT c_custkey AS episode, CASE c_mktsegment WHEN 'BUILDING' THEN 'human' WHEN 'MACHINERY' THEN NULL ELSE 'auto' END AS source, c_mktsegment AS stage, c_nationkey::BIGINT AS score FROM customer WHERE c_acctbal > 0),
@@ -182,3 +183,36 @@ def background_sample(spark, sf_dir):
     """A seeded choice of 300 rows without replacement (the sample is the feature)."""
     e = table(spark, sf_dir, "events").select("event_id", "value")
     return e.orderBy(F.md5(F.concat(F.lit("7:"), F.col("event_id").cast("string"))), "event_id").limit(300)
+
+
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e, unnest(range(0, greatest(least(len(embedding), 40), len(embedding) - 40))) AS r FROM embeddings)
+SELECT vec_id, r::INTEGER AS "row", CASE WHEN r < 40 THEN e[r + 1] END AS state, e[r + 41] AS action FROM e""")
+def state_action_rows(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    return shape.paired_rows(e, ["vec_id"], "e", 40, ("state", "action"))
+
+
+@query(f"""WITH {SIGNAL}, a AS (SELECT episode, row_number() OVER (PARTITION BY episode ORDER BY i) - 1 AS k, x AS bought FROM sig WHERE label = 'purchase'), b AS (SELECT episode, row_number() OVER (PARTITION BY episode ORDER BY i) - 1 AS k, x AS failed FROM sig WHERE label = 'error')
+SELECT episode, k, coalesce(bought, -1) AS bought, coalesce(failed, -1) AS failed FROM a FULL JOIN b USING (episode, k)""")
+def chart_groups_merged(spark, sf_dir):
+    s = signal(spark, sf_dir)
+    w = Window.partitionBy("episode").orderBy("i")
+    one = lambda label, name: s.filter(F.col("label") == label).select("episode", (F.row_number().over(w) - 1).alias("k"), F.col("x").alias(name))
+    return shape.by_position([one("purchase", "bought"), one("error", "failed")], ["episode"], "k").fillna(-1.0, ["bought", "failed"])
+
+
+@query("""SELECT n_regionkey AS region, string_agg(n_nationkey || ',' || n_name, chr(10) ORDER BY n_nationkey) AS csv FROM nation GROUP BY ALL""")
+def csv_text(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    return shape.csv_text(n, [F.col("n_regionkey").alias("region")], "n_nationkey", ["n_nationkey", "n_name"])
+
+
+@query("""WITH i AS (SELECT count(*) AS frames, count(DISTINCT l_partkey) AS episodes, count(DISTINCT l_suppkey) AS tasks, sum(l_quantity::DOUBLE) AS kb FROM lineitem)
+SELECT frames, episodes, tasks, floor(kb / 1000 * 10 + 0.5) / 10 AS size_mb, CASE WHEN frames // 36000 > 0 THEN (frames // 36000) || 'h ' ELSE '' END || ((frames % 36000) // 600) || 'm' AS total_time FROM i""")
+def dataset_info(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    d = li.agg(F.count("*").alias("frames"), F.count_distinct("l_partkey").alias("episodes"), F.count_distinct("l_suppkey").alias("tasks"), F.sum(F.col("l_quantity").cast("double")).alias("kb"))
+    seconds = F.floor(F.col("frames") / 10)
+    hours, minutes = F.floor(seconds / 3600), F.floor(seconds % 3600 / 60)
+    told = F.concat(F.when(hours > 0, F.concat(hours.cast("string"), F.lit("h "))).otherwise(""), minutes.cast("string"), F.lit("m"))
+    return d.select("frames", "episodes", "tasks", (F.floor(F.col("kb") / 1000 * 10 + 0.5) / 10).alias("size_mb"), told.alias("total_time"))

@@ -92,3 +92,16 @@ def change_gated_rows(spark, sf_dir):
 @query(f"""WITH {SIGNAL}, n AS (SELECT *, count(*) OVER (PARTITION BY episode) AS n FROM sig) SELECT episode, i, round(x, 2) AS force, round(jaw, 2) AS peak FROM n WHERE i % greatest(1, n // 20) = 0""")
 def contact_timeline(spark, sf_dir):
     return ts.strided(signal(spark, sf_dir), K, O, 20).select("episode", "i", F.round("x", 2).alias("force"), F.round("jaw", 2).alias("peak"))
+
+
+@query(f"""WITH {SIGNAL}, g AS (SELECT episode, t AS s, unnest(range(0, 10)) AS step FROM sig WHERE label = 'error' AND x > 60)
+SELECT g.episode, round(s, 6) AS "start", step::INTEGER AS step, greatest(coalesce(max(x), 0), 0) AS peak FROM g LEFT JOIN sig ON sig.episode = g.episode AND sig.t >= s + step * 7200::DOUBLE AND sig.t <= s + step * 7200::DOUBLE + 7200 GROUP BY ALL""")
+def hand_after_drop(spark, sf_dir):
+    s = signal(spark, sf_dir)
+    drops = s.filter("label = 'error' and x > 60")
+    return rounded(passes.after_events(drops, s, K, "t", "t", "x", 2 * HOUR, 10), "start")
+
+
+@query(f"""WITH {SIGNAL}, r AS (SELECT episode, i, label, greatest(coalesce(max(jaw) OVER (PARTITION BY episode ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) - jaw, 0), 0) AS rise FROM sig) SELECT episode, i, rise FROM r WHERE label = 'error'""")
+def jaw_rise(spark, sf_dir):
+    return passes.rise_to_end(signal(spark, sf_dir), K, O, "jaw", "rise").filter("label = 'error'").select("episode", "i", "rise")
