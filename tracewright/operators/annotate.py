@@ -87,13 +87,11 @@ def fault(style: Column, content: Column, n_calls: Column, camera: Column) -> Co
     return reasons.when((F.length(camera) > 0) & ~style.isin(*VIEW), "camera")
 
 
-def seen_by(atoms: DataFrame, cameras: DataFrame, camera: str = "camera") -> DataFrame:
-    """Each camera's atoms: its own, and those without a camera."""
-    own = cameras.select(camera).distinct()
-    # the few names as one array on each atom without a camera
-    names = own.agg(F.sort_array(F.collect_set(camera)).alias("_names"))
-    every = atoms.filter(F.col(camera).isNull()).drop(camera).withColumn("_one", F.lit(1)).join(F.broadcast(names.withColumn("_one", F.lit(1))), "_one").withColumn(camera, F.explode("_names"))
-    return atoms.join(own, camera, "left_semi").select(atoms.columns).unionByName(every.select(atoms.columns))
+def seen_by(atoms: DataFrame, cameras: list[str], camera: str = "camera") -> DataFrame:
+    """Each camera's atoms: its own, and those without a camera. ``cameras``: the few that a dataset names."""
+    names = F.array(*[F.lit(c) for c in cameras])
+    shown = F.when(F.col(camera).isNull(), names).otherwise(F.filter(names, lambda c: c == F.col(camera)))
+    return atoms.withColumn("_c", F.explode(shown)).withColumn(camera, F.col("_c")).drop("_c")
 
 
 def cleared(atoms: DataFrame, edited: Column) -> DataFrame:

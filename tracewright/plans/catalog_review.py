@@ -49,8 +49,7 @@ SELECT k AS camera, style, count(*) AS n, count(DISTINCT episode) AS episodes FR
 def camera_atoms(spark, sf_dir):
     long = F.length("content")
     a = atoms(spark, sf_dir).withColumn("camera", F.when(long > 90, "front").when(long > 60, "wrist"))
-    cameras = spark.createDataFrame([("front",), ("wrist",), ("top",)], "camera string")
-    return annotate.seen_by(a, cameras).groupBy("camera", "style").agg(F.count("*").alias("n"), F.count_distinct("episode").alias("episodes"))
+    return annotate.seen_by(a, ["front", "wrist", "top"]).groupBy("camera", "style").agg(F.count("*").alias("n"), F.count_distinct("episode").alias("episodes"))
 
 
 @query(f"""WITH {ATOMS} SELECT episode, ts, style, CASE WHEN NOT coalesce(length(content) > 60, FALSE) THEN 'auto' END AS origin FROM atoms""")
