@@ -41,40 +41,52 @@ def block_extremes(rows: DataFrame, keys, t: str, x: str, width: float) -> DataF
     return up.groupBy(*keys, "level", "block").agg(F.min("least").alias("least"), F.max("greatest").alias("greatest"), F.sum("rows").alias("rows"))
 
 
-def extremes(intervals: DataFrame, rows: DataFrame, keys, lo: str, hi: str, t: str, x: str, width: float, prefix: str = "", open_start: bool = False) -> DataFrame:
-    """The intervals with ``least``, ``greatest`` and ``rows`` of x over [lo, hi] (``open_start``: (lo, hi]),
-    null and 0 where it is empty. Nulls in x are skipped; an interval without ends is empty."""
+def _probe(level: Column, block: Column) -> Column:
+    return F.struct(level.cast("int").alias("level"), block.cast("long").alias("block"))
+
+
+def extremes(asked: DataFrame, rows: DataFrame, keys, lo: str, hi: str, t: str, x: str, width: float, prefix: str = "", open_start: bool = False) -> DataFrame:
+    """The rows of ``asked`` with ``least``, ``greatest`` and ``rows`` of x over [lo, hi] (``open_start``: (lo, hi]),
+    null and 0 where it is empty. Nulls in x are skipped; an interval without ends is empty.
+
+    ``asked`` is read once: each row is sent to its blocks and its two ends, and put together again. Its
+    columns can be grouped by (no maps).
+    """
     keys = list(keys)
-    own = intervals.select(*keys, F.col(lo).alias("_lo"), F.col(hi).alias("_hi")).distinct().filter("_lo <= _hi")
-    first, last = F.floor(F.col("_lo") / width), F.floor(F.col("_hi") / width)
-    edges = own.withColumn("_b", F.explode(F.array_distinct(F.array(first, last))))
-    cut = rows.select(*keys, F.col(t).alias("_t"), F.col(x).alias("_x"), F.floor(F.col(t) / width).alias("_b"))
-    inside = (F.col("_t") > F.col("_lo")) if open_start else (F.col("_t") >= F.col("_lo"))
-    ends = edges.join(cut, [*keys, "_b"]).filter(inside & (F.col("_t") <= F.col("_hi"))).groupBy(*keys, "_lo", "_hi").agg(F.min("_x").alias("least"), F.max("_x").alias("greatest"), F.count("_x").alias("rows"))
-    whole = own.filter(last - first > 1).withColumn("_c", F.explode(_cover(first + 1, last))).select(*keys, "_lo", "_hi", "_c.level", "_c.block")
-    middle = whole.join(block_extremes(rows, keys, t, x, width), [*keys, "level", "block"]).select(*keys, "_lo", "_hi", "least", "greatest", "rows")
-    both = ends.unionByName(middle).groupBy(*keys, "_lo", "_hi").agg(F.min("least").alias(f"{prefix}least"), F.max("greatest").alias(f"{prefix}greatest"), F.sum("rows").alias(f"{prefix}rows"))
-    named = both.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_lo", "_hi", f"{prefix}least", f"{prefix}greatest", f"{prefix}rows")
-    on = (F.col(lo) == F.col("_lo")) & (F.col(hi) == F.col("_hi"))
+    table = rows.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.lit(-1).alias("__l"), F.floor(F.col(t) / width).alias("__b"), F.col(t).alias("__t"), F.col(x).alias("__low"), F.col(x).alias("__top"), F.lit(1).cast("long").alias("__n")).filter("__low is not null")
+    blocks = block_extremes(rows, keys, t, x, width)
+    table = table.unionByName(blocks.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("level").alias("__l"), F.col("block").alias("__b"), F.lit(None).cast(table.schema["__t"].dataType).alias("__t"), F.col("least").alias("__low"), F.col("greatest").alias("__top"), F.col("rows").alias("__n")))
+    first, last = F.floor(F.col(lo) / width), F.floor(F.col(hi) / width)
+    ends = F.array_distinct(F.transform(F.array(first, last), lambda b: _probe(F.lit(-1), b)))
+    whole = F.when(last - first > 1, F.transform(_cover(first + 1, last), lambda c: _probe(c["level"], c["block"]))).otherwise(F.array().cast("array<struct<level:int,block:bigint>>"))
+    probes = F.when(F.col(lo) <= F.col(hi), F.concat(ends, whole)).otherwise(F.array(_probe(F.lit(None), F.lit(None))))
+    d = asked.groupBy(*asked.columns).agg(F.count("*").alias("__copies")).withColumn("__p", F.explode(probes))
+    inside = (F.col("__t") > F.col(lo)) if open_start else (F.col("__t") >= F.col(lo))
+    on = (F.col("__p.level") == F.col("__l")) & (F.col("__p.block") == F.col("__b")) & ((F.col("__l") >= 0) | (inside & (F.col("__t") <= F.col(hi))))
     for i, k in enumerate(keys):
-        on = on & (F.col(k) == F.col(f"_k{i}"))
-    out = intervals.join(named, on, "left").drop("_lo", "_hi", *[f"_k{i}" for i in range(len(keys))])
-    return out.withColumn(f"{prefix}rows", F.coalesce(f"{prefix}rows", F.lit(0)))
+        on = on & (F.col(k) == F.col(f"__k{i}"))
+    d = d.join(table, on, "left").groupBy(*asked.columns, "__copies").agg(F.min("__low").alias(f"{prefix}least"), F.max("__top").alias(f"{prefix}greatest"), F.coalesce(F.sum("__n"), F.lit(0)).alias(f"{prefix}rows"))
+    return _copied(d)
 
 
-def stabbed(points: DataFrame, spans: DataFrame, keys, t: str, lo: str, hi: str, width: float, how: str = "left_semi") -> DataFrame:
-    """The points that lie in a span [lo, hi] (``left_anti``: in none). Spans are cut into dyadic blocks and
-    looked up from the blocks that hold a point, so a long span has few entries."""
+def _copied(d: DataFrame) -> DataFrame:
+    """As many equal rows as there were."""
+    return d.withColumn("__copies", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).drop("__copies")
+
+
+def stabbed(points: DataFrame, spans: DataFrame, keys, t: str, lo: str, hi: str, width: float, out: str, wild: str | None = None) -> DataFrame:
+    """The points with ``out``: whether one lies in a span [lo, hi] of its keys. A span whose ``wild`` column is
+    null holds for every value of it. Spans are cut into dyadic blocks and looked up from the blocks that
+    hold a point, so a long span has few entries; the points are read once."""
     keys = list(keys)
     first, last = F.floor(F.col(lo) / width), F.floor(F.col(hi) / width)
-    s = spans.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(lo).alias("_lo"), F.col(hi).alias("_hi"), F.explode(F.array_union(_cover(first + 1, last), F.transform(F.array(first, last), lambda b: F.struct(F.lit(0).alias("level"), b.alias("block"))))).alias("_c"))
-    s = s.select(*[f"_k{i}" for i in range(len(keys))], "_lo", "_hi", F.col("_c.level").alias("_sl"), F.col("_c.block").alias("_sb")).distinct()
-    p = points.withColumn("_a", F.explode(_ancestors(F.floor(F.col(t) / width))))
-    on = (F.col("_a.level") == F.col("_sl")) & (F.col("_a.block") == F.col("_sb")) & F.col(t).between(F.col("_lo"), F.col("_hi"))
-    for i, k in enumerate(keys):
-        on = on & (F.col(k) == F.col(f"_k{i}"))
-    hit = p.join(s, on, "left_semi").select(*keys, t).distinct().select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(t).alias("_t"))
-    match = F.col(t) == F.col("_t")
+    cover = F.when(F.col(lo) <= F.col(hi), F.array_distinct(F.concat(F.transform(F.array(first, last), lambda b: F.struct(F.lit(0).alias("level"), b.alias("block"))), F.when(last - first > 1, _cover(first + 1, last)).otherwise(F.array().cast("array<struct<level:int,block:bigint>>")))))
+    any_ = F.lit("*") if wild is None else F.coalesce(F.col(wild).cast("string"), F.lit("*"))
+    s = spans.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], any_.alias("__w"), F.col(lo).alias("__lo"), F.col(hi).alias("__hi"), F.explode(cover).alias("__c"))
+    s = s.select(*[f"__k{i}" for i in range(len(keys))], "__w", "__lo", "__hi", F.col("__c.level").alias("__sl"), F.col("__c.block").alias("__sb"))
+    names = F.array(F.lit("*")) if wild is None else F.array_distinct(F.array(F.lit("*"), F.coalesce(F.col(wild).cast("string"), F.lit("*"))))
+    p = points.groupBy(*points.columns).agg(F.count("*").alias("__copies")).withColumn("__a", F.explode(_ancestors(F.floor(F.coalesce(F.col(t), F.lit(0.0)) / width)))).withColumn("__v", F.explode(names))
+    on = (F.col("__a.level") == F.col("__sl")) & (F.col("__a.block") == F.col("__sb")) & (F.col("__v") == F.col("__w")) & F.col(t).between(F.col("__lo"), F.col("__hi"))
     for i, k in enumerate(keys):
-        match = match & (F.col(k) == F.col(f"_k{i}"))
-    return points.join(hit, match, how)
+        on = on & (F.col(k) == F.col(f"__k{i}"))
+    return _copied(p.join(s, on, "left").groupBy(*points.columns, "__copies").agg((F.count("__lo") > 0).alias(out)))

@@ -11,7 +11,6 @@ row of counts for each cell reaches the driver.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..streaming.runner import shared_dir
+from .tables import kept
 
 #: Pivots at most, rows of the sample they come from, rows of a block, queries of a block.
 PIVOTS, SAMPLE, BLOCK_ROWS, BLOCK_QUERIES = 64, 4096, 2048, 256
@@ -29,13 +28,6 @@ PIVOTS, SAMPLE, BLOCK_ROWS, BLOCK_QUERIES = 64, 4096, 2048, 256
 SLACK = 1e-9
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read again: a lost executor costs a read, not the jobs before."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def far_apart(x: np.ndarray, most: int) -> np.ndarray:
     """Up to ``most`` distinct rows, each the one farthest from those before; the first is the one farthest from the mean."""
     if not len(x):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import metric
+from .tables import kept
 
 START = Window.unboundedPreceding
 BACKGROUND = "background"
@@ -140,7 +141,7 @@ def reference(samples: DataFrame, events: DataFrame, keys, t: str, channels, s:
     own = terminal_windows(samples, events.select(*keys, t, "label").distinct(), keys, t, channels, s)
     quiet = background_centres(samples, own.select(*keys, t), keys, t, s).withColumn("label", F.lit(BACKGROUND))
     rows = own.unionByName(terminal_windows(samples, quiet, keys, t, channels, s))
-    rows = metric.kept(rows, "windows")
+    rows = kept(rows, "windows")
     dims = rows.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("d"))
     one = dims.agg(F.array_sort(F.collect_list(F.struct("i", F.round("m", 4).alias("m"), F.round("d", 4).alias("d")))).alias("s"))
     scaler = one.select(F.transform("s", lambda x: x["m"]).alias("mean"), F.transform("s", lambda x: x["d"]).alias("std"))
