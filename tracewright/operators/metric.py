@@ -93,7 +93,7 @@ def build(rows: DataFrame, id_col: str, vec: str, group: str, label: str, pivots
     for r in placed.groupBy("cell").agg(F.count("*"), F.min("r"), F.max("r")).collect():
         count[r[0]], low[r[0]], high[r[0]] = r[1:]
     largest = placed.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
-    index = MetricIndex(placed, p, count, low, high, np.maximum(-(-count // block_rows), 1) * 4, largest)
+    index = MetricIndex(placed, p, count, low, high, np.where(count > block_rows, -(-count // block_rows) * 4, 1), largest)
 
     def ring(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in frames:
@@ -182,6 +182,8 @@ def _compared(index: MetricIndex, asked: DataFrame, k: int) -> DataFrame:
                     lo, hi = np.searchsorted(r, a["lo"]), np.searchsorted(r, a["hi"], "right")
                     other = lo + np.flatnonzero(grp[lo:hi] != a["grp"]) if a["grp"] is not None else np.arange(lo, hi)
                     d = _lengths(x[other] - q[i])
+                    near = d <= (a["hi"] - a["lo"]) / 2  # the bound itself
+                    other, d = other[near], d[near]
                     best = np.lexsort((rank[other], d))[:k]
                     out_q += [i] * len(best)
                     out_x.append(other[best])

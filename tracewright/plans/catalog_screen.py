@@ -31,8 +31,7 @@ win AS MATERIALIZED (SELECT episode, c, label, n || s || a || h || [list_sum(n[1
 SCALED = f"""{WINDOWS}, un AS (SELECT unnest(range(1, 69)) AS i, unnest(v) AS x FROM win), sc AS (SELECT list(m ORDER BY i) AS m, list(d ORDER BY i) AS d FROM (SELECT i, round(avg(x), 4) AS m, round(stddev_pop(x), 4) AS d FROM un GROUP BY ALL)),
 corpus AS MATERIALIZED (SELECT episode, c, label, list_transform(range(1, 69), lambda i: (round(v[i], 3) - m[i]) / greatest(d[i], 1e-9))::DOUBLE[68] AS z FROM win, sc),
 ask AS MATERIALIZED (SELECT episode, c, label, list_transform(range(1, 69), lambda i: (v[i] - m[i]) / greatest(d[i], 1e-9))::DOUBLE[68] AS z FROM win, sc),
-kn AS (SELECT a.episode, a.c, a.label, r.label AS other, row_number() OVER (PARTITION BY a.episode, a.c, a.label ORDER BY array_distance(a.z, r.z), r.episode, r.c) AS k FROM ask a JOIN corpus r ON a.episode <> r.episode),
-vote AS (SELECT episode, c, label, CASE WHEN count(*) = 7 THEN count(*) FILTER (other = 'background') END AS votes FROM kn WHERE k <= 7 GROUP BY ALL)"""
+vote AS (SELECT a.episode, a.c, a.label, CASE WHEN count(*) >= 7 THEN len(list_filter(arg_min(r.label, array_distance(a.z, r.z), 7), lambda n: n = 'background')) END AS votes FROM ask a JOIN corpus r ON a.episode <> r.episode WHERE ASKED GROUP BY ALL)"""
 
 
 def _samples(spark, sf_dir):
@@ -50,7 +49,7 @@ def _reference(spark, sf_dir):
     return screen.reference(_samples(spark, sf_dir), _events(spark, sf_dir), K, "t", CHANNELS, RULES)
 
 
-@query(f"WITH {SCALED} SELECT episode, round(c, 6) AS c, label, len(z)::INT AS dims, round(list_sum(z), 4) AS s, round(sqrt(list_sum(list_transform(z, lambda x: x * x))), 4) AS length FROM corpus")
+@query(f"WITH {SCALED.replace('ASKED', 'TRUE')} SELECT episode, round(c, 6) AS c, label, len(z)::INT AS dims, round(list_sum(z), 4) AS s, round(sqrt(list_sum(list_transform(z, lambda x: x * x))), 4) AS length FROM corpus")
 def reference_build(spark, sf_dir):
     ref = _reference(spark, sf_dir)
     add = lambda f: F.aggregate("z", F.lit(0.0), lambda a, x: a + f(x))
@@ -58,7 +57,7 @@ def reference_build(spark, sf_dir):
     return rounded(rounded(d, "c"), "s", "length", digits=4)
 
 
-@query(f"WITH {SCALED} SELECT episode, round(c, 6) AS c, label, votes, coalesce(votes >= 4, FALSE) AS artifact, CASE WHEN votes >= 4 AND label <> 'background' THEN 'residual_suspect' END AS flag FROM vote WHERE label <> 'background'")
+@query(f"WITH {SCALED.replace('ASKED', "a.label <> 'background'")} SELECT episode, round(c, 6) AS c, label, votes, coalesce(votes >= 4, FALSE) AS artifact, CASE WHEN votes >= 4 AND label <> 'background' THEN 'residual_suspect' END AS flag FROM vote WHERE label <> 'background'")
 def signal_screen(spark, sf_dir):
     ref = _reference(spark, sf_dir)
     events = screen.terminal_windows(_samples(spark, sf_dir), _events(spark, sf_dir), K, "t", CHANNELS, RULES)
@@ -66,7 +65,7 @@ def signal_screen(spark, sf_dir):
     return rounded(judged.select("episode", F.col("t").alias("c"), "label", "votes", "artifact", "flag"), "c")
 
 
-@query(f"""WITH {SCALED} SELECT label, votes, count(*) AS n FROM vote GROUP BY ALL""")
+@query(f"""WITH {SCALED.replace("ASKED", "TRUE")} SELECT label, votes, count(*) AS n FROM vote GROUP BY ALL""")
 def screen_votes_by_class(spark, sf_dir):
     """Leave-one-episode-out: every window of the corpus, background too, against all other episodes."""
     ref = _reference(spark, sf_dir)
