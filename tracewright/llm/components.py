@@ -10,6 +10,8 @@ from .common import written
 
 #: Tasks to which the edges of one vertex are dealt when they meet its minimum.
 SALTS = 16
+#: Edges for which one file is written in a round.
+EDGES_PER_FILE = 100_000
 
 
 def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
@@ -41,11 +43,11 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     path; no vertex's neighbours are gathered in one place (only minima are).
     """
     now = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct(), "edges")
-    before = None
+    before, files = None, None
     while True:
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if before == sums:
             break
-        before = sums
-        now = written(_small(_large(now)).distinct(), "edges")
+        before, files = sums, -(-sums[0] // EDGES_PER_FILE) or 1
+        now = written(_small(_large(now)).distinct(), "edges", files)
     return now.select(F.col("u").alias("vertex"), F.col("v").alias("component")).union(now.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct())

@@ -42,6 +42,8 @@ COUNT_BITS, SLICE_BITS = 26, 19
 MOST_MATCHES = 4
 #: A class asks for one more match each time its candidates double beyond this.
 CHEAP = 32
+#: Documents for which one file of an intermediate table is written.
+DOCS_PER_FILE = 4096
 BATCH_CHARS = 500_000
 
 
@@ -168,18 +170,26 @@ def _within_groups(star: DataFrame, num: int, den: int) -> DataFrame:
     share = (den - num) / (den + num)
     d = F.concat("more", "less")
     s = star.select("rep", "lead", "n", "lead_n", "linked", d.alias("d"), F.size(d).alias("k"))
+    open_groups = s.filter("not linked").select("lead").distinct()
+    s = s.join(open_groups, "lead", "left_semi")
+    # an element of D that no other member of the group has can't be shared: only the others are compared, rarest first
+    tokens = s.select("rep", "lead", F.explode("d").alias("token"))
+    often = tokens.groupBy("lead", "token").agg(F.count("*").alias("c")).filter("c > 1")
+    common = tokens.join(often, ["lead", "token"]).groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "token"))), lambda x: x["token"]).alias("p"))
+    s = s.join(common, "rep").withColumn("kp", F.size("p"))
     free = F.col("k") - share * F.col("n")
     # the least number of shared elements: with a linked partner, and with an unlinked one
     to_linked = F.greatest(F.lit(1), F.ceil((F.col("k") - share * (F.col("n") + F.col("lead_n"))) / (1 + share) - 1e-6))
     to_unlinked = F.greatest(F.lit(1), F.floor((free + share * F.col("lead_n")) / 2 - 1e-6))
-    cut = lambda least: F.slice("d", 1, F.greatest(F.col("k") - least + 1, F.lit(0)).cast("int"))
-    open_groups = s.filter("not linked").select("lead").distinct()
-    s = s.join(open_groups, "lead", "left_semi")
+    cut = lambda least: F.slice("p", 1, F.greatest(F.col("kp") - least + 1, F.lit(0)).cast("int"))
     roles = F.when(F.col("linked"), F.array(F.struct(F.lit("UL").alias("role"), F.lit(1).alias("side"), cut(to_unlinked).alias("p"))))
     roles = roles.otherwise(F.array(F.struct(F.lit("UL").alias("role"), F.lit(0).alias("side"), cut(to_linked).alias("p")), F.struct(F.lit("UU").alias("role"), F.lit(0).alias("side"), cut(to_unlinked).alias("p"))))
-    keys = s.select("rep", "lead", F.explode(roles).alias("r")).select("rep", "lead", "r.role", "r.side", F.explode("r.p").alias("token"))
-    x, y = (keys.select("lead", "role", "token", F.col("rep").alias(f"rep_{c}"), F.col("side").alias(f"side_{c}")) for c in "xy")
-    pairs = x.join(y, ["lead", "role", "token"]).filter("(role = 'UU' and rep_x < rep_y) or (role = 'UL' and side_x < side_y)").select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
+    keys = s.select("rep", "lead", "n", "k", "kp", F.explode(roles).alias("r")).select("rep", "lead", "n", "k", "kp", "r.role", "r.side", F.explode("r.p").alias("token"))
+    x, y = (keys.select("lead", "role", "token", *[F.col(v).alias(f"{v}_{c}") for v in ("rep", "side", "n", "k", "kp")]) for c in "xy")
+    # and no more than all of the shorter one's can be shared
+    least_left = F.col("k_x") + F.col("k_y") - 2 * F.least("kp_x", "kp_y")
+    ordered = ((F.col("role") == "UU") & (F.col("rep_x") < F.col("rep_y"))) | ((F.col("role") == "UL") & (F.col("side_x") < F.col("side_y")))
+    pairs = x.join(y, ["lead", "role", "token"]).filter(ordered & ((den + num) * least_left <= (den - num) * (F.col("n_x") + F.col("n_y")))).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
     one = lambda c, m: star.select(F.col("rep").alias(c), F.col("n").alias(f"n_{m}"), d.alias(f"d_{m}"))
     both = pairs.join(one("a", "x"), "a").join(one("b", "y"), "b")
     differ = F.size("d_x") + F.size("d_y") - 2 * F.size(F.array_intersect("d_x", "d_y"))
@@ -189,14 +199,15 @@ def _within_groups(star: DataFrame, num: int, den: int) -> DataFrame:
 def _linked(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, k1, k2, n, head): each row with the least (none, doc_id, k1, k2) that its links reach."""
     signed = written(signatures(documents, count_table(documents, width, text), width, num, den, id_col, text), "signed")
+    files = -(-signed.count() // DOCS_PER_FILE) or 1  # tables of one row a document or a few more, whatever the shuffles are cut into
     head = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
     classes = signed.filter("n > 0").groupBy("h1", "h2").agg(F.min(F.struct(head.alias("head"), "n", "prefix")).alias("m"), F.count("*").alias("docs"))
     # classes are numbered: compact keys for what follows, whatever the ids are
-    classes = written(classes.select("h1", "h2", F.monotonically_increasing_id().alias("rep"), "m.head", "m.n", "m.prefix", "docs"), "classes")
+    classes = written(classes.select("h1", "h2", F.monotonically_increasing_id().alias("rep"), "m.head", "m.n", "m.prefix", "docs"), "classes", files)
     least = F.ceil(F.lit(num) * F.col("n") / F.lit(den)).cast("int")  # shingles of x that a partner must share
     posted = classes.select(F.col("rep"), F.col("n"), F.posexplode("prefix").alias("place", "token"))
     lists = posted.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1")
-    posted = written(posted.join(lists, "token").select("token", "rep", "n", "place", "size"), "posted")
+    posted = written(posted.join(lists, "token").select("token", "rep", "n", "place", "size"), "posted", files)
 
     # the number of candidates of the plain prefix decides how many matches a class asks for
     plain = F.col("n") - least
@@ -204,17 +215,17 @@ def _linked(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10, i
     posted = posted.join(cost, "rep")
     matches = F.least(F.lit(MOST_MATCHES), F.greatest(F.lit(1), 1 + F.floor(F.log2(F.greatest(F.col("cost") / CHEAP, F.lit(1.0)))).cast("int")), least)
     posted = posted.withColumn("matches", matches).filter(F.col("place") < plain + F.col("matches"))
-    posted = written(posted.select("token", "rep", "n", "place", "matches", "support"), "postings")
+    posted = written(posted.select("token", "rep", "n", "place", "matches", "support"), "postings", files)
 
     open_classes = classes.select("rep", "head.k1", "head.k2").join(posted.select("rep").distinct(), "rep", "left_semi")
-    sets = written(_sets(documents, open_classes, width, id_col, text), "sets")
+    sets = written(_sets(documents, open_classes, width, id_col, text), "sets", files)
 
     # each class against one leader, the class with most shared prefix shingles
     leads = posted.groupBy("token").agg(F.max_by(F.struct(F.col("rep").alias("lead"), F.col("n").alias("lead_n")), F.struct("support", -F.col("rep"))).alias("l"))
     near = lambda a, b: den * F.least(a, b) >= num * F.greatest(a, b)
     led = posted.join(leads, "token").select("rep", "n", "l.*").filter((F.col("rep") != F.col("lead")) & near(F.col("n"), F.col("lead_n")))
     led = led.groupBy("rep", "lead").agg(F.count("*").alias("c")).groupBy("rep").agg(F.max_by("lead", F.struct("c", -F.col("lead"))).alias("lead"))
-    star = written(_against_leader(led, sets, num, den), "star")
+    star = written(_against_leader(led, sets, num, den), "star", files)
     links = star.filter("linked").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
     joined = components(links, "a", "b")
 
@@ -237,7 +248,7 @@ def _linked(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10, i
     rest = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
     pairs = pairs.groupBy(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("matches_x", "matches_y")).alias("k"), F.max(rest).alias("rest"), F.first(F.col("n_x") + F.col("n_y")).alias("sum"))
     pairs = pairs.filter((F.col("c") >= F.col("k")) & ((den + num) * F.col("rest") >= num * F.col("sum")))
-    links = written(links.union(_verified(pairs.select("a", "b"), sets, num, den)), "links")
+    links = written(links.union(_verified(pairs.select("a", "b"), sets, num, den)), "links", files)
     joined = components(links, "a", "b")
 
     whole = classes.select("h1", "h2", "rep", "docs", "head").join(joined.withColumnRenamed("vertex", "rep"), "rep", "left")
