@@ -6,9 +6,10 @@ how far they are from the jaw.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import hand, intervals
+from ..operators import fingers, hand, intervals
 from ..operators.tables import kept
 from .catalog import HOUR, query, rounded
 from .views import SIGNAL, signal
@@ -179,3 +180,35 @@ def recorded_by_finger(spark, sf_dir):
 def interval_extremes(spark, sf_dir):
     q = _events(spark, sf_dir).select("episode", "seq", F.col("start").alias("lo"), (F.col("start") + (F.col("seq") % 17) * 21600).alias("hi"))
     return intervals.extremes(q, _jaw(spark, sf_dir), [KEY], "lo", "hi", "t", "pos", 12 * HOUR).select("episode", "seq", "greatest", "least", "rows")
+
+
+FINGER = fingers.Finger(
+    enter=60.0, leave=30.0, enter_s=6 * HOUR, leave_s=6 * HOUR, stable_least=40.0, stable_spread=0.9, stable_rows=2, lift_rate=1e-4, lift_s=HOUR, still=40.0, rough_enter=90.0, rough_leave=40.0,
+    shear_rate=1e-4, slip_div=0.6, edge_rate=1.0, incipient_s=HOUR, torque=20.0, rotation_s=HOUR, place_rows=2, place_drop=0.2, place_hold_rows=3, place_gap_s=12 * HOUR, least_s=60.0,
+    before_s=12 * HOUR, after_s=24 * HOUR, travel=10.0, closing=-60.0,
+)
+
+
+def _channels(spark, sf_dir):
+    """Both fingers' samples with every channel the passes read."""
+    s = signal(spark, sf_dir).groupBy("episode", "t").agg(F.max("x").alias("x"), F.max("jaw").alias("pos"))
+    s = s.withColumn("i", F.row_number().over(Window.partitionBy("episode").orderBy("t")) - 1)
+    two = F.array(F.struct(F.lit(0).alias("finger"), F.col("x").alias("fn")), F.struct(F.lit(1).alias("finger"), F.abs(F.col("x") - F.col("pos")).alias("fn")))
+    d = s.select("episode", "i", "t", "x", "pos", F.inline(two))
+    return d.select("episode", "finger", "i", "t", "fn", F.col("pos").alias("fs"), F.col("x").alias("hf"), (F.col("pos") / 100).alias("div"), (F.col("i") % 5).cast("double").alias("edge"), (F.col("x") - 100).alias("tau"), (F.col("pos") - 50).alias("gv"))
+
+
+@query()
+def finger_events(spark, sf_dir):
+    """All passes of both fingers; a test compares it with a plain loop over the same rows."""
+    e = fingers.finger_events(_channels(spark, sf_dir), KEY, FINGER)
+    return rounded(e.select("episode", "finger", "label", "start", "end", "peak"), "start", "end", "peak")
+
+
+@query()
+def detected_episodes(spark, sf_dir):
+    """The whole detector: finger passes, jaw-named terminals, legal events, and the hand's interpretation."""
+    s, j = kept(_channels(spark, sf_dir), "samples"), kept(_jaw(spark, sf_dir), "jaw")
+    e = fingers.detected(s, j, KEY, FINGER)
+    story = hand.interpret(e, s.withColumn("raw", F.col("fn")), j, _anchors(spark, sf_dir), KEY, RULES)
+    return rounded(story.events.select("episode", "finger", "seq", "was", "label", "start", "end", "conf", "info"), "start", "end")
