@@ -218,3 +218,48 @@ def test_registered(spark, sf):
 
     same(registry.QUERIES["op11_fill_middle"](spark, sf), registry.ORACLES["op11_fill_middle"], sf)
     assert rows(registry.QUERIES["op13_whitening"](spark, sf).toPandas())[0] == sorted(["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"])
+
+
+# --- names of the caller's columns, ids of other types, article text under furniture names ---
+
+
+def test_callers_columns_come_back(spark):
+    from tracewright.llm import mixing, quality_rules
+
+    names = ["rate", "_s", "_k", "_name", "_row", "n_lost", "removed", "_w", "_lines", "_own", "_doc"]
+    text = " ".join(f"w{i}" for i in range(80))
+    data = [(i, text + f" {i}", "s", *[f"{n}-{i}" for n in names]) for i in range(3)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    weights = spark.createDataFrame([("s", 1.0)], "source string, weight double")
+    out = mixing.mixed(df, mixing.rates(df, weights, scale=6.0), 5)
+    assert out.columns == [*df.columns, "replica"] and out.count() > 6
+    for got in (out, quality_rules.judged(df), quality_rules.base_rules(df), quality_rules.cleaned(df)):
+        assert {(r.doc_id, *[r[n] for n in names]) for r in got.collect()} <= {(d[0], *d[3:]) for d in data}
+    assert {r.clean_text for r in quality_rules.cleaned(df).collect()} == {d[1] for d in data}
+
+
+def test_suffix_dedup_with_string_ids(spark):
+    from tracewright.llm import suffix_dedup
+
+    shared = "".join(chr(97 + (i * i + 3 * i) % 26) for i in range(260))
+    data = [("a", "x" * 5 + shared), ("b", shared + "y" * 9), ("c", "only here " * 3), (None, shared)]
+    texts = spark.createDataFrame(data, "doc_id string, text string")
+    numbers = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(data)], "doc_id long, text string")
+    a, b = (suffix_dedup.deduplicated(d) for d in (texts, numbers))
+    assert sorted(r.kept for r in a.select("kept").collect()) == sorted(r.kept for r in b.select("kept").collect())
+    assert {r.doc_id for r in a.collect()} == {"a", "b", "c", None}
+
+
+@pytest.mark.parametrize(
+    ("part", "stays"),
+    [
+        ('<p class="search">About search, engines.</p>', True), ('<section id="comments-on-law"><p>Law, text</p></section>', True), ('<h2 class="header">Head line</h2>', True), ('<div class="about-search">Keep me</div>', True),
+        ('<div class="comments"><p>nice one</p></div>', False), ('<div class="related-posts"><a href=x>a b</a></div>', False), ('<p class="share"><a href=x>Share this now</a></p>', False),
+        ('<section class="newsletter">Join us</section>', False), ('<div class="site-footer">xyz</div>', False), ('<div class="side-bar">xyz</div>', False),
+    ],
+)
+def test_furniture_words_need_structure(part, stays):
+    from tracewright.llm import html_extract
+
+    page = f"<body><nav><a href=x>Home</a></nav><article><h1>T</h1><p>{'Body text, with commas. ' * 20}</p>{part}</article><footer>f</footer>"
+    assert (re.sub("<[^>]*>", "", part) in html_extract.main_text(page)) == stays

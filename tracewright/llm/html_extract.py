@@ -37,9 +37,30 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title template noscript iframe svg math xmp noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 DROPPED = frozenset("nav footer aside form button select input textarea label fieldset script style noscript template iframe svg math object canvas audio video dialog menu head title legend option".split())
-# Words of class and id that mark page furniture.
-UNLIKELY_WORDS = r"ads? advert\w* adbox adslot adunit adsbygoogle adsense banner breadcrumbs? comments? comment-?list commenters? consent cookies? discussion disqus foot footer gdpr header login masthead menu modal nav navbar navigation newsletter notices? notification overlay pager pagination popup promo\w* recommend\w* related replies respond responses? rss search share sharing shoutbox side-?bar signup skip social sponsor\w* subscribe toolbar topbar tweet widget"
-UNLIKELY = re.compile(rf"(?:^|[\s_-])(?:{UNLIKELY_WORDS.replace(' ', '|')})(?:$|[\s_-])", re.I)
+# Words of class and id that mark page furniture, those of reader comments, and what such words are joined with.
+UNLIKELY_WORDS = r"ads? advert\w* adbox adslot adunit adsbygoogle adsense banner breadcrumbs? consent cookies? foot footer gdpr header login masthead menu modal nav navbar navigation newsletter notices? notification overlay pager pagination popup promo\w* recommend\w* related rss search share sharing shoutbox sidebar signup skip social sponsor\w* subscribe toolbar topbar tweet widget"
+COMMENT_WORDS = r"comments? commenters? discussion disqus replies reply respond responses?"
+JOINED_WORDS = r"area articles? bar block body bottom box btn buttons? container content entry fixed form global group holder icons? inner items? left link links list main media module notice outer page panel popup post posts primary region right row secondary section site slot sticky stories text title top unit widget wrap wrapper \d+"
+_PART = {name: re.compile("|".join(words.split()), re.I) for name, words in (("page", UNLIKELY_WORDS), ("comment", COMMENT_WORDS), ("joined", JOINED_WORDS))}
+
+
+def furniture(names: str) -> str:
+    """``comment`` or ``page`` where a name of class or id is such a word, or joins one with nothing but such words
+    and the usual affixes; else empty."""
+    found = set()
+    for name in names.split():
+        kinds = set()
+        for part in filter(None, re.split("[_-]", name.replace("side-bar", "sidebar"))):
+            kinds.add(next((k for k in ("comment", "page", "joined") if _PART[k].fullmatch(part)), ""))
+        found |= kinds if "" not in kinds else set()
+    return "comment" if "comment" in found else "page" if "page" in found else ""
+
+
+#: Inside an article these elements carry text: a furniture word alone drops none of them, links must bear it out;
+#: a section must also be short.
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption table dl dt dd li".split())
+SHORT_SECTION = 200
+LIKELY = re.compile(rf"(?:^|[\s_-])(?:{UNLIKELY_WORDS.replace(' ', '|')})(?:$|[\s_-])", re.I)
 LIKELY = re.compile(r"article|content|entry|main|post|story|text|body", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form note".split())
 #: Raw elements whose content browsers never read as markup, even where no end tag follows.
@@ -51,7 +72,7 @@ CLOSES = {"p": BLOCK - {"caption", "html", "body", "td", "th", "tr", "tbody", "t
 
 
 class Node:
-    __slots__ = ("tag", "names", "role", "parent", "children", "score", "off")
+    __slots__ = ("tag", "names", "role", "parent", "children", "score", "off", "doubtful")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str = "", in_article: bool = False):
         self.tag, self.parent, self.children, self.score = tag, parent, [], 0.0
@@ -62,8 +83,15 @@ class Node:
         self.role = found.get("role", "").lower()
         hidden = "hidden" in found or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I)
         self.off = bool(hidden) or tag in DROPPED or self.role in ROLES or (tag == "header" and not in_article)
+        self.doubtful = False
         if not self.off and self.names and tag not in ("html", "body", "article", "main"):
-            self.off = bool(UNLIKELY.search(self.names)) and not re.search(r"(?:^|\s)(?:article|main|content|post|story|entry)[-_]?(?:body|content|text)?(?:\s|$)", self.names, re.I)
+            text = re.search(r"(?:^|\s)(?:article|main|content|post|story|entry)[-_]?(?:body|content|text)?(?:\s|$)", self.names, re.I)
+            kind = "" if text else furniture(self.names)
+            if kind == "comment":
+                self.off = True
+            elif kind:
+                self.doubtful = in_article and (tag in TEXT_TAGS or tag == "section")
+                self.off = not self.doubtful
 
 
 class _Open:
@@ -179,6 +207,11 @@ def best(root: Node) -> list[Node]:
     """The best container and its kept siblings, in page order."""
     nodes = _walk(root)
     size = measure(nodes)
+    if doubtful := [n for n in nodes if n.doubtful]:
+        for n in doubtful:
+            n.off = _linked(n, size) or (n.tag == "section" and size[n][0] < SHORT_SECTION)
+        nodes = _walk(root)
+        size = measure(nodes)
     for n in nodes:
         text, links, commas = size[n]
         if n.tag not in SCORED or not text or not _own_text(n, size) or n.parent is None:

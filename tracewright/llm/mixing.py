@@ -53,22 +53,23 @@ def mixed(documents: DataFrame, rate: DataFrame, seed: int, source: str = "sourc
     ``rate`` has a row per source. Up to MOST_SOURCES rows (they are counted) it is broadcast; beyond,
     sources are salted, so that a hot one is dealt to SALTS tasks.
     """
+    # the caller's row travels as one column, so that no name of its own can meet one of ours
     r = rate.select(F.col("_source").alias("_s"), "rate")
-    d = documents.withColumn("_name", F.coalesce(F.col(source), F.lit("")))
+    kept = [c for c in documents.columns if c != "replica"]
+    d = documents.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.coalesce(F.col(source), F.lit("")).alias("_name"), F.col(id_col).alias("_id"))
     if r.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES:
         d = d.join(F.broadcast(r), F.col("_name") == F.col("_s"))
     else:
         r = r.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        d = d.withColumn("_mine", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")).join(r, (F.col("_name") == F.col("_s")) & (F.col("_mine") == F.col("_salt"))).drop("_mine", "_salt")
-    d = d.drop("_name")
+        d = d.withColumn("_mine", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).join(r, (F.col("_name") == F.col("_s")) & (F.col("_mine") == F.col("_salt")))
     parts = F.ceil(F.col("rate") / BLOCK).cast("int")
-    u = lambda j: unit_hash(F.lit(str(seed)), F.col(id_col).cast("string"), j.cast("string"))
+    u = lambda j: unit_hash(F.lit(str(seed)), F.col("_id").cast("string"), j.cast("string"))
     sums = F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda acc, j: acc + poisson_inverse(F.col("rate") / parts, u(j)))
     d = d.withColumn("_k", sums).filter("_k > 0")
-    d = d.withColumn("replica", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).drop("_k", "_s", "rate")
+    d = d.select("_row", "_id", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("replica"))
     # the whole order is that of seeded hashes; the place of origin parts rows that are equal
-    d = d.withColumn("_key", F.xxhash64(F.lit(seed), F.col(id_col), F.col("replica"))).withColumn("_from", F.spark_partition_id())
-    return d.repartition("_key", "_from").sortWithinPartitions("_key", "_from").drop("_key", "_from")
+    d = d.withColumn("_key", F.xxhash64(F.lit(seed), F.col("_id"), F.col("replica"))).withColumn("_from", F.spark_partition_id())
+    return d.repartition("_key", "_from").sortWithinPartitions("_key", "_from").select("_row.*", "replica")
 
 
 #: Target weights of the query: sources in three tiers by the last digit of their names.

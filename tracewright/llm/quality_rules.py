@@ -30,6 +30,7 @@ FLOOR, LEAST_DOCS, LEAST_SHARE = 20, 5, 0.1
 LEAST_LEFT = 0.5
 MIN_WORDS, REPEAT_NUM, REPEAT_DEN = 50, 50, 100
 _INDEX_BITS = 22
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
 def words(text: Column) -> Column:
@@ -49,8 +50,10 @@ def base_rules(documents: DataFrame, text: str = "text") -> DataFrame:
     hash and its place share one long, which Spark sorts as a primitive array; equal neighbours
     are compared by their whole hashes, so that only a 64-bit collision could count.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    d = documents.withColumn("_w", words(t))
+    # the caller's row travels as one column, so that no name of its own can meet one of ours
+    rest = [c for c in documents.columns if c not in BASE]
+    t = F.coalesce(F.col("_text"), F.lit(""))
+    d = documents.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"), F.col(text).alias("_text")).withColumn("_w", words(t))
     # hashes of all windows, only where a text can repeat one
     d = d.withColumn("_g", _windows(F.col("_w")))
     d = d.withColumn("_dup", F.col("_g").isNotNull() & (F.size(F.array_distinct("_g")) < F.size("_g")))
@@ -77,7 +80,7 @@ def base_rules(documents: DataFrame, text: str = "text") -> DataFrame:
     d = d.withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"))
     d = d.withColumn("n_repeat_words", F.when(F.col("_dup"), F.size(covered)).otherwise(0).cast("long"))
     d = d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (REPEAT_DEN * F.col("n_repeat_words") > REPEAT_NUM * F.col("n_words")))
-    return d.drop("_w", "_g", "_dup", "_p", "_n", "_q", "_l")
+    return d.select("_row.*", *BASE)
 
 
 def normal_line(line: Column) -> Column:
@@ -92,11 +95,13 @@ def line_hashes(text: Column) -> Column:
 
 def measured(documents: DataFrame, host: str, text: str, id_col: str, keep_text: bool) -> DataFrame:
     """The documents with the base columns, their lines and a number for each row, as a table."""
-    own = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    d = base_rules(documents, text).withColumn("_lines", line_hashes(F.col(text)))
-    d = d.withColumn("_doc", F.struct(F.col(id_col).alias("id"), F.when(F.col(id_col).isNull(), own).alias("t"))).withColumn("_host", F.coalesce(F.col(host), F.lit("")))
-    d = d.withColumn("_row", F.monotonically_increasing_id())
-    return written(d if keep_text else d.drop(text), "lines")
+    rest = [c for c in documents.columns if c not in (*BASE, "n_words_left", "kept", "clean_text") and (keep_text or c != text)]
+    d = documents.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_own"), F.col(text).alias("_body"), F.col(host).alias("_at"), F.col(id_col).alias("_name"))
+    own = F.xxhash64(F.coalesce(F.col("_body"), F.lit("")))
+    d = base_rules(d, "_body").withColumn("_lines", line_hashes(F.col("_body")))
+    d = d.withColumn("_doc", F.struct(F.col("_name").alias("id"), F.when(F.col("_name").isNull(), own).alias("t"))).withColumn("_host", F.coalesce(F.col("_at"), F.lit("")))
+    d = d.drop("_body", "_at", "_name").withColumn("_row", F.monotonically_increasing_id())
+    return written(d, "lines")
 
 
 def frequent_lines(lines: DataFrame, docs: DataFrame, floor: int = FLOOR, least: int = LEAST_DOCS, share: float = LEAST_SHARE) -> DataFrame:
@@ -126,15 +131,17 @@ def judged(documents: DataFrame, host: str = "source", text: str = "text", id_co
     d = rows.drop("_lines", "_doc", "_host").join(lost if keep_text else lost.drop("removed"), "_row", "left")
     d = d.withColumn("n_words_left", F.col("n_words") - F.coalesce("n_lost", F.lit(0)))
     depleted = F.col("n_lost").isNotNull() & ((F.col("n_words_left") < MIN_WORDS) | (F.col("n_words_left") < LEAST_LEFT * F.col("n_words")))
-    return d.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("_row", "n_lost")
+    d = d.withColumn("kept", ~F.col("base_failed") & ~depleted)
+    return d if keep_text else d.select("_own.*", *BASE, "n_words_left", "kept")
 
 
 def cleaned(documents: DataFrame, host: str = "source", text: str = "text", id_col: str = "doc_id", **limits) -> DataFrame:
     """``judged`` with the text and ``clean_text``, the text without the host's frequent lines."""
     d = judged(documents, host, text, id_col, True, **limits)
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(F.col("_own").getField(text), F.lit(""))
     left = F.filter(F.split(t, "\n"), lambda x: ~F.array_contains("removed", F.xxhash64(normal_line(x))))
-    return d.withColumn("clean_text", F.when(F.col("removed").isNull(), t).otherwise(F.array_join(left, "\n"))).drop("removed")
+    d = d.withColumn("clean_text", F.when(F.col("removed").isNull(), t).otherwise(F.array_join(left, "\n")))
+    return d.select("_own.*", *BASE, "n_words_left", "kept", "clean_text")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

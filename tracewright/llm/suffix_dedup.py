@@ -506,17 +506,20 @@ def _bucket(blobs: list[bytes], shape: Shape) -> np.ndarray:
     return np.column_stack([name[hit], pos[hit] - d_l[hit], pos[hit] + d_r[hit]])
 
 
-def _keyed(id_col: str, text: str) -> list:
-    """(_id, _tag, _t): a hash of the text keeps rows apart that have one id and different texts."""
+def _keyed(documents: DataFrame, id_col: str, text: str) -> list:
+    """(_id, _tag, _t): a hash of the text keeps rows apart that have one id and different texts. Ids that
+    are no whole numbers are told apart by a hash of theirs."""
     t = F.coalesce(F.col(text), F.lit(""))
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_id"), F.xxhash64(t).alias("_tag"), t.alias("_t")]
+    whole = documents.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    number = F.col(id_col).cast("long") if whole else F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col)))
+    return [F.coalesce(number, F.lit(-(2**63))).alias("_id"), F.xxhash64(t).alias("_tag"), t.alias("_t")]
 
 
 def spans(documents: DataFrame, length: int = 200, id_col: str = "doc_id", text: str = "text", pairs: int = PAIRS, hot_from: int = HOT) -> DataFrame:
     """(_id, _tag, s): for each text with repeats the byte ranges under them, as start * 2**32 + end, not yet joined."""
     shape = Shape(length, pairs, hot_from)
     spark = documents.sparkSession
-    texts = documents.select(*_keyed(id_col, text)).filter(F.octet_length("_t") >= length)
+    texts = documents.select(*_keyed(documents, id_col, text)).filter(F.octet_length("_t") >= length)
     known, buckets = core_table(texts, shape)
     state = spark.sparkContext.broadcast(known)
     release(state)
@@ -558,7 +561,7 @@ def _joined(pairs: np.ndarray) -> np.ndarray:
 
 def deduplicated(documents: DataFrame, length: int = 200, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """(id, n_bytes, spans, kept): the removed byte ranges of each text and its remaining bytes."""
-    own = documents.select(F.col(id_col), *_keyed(id_col, text))
+    own = documents.select(F.col(id_col), *_keyed(documents, id_col, text))
     rows = own.join(spans(documents, length, id_col, text, **options).hint("merge"), ["_id", "_tag"], "left").select(id_col, "_t", "s")
 
     def remove(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
