@@ -13,7 +13,7 @@ ONE_ROW = {"nice_histogram", "mann_whitney", "pair_by_suffix"}
 TABLE_FUNCTIONS = {"latch_table_function", "spans_table_function"}
 #: Queries that run jobs while they are built.
 EAGER = {"stream_windows", "stream_counts", "stream_latch", "kmeans_sweep", "cluster_contingency", "pca2", "knn_nearest", "knn_votes", "knn_confusion", "knn_scores", "signal_screen", "screen_votes_by_class", "reference_build"}
-EAGER |= {"hand_bouts", "early_attempts", "in_bout_attempts", "failure_override", "place_hygiene", "renamed_events", "recorded_by_finger", "detected_episodes", "exit_predictions", "exit_model_scores"}
+EAGER |= {"hand_bouts", "early_attempts", "in_bout_attempts", "failure_override", "place_hygiene", "renamed_events", "recorded_by_finger", "detected_episodes", "exit_predictions", "exit_model_scores", "slip_trajectory"}
 
 
 def plan(df) -> str:
