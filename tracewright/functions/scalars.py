@@ -15,10 +15,17 @@ def style_column(style: Column) -> Column:
     return F.when(style.isNull() | style.isin(*EVENT), "language_events").when(style.isin(*PERSISTENT), "language_persistent").otherwise(F.raise_error(F.concat(F.lit("unknown style "), style)))
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """x with that many decimals, rounded from its exact binary value, halves to even, as C's printf does; format_string
+    rounds the shortest decimal text half up."""
+    plain = F.format_string(f"%.{digits}f", x.cast("double"))
+    return F.when(F.abs(x) < float("inf"), F.call_function("format_number", x.cast("double"), F.lit("0." + "0" * digits))).otherwise(plain)
+
+
 def atom_content(label: Column, conf: Column, finger: Column, seconds: Column, info: Column, **parts: Column) -> Column:
     """``[auto:conf] label fN D.DDs name value ... (info)``; nulls are left out."""
-    named = [F.when(v.isNotNull(), F.format_string(f"{k} %.1f", v)) for k, v in parts.items()]
-    return F.concat_ws(" ", F.format_string("[auto:%s] %s", conf, label), F.when(finger.isNotNull(), F.format_string("f%d", finger)), F.when(seconds.isNotNull(), F.format_string("%.2fs", seconds)), *named, F.when(info.isNotNull(), F.concat(F.lit("("), info, F.lit(")"))))
+    named = [F.when(v.isNotNull(), F.concat(F.lit(f"{k} "), fixed(v, 1))) for k, v in parts.items()]
+    return F.concat_ws(" ", F.format_string("[auto:%s] %s", conf, label), F.when(finger.isNotNull(), F.format_string("f%d", finger)), F.when(seconds.isNotNull(), F.concat(fixed(seconds, 2), F.lit("s"))), *named, F.when(info.isNotNull(), F.concat(F.lit("("), info, F.lit(")"))))
 
 
 GRAMMAR = r"^\[auto:(\w+)\] (\w+)(?: (f\d))?(?: ([\d.]+)s)?"
