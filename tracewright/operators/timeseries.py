@@ -35,10 +35,23 @@ def derivative(df: DataFrame, keys, order, x: str, t: str, out: str) -> DataFram
 
 def relative_std(df: DataFrame, keys, order, x: str, win: int, out: str) -> DataFrame:
     """Population deviation over the mean of the ``win`` rows before (the row itself excluded);
-    infinite with fewer than two rows or a mean near 0."""
-    w = _w(keys, order).rowsBetween(-win, -1)
-    mean, n = F.avg(x).over(w), F.count(x).over(w)
-    return df.withColumn(out, F.when((n > 1) & (F.abs(mean) > 1e-9), F.stddev_pop(x).over(w) / F.abs(mean)).otherwise(F.lit(float("inf"))))
+    infinite with fewer than two rows or a mean near 0.
+
+    Squares are summed by Welford's update, row by row, as DuckDB does: a quotient that ends in a half must not
+    depend on how the deviation was reached."""
+    rows = F.collect_list(F.col(x).cast("double")).over(_w(keys, order).rowsBetween(-win, -1))
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+
+    def step(s: Column, v: Column) -> Column:
+        n = s["n"] + 1
+        mean = s["mean"] + (v - s["mean"]) / n
+        return F.struct(n.alias("n"), (s["sum"] + v).alias("sum"), mean.alias("mean"), (s["squares"] + (v - mean) * (v - s["mean"])).alias("squares"))
+
+    def ratio(s: Column) -> Column:
+        mean = F.abs(s["sum"] / s["n"])
+        return F.when((s["n"] > 1) & (mean > 1e-9), F.sqrt(s["squares"] / s["n"]) / mean).otherwise(F.lit(float("inf")))
+
+    return df.withColumn(out, F.aggregate(rows, zero, step, ratio))
 
 
 def mean_abs_diff(df: DataFrame, keys, order, x: str, win: int, out: str) -> DataFrame:
