@@ -8,7 +8,7 @@ all joins are on (keys, level, block).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Levels of blocks; a block of the last one spans 2**16 blocks of the first.
@@ -76,17 +76,20 @@ def _copied(d: DataFrame) -> DataFrame:
 
 def stabbed(points: DataFrame, spans: DataFrame, keys, t: str, lo: str, hi: str, width: float, out: str, wild: str | None = None) -> DataFrame:
     """The points with ``out``: whether one lies in a span [lo, hi] of its keys. A span whose ``wild`` column is
-    null holds for every value of it. Spans are cut into dyadic blocks and looked up from the blocks that
-    hold a point, so a long span has few entries; the points are read once."""
+    null holds for every value of it.
+
+    Points and spans are put in order of time once: a point lies in a span if the furthest end of the spans that
+    began by then is not before it. Every row is shuffled once, whatever the spans' lengths and ``width``."""
     keys = list(keys)
-    first, last = F.floor(F.col(lo) / width), F.floor(F.col(hi) / width)
-    cover = F.when(F.col(lo) <= F.col(hi), F.array_distinct(F.concat(F.transform(F.array(first, last), lambda b: F.struct(F.lit(0).alias("level"), b.alias("block"))), F.when(last - first > 1, _cover(first + 1, last)).otherwise(F.array().cast("array<struct<level:int,block:bigint>>")))))
-    any_ = F.lit("*") if wild is None else F.coalesce(F.col(wild).cast("string"), F.lit("*"))
-    s = spans.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], any_.alias("__w"), F.col(lo).alias("__lo"), F.col(hi).alias("__hi"), F.explode(cover).alias("__c"))
-    s = s.select(*[f"__k{i}" for i in range(len(keys))], "__w", "__lo", "__hi", F.col("__c.level").alias("__sl"), F.col("__c.block").alias("__sb"))
-    names = F.array(F.lit("*")) if wild is None else F.array_distinct(F.array(F.lit("*"), F.coalesce(F.col(wild).cast("string"), F.lit("*"))))
-    p = points.groupBy(*points.columns).agg(F.count("*").alias("__copies")).withColumn("__a", F.explode(_ancestors(F.floor(F.coalesce(F.col(t), F.lit(0.0)) / width)))).withColumn("__v", F.explode(names))
-    on = (F.col("__a.level") == F.col("__sl")) & (F.col("__a.block") == F.col("__sb")) & (F.col("__v") == F.col("__w")) & F.col(t).between(F.col("__lo"), F.col("__hi"))
-    for i, k in enumerate(keys):
-        on = on & (F.col(k) == F.col(f"__k{i}"))
-    return _copied(p.join(s, on, "left").groupBy(*points.columns, "__copies").agg((F.count("__lo") > 0).alias(out)))
+    own = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+    name = F.lit(None).cast("string") if wild is None else F.col(wild).cast("string")
+    known = spans.filter(F.col(lo) <= F.col(hi)).dropna(subset=keys)
+    s = known.select(*own, name.alias("__w"), F.col(lo).cast("double").alias("__t"), F.lit(0).alias("__s"), F.col(hi).cast("double").alias("__hi"))
+    p = points.select(*own, name.alias("__w"), F.col(t).cast("double").alias("__t"), F.lit(1).alias("__s"), F.struct(*points.columns).alias("__p"))
+    by, so_far = [f"__k{i}" for i in range(len(keys))], (Window.unboundedPreceding, 0)
+    d = p.unionByName(s, allowMissingColumns=True)
+    every = F.max(F.when(F.col("__w").isNull(), F.col("__hi"))).over(Window.partitionBy(*by).orderBy("__t", "__s").rowsBetween(*so_far))
+    d = d.withColumn("__far", every)
+    if wild is not None:
+        d = d.withColumn("__far", F.greatest("__far", F.max("__hi").over(Window.partitionBy(*by, "__w").orderBy("__t", "__s").rowsBetween(*so_far))))
+    return d.filter("__s = 1").select("__p.*", F.coalesce(F.col("__far") >= F.col("__t"), F.lit(False)).alias(out))
