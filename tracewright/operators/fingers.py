@@ -8,6 +8,7 @@ the end a row gives the events that it completes, so the table is never read or
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from . import hand
 
 START = Window.unboundedPreceding
+#: Rows of a task: all windows of the passes sort and hold a task's rows.
+TASK_ROWS = 50_000
 EVENT = "struct<label:string,start:double,end:double,peak:double,rank:int>"
 
 
@@ -85,7 +88,8 @@ def finger_events(samples: DataFrame, key: str, r: Finger = Finger()) -> DataFra
     incipient_slip, rotation and place, each at the row that completes it. A terminal is named by the jaw
     (``named_terminals``). What is open when a contact ends gives no event; nulls in a channel fail its test."""
     w = Window.partitionBy(key, "finger").orderBy("i")
-    d = in_contact(samples, key, r)
+    tasks = max(math.ceil(samples.count() / TASK_ROWS), samples.sparkSession.sparkContext.defaultParallelism)
+    d = in_contact(samples.repartition(tasks, key, "finger"), key, r)
     back = w.rowsBetween(-r.stable_rows, -1)
     mean = F.avg("fn").over(back)
     spread = F.sqrt(F.greatest(F.avg(F.col("fn") * F.col("fn")).over(back) - mean * mean, F.lit(0.0))) / F.abs(mean)
