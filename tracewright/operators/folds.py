@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .tables import kept
 
-#: Labelled rows to learn from at most, features at most (so that the sample is at most 4 MB), rows of a block to score.
-SAMPLE, MOST_FEATURES, BLOCK_ROWS = 2048, 256, 4096
+#: Labelled rows to learn from at most, features at most (so that the sample is at most 4 MB), rows of a block to score, pairs measured at a time.
+SAMPLE, MOST_FEATURES, BLOCK_ROWS, MOST_PAIRS = 2048, 256, 4096, 1 << 16
 #: Layers, passes over the sample, step, weight of the squared weights.
 HIDDEN, EPOCHS, STEP, ALPHA, SEED = (32, 16), 200, 0.01, 1e-2, 0
 
@@ -82,18 +82,32 @@ def _logistic(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def neighbours(train: np.ndarray, y: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
-    """Share of class 1 among the k nearest, weighted by 1 / distance; rows at distance 0, if any, decide alone."""
-    out = np.empty(len(x))
-    k = min(k, len(train))
+def neighbours(train: np.ndarray, y: np.ndarray, x: np.ndarray, ks) -> list[np.ndarray]:
+    """For each k the share of class 1 among the k nearest, weighted by 1 / distance; rows at distance 0, if any,
+    decide alone. Ties go to the earlier row.
+
+    Products leave out what lies beyond the furthest of them by more than rounding can take; distances come from
+    the differences, once for all k.
+    """
+    ks = [min(k, len(train)) for k in ks]
+    most = max(ks)
+    out = [np.empty(len(x)) for _ in ks]
+    tn, xn = (train * train).sum(1), (x * x).sum(1)
+    slack = (x.shape[1] + 16) * 1e-15 * (xn + tn.max())
     for a in range(0, len(x), 256):
         part = x[a : a + 256]
-        d = np.sqrt(np.maximum(((part[:, None, :] - train[None]) ** 2).sum(-1), 0))
-        at = np.argsort(d, axis=1, kind="stable")[:, :k]
-        d = np.take_along_axis(d, at, 1)
-        same = d == 0
-        w = np.where(same.any(1)[:, None], same.astype(float), 1 / np.where(same, 1, d))
-        out[a : a + 256] = (w * y[at]).sum(1) / w.sum(1)
+        gap = tn - 2 * (part @ train.T)  # the squared distance less the row's own square
+        limit = np.partition(gap, most - 1, axis=1)[:, most - 1] + 2 * slack[a : a + 256]
+        i, j = np.nonzero(gap <= limit[:, None]) if np.isfinite(gap).all() and np.isfinite(limit).all() else np.divmod(np.arange(gap.size), gap.shape[1])
+        d = np.concatenate([np.sqrt(np.maximum(((part[i[n : n + MOST_PAIRS]] - train[j[n : n + MOST_PAIRS]]) ** 2).sum(-1), 0)) for n in range(0, len(i), MOST_PAIRS)])
+        order = np.lexsort((j, d, i))
+        at = order[np.searchsorted(i[order], np.arange(len(part)))[:, None] + np.arange(most)]
+        d, known = d[at], y[j[at]]
+        for k, share in zip(ks, out, strict=True):
+            near = d[:, :k]
+            same = near == 0
+            w = np.where(same.any(1)[:, None], same.astype(float), 1 / np.where(same, 1, near))
+            share[a : a + 256] = (w * known[:, :k]).sum(1) / w.sum(1)
     return out
 
 
@@ -152,8 +166,8 @@ def out_of_fold(rows: DataFrame, features, target: str, fold: str, key, ks=(5, 7
             return out.assign(**dict.fromkeys(names, y[0] if len(y) else np.nan))
         scale = Scaler(x)
         seen, asked = scale(x), scale(np.stack(pdf["_x"]))
-        for k in ks:
-            out[f"knn{k}"] = neighbours(seen, y, asked, k)
+        for k, share in zip(ks, neighbours(seen, y, asked, ks), strict=True):
+            out[f"knn{k}"] = share
         out["mlp"] = _logistic(_forward(_shaped(net["_net"].iloc[0], len(features)), asked)[-1][:, 0])
         return out
 
