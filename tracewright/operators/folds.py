@@ -182,7 +182,7 @@ def model_scores(scored: DataFrame, target: str, models) -> DataFrame:
     0.5 or more being class 1; measures of a class without rows are null."""
     long = scored.filter(F.col(target).isNotNull()).select((F.col(target) == 1).alias("g"), F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("score")) for m in models])).alias("m")).select("g", "m.model", "m.score").filter("score is not null")
     # ranks of equal scores are shared: counts by score, then a running sum over the scores of a model
-    tied = long.groupBy("model", "score").agg(F.count_if("g").alias("n1"), F.count_if(~F.col("g")).alias("n0"))
+    tied = kept(long.groupBy("model", "score").agg(F.count_if("g").alias("n1"), F.count_if(~F.col("g")).alias("n0")), "score-counts")
     from .stats import running
 
     r = running(tied, ["model"], "score", {"a": F.sum("n1"), "b": F.sum("n0")})
