@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import learn, stats
+from .tables import kept
 
 #: Rows of a block of the silhouette.
 BLOCK = 2048
@@ -90,7 +91,8 @@ def slip_trajectory(slips: DataFrame, anchors: DataFrame, keys, t: str, vec: str
     without an anchor or with all slips on one side of it.
     """
     keys = list(keys)
-    m = learn.pca(slips.filter(F.col(vec).isNotNull()), vec).withColumns({"pc1": F.col("map")[0], "pc2": F.col("map")[1]}).select(*keys, t, "grip", "cop_y", "dcop", "pc1", "pc2")
+    own = kept(slips.filter(F.col(vec).isNotNull()).select(*keys, t, "grip", "cop_y", "dcop", vec), "slips")
+    m = kept(learn.pca(own, vec).withColumns({"pc1": F.col("map")[0], "pc2": F.col("map")[1]}).select(*keys, t, "grip", "cop_y", "dcop", "pc1", "pc2"), "slip-map")
     out = m.groupBy(*keys).agg(F.count("*").alias("slips"), F.sum("dcop").alias("drift"))
     for x, name in (("grip", "grip_rho"), ("cop_y", "cop_rho"), ("pc1", "pc1_rho"), ("pc2", "pc2_rho")):
         out = out.join(stats.spearman(m.filter(F.col(x).isNotNull() & F.col(t).isNotNull()), keys, x, t).select(*keys, F.col("rho").alias(name)), keys, "left")
