@@ -3,11 +3,13 @@
 Samples meet slips by an equi-join on bins of the window's length. The map is fitted on all slips and read by
 episode. The silhouette of two phases needs every distance within an episode; rows are dealt to blocks of bounded
 size, a task holds two blocks and sends one sum for each row, never a pair. Its work grows as the square of one
-episode's slips, not of the corpus.
+episode's slips, not of the corpus; episodes of one block share a task's block. What several steps read is kept.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -51,35 +53,44 @@ def phase_silhouette(points: DataFrame, keys, phase: str, coords, block: int = B
     keys, coords = list(keys), list(coords)
     d = points.select(F.struct(*keys).alias("_k"), F.col(phase).alias("_p"), F.array(*[F.col(c).cast("double") for c in coords]).alias("_x")).filter("_p is not null and not exists(_x, v -> v is null or isnan(v))")
     # equal rows have equal distances: one of them stands for all
-    d = d.groupBy("_k", "_p", "_x").agg(F.count("*").alias("_n"))
+    d = kept(d.groupBy("_k", "_p", "_x").agg(F.count("*").alias("_n")), "phase-rows")
     sizes = d.groupBy("_k").agg(F.sum(F.when(F.col("_p"), F.col("_n")).otherwise(0)).alias("_n1"), F.sum(F.when(F.col("_p"), 0).otherwise(F.col("_n"))).alias("_n0"), F.count("*").alias("_rows"))
-    sizes = sizes.filter("_n1 > 0 and _n0 > 0").select("*", F.ceil(F.col("_rows") / block).cast("long").alias("_blocks")).withColumnRenamed("_k", "_key")
-    dealt = d.join(sizes, F.col("_k") == F.col("_key")).withColumn("_at", F.pmod(F.xxhash64("_p", "_x"), F.col("_blocks")))
+    sizes = sizes.filter("_n1 > 0 and _n0 > 0").select("*", F.ceil(F.col("_rows") / block).cast("long").alias("_blocks"), F.monotonically_increasing_id().alias("_id")).withColumnRenamed("_k", "_key")
+    sizes = kept(sizes, "phase-sizes")
+    # episodes of one block are dealt to groups of about a block's rows, a larger one has groups of its own
+    groups = max(math.ceil(d.count() / block), 1)
+    group = F.when(F.col("_blocks") == 1, F.pmod(F.xxhash64("_id"), F.lit(groups))).otherwise(-1 - F.col("_id"))
+    dealt = d.join(sizes, F.col("_k") == F.col("_key")).withColumns({"_at": F.pmod(F.xxhash64("_p", "_x"), F.col("_blocks")), "_g": group}).drop("_k", "_key", "_rows")
+    dealt = kept(dealt, "phase-dealt")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
-    left = dealt.select("_k", F.col("_at").alias("_a"), every.alias("_b"), "_p", "_x")
-    right = dealt.select(F.col("_k").alias("_rk"), every.alias("_ra"), F.col("_at").alias("_rb"), F.col("_p").alias("_rp"), F.col("_x").alias("_rx"), F.col("_n").alias("_rn"))
+    left = dealt.select("_g", F.col("_at").alias("_a"), every.alias("_b"), "_id", "_p", "_x")
+    right = dealt.select(F.col("_g").alias("_rg"), every.alias("_ra"), F.col("_at").alias("_rb"), F.col("_id").alias("_rid"), F.col("_p").alias("_rp"), F.col("_x").alias("_rx"), F.col("_n").alias("_rn"))
 
     def far(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"_k": [], "_p": [], "_x": [], "_same": [], "_other": []})
+            return pd.DataFrame({"_id": [], "_p": [], "_x": [], "_same": [], "_other": []})
+        a, b = a.sort_values("_id", kind="stable"), b.sort_values("_rid", kind="stable")
         x, y = np.stack(a["_x"]), np.stack(b["_rx"])
         n, p, q = b["_rn"].to_numpy(float), a["_p"].to_numpy(bool), b["_rp"].to_numpy(bool)
-        one, zero = np.empty(len(x)), np.empty(len(x))
-        for i in range(0, len(x), 256):
-            dist = np.sqrt(((x[i : i + 256, None] - y[None]) ** 2).sum(-1))
-            one[i : i + 256], zero[i : i + 256] = dist @ (n * q), dist @ (n * ~q)
-        return a[["_k", "_p", "_x"]].assign(_same=np.where(p, one, zero), _other=np.where(p, zero, one))
-
-    kind = d.schema["_k"].dataType.simpleString()
-    sums = left.groupBy("_k", "_a", "_b").cogroup(right.groupBy("_rk", "_ra", "_rb")).applyInPandas(far, f"_k {kind}, _p boolean, _x array<double>, _same double, _other double")
-    sums = sums.groupBy("_k", "_p", "_x").agg(F.sum("_same").alias("_same"), F.sum("_other").alias("_other"))
-    back = dealt.select("_k", "_p", "_x", "_n", "_n1", "_n0")
-    r = back.join(sums, ["_k", "_p", "_x"]).withColumns({"_own": F.when(F.col("_p"), F.col("_n1")).otherwise(F.col("_n0")), "_off": F.when(F.col("_p"), F.col("_n0")).otherwise(F.col("_n1"))})
+        one, zero = np.zeros(len(x)), np.zeros(len(x))
+        ids, begin = np.unique(a["_id"].to_numpy(), return_index=True)
+        known = b["_rid"].to_numpy()
+        for at, upto, lo, hi in zip(begin, [*begin[1:], len(x)], np.searchsorted(known, ids), np.searchsorted(known, ids, "right"), strict=True):
+            for i in range(at, upto, 256):
+                own = slice(i, min(i + 256, upto))
+                dist = np.sqrt(((x[own, None] - y[None, lo:hi]) ** 2).sum(-1))
+                one[own], zero[own] = dist @ (n * q)[lo:hi], dist @ (n * ~q)[lo:hi]
+        return a[["_id", "_p", "_x"]].assign(_same=np.where(p, one, zero), _other=np.where(p, zero, one))
+
+    sums = left.groupBy("_g", "_a", "_b").cogroup(right.groupBy("_rg", "_ra", "_rb")).applyInPandas(far, "_id long, _p boolean, _x array<double>, _same double, _other double")
+    sums = sums.groupBy("_id", "_p", "_x").agg(F.sum("_same").alias("_same"), F.sum("_other").alias("_other"))
+    back = dealt.select("_id", "_p", "_x", "_n", "_n1", "_n0")
+    r = back.join(sums, ["_id", "_p", "_x"]).withColumns({"_own": F.when(F.col("_p"), F.col("_n1")).otherwise(F.col("_n0")), "_off": F.when(F.col("_p"), F.col("_n0")).otherwise(F.col("_n1"))})
     near, away = F.col("_same") / F.nullif(F.col("_own") - 1, F.lit(0)), F.col("_other") / F.col("_off")
     s = F.coalesce((away - near) / F.nullif(F.greatest(away, near), F.lit(0.0)), F.lit(0.0))
     s = F.when(F.col("_own") > 1, s).otherwise(0.0)
-    g = r.groupBy("_k").agg(F.sum("_n").alias("rows"), (F.sum(s * F.col("_n")) / F.sum("_n")).alias("silhouette"))
-    return g.select(*[F.col(f"_k.{k}").alias(k) for k in keys], "rows", "silhouette")
+    g = r.groupBy("_id").agg(F.sum("_n").alias("rows"), (F.sum(s * F.col("_n")) / F.sum("_n")).alias("silhouette"))
+    return g.join(sizes, "_id").select(*[F.col(f"_key.{k}").alias(k) for k in keys], "rows", "silhouette")
 
 
 def slip_trajectory(slips: DataFrame, anchors: DataFrame, keys, t: str, vec: str, anchor: str) -> DataFrame:
