@@ -67,9 +67,9 @@ def _in_order(key: str) -> Window:
     return Window.partitionBy(key, "finger").orderBy("start", "seq")
 
 
-def folded(df: DataFrame, keys: list[str], order: list[str], start, step, out: str, kind: str) -> DataFrame:
+def folded(df: DataFrame, keys: list[str], order: list[str], start, step, out: str, kind: str, reads=None) -> DataFrame:
     """The rows with ``out`` from a fold over each key's rows in order: ``step(state, row) -> value`` changes
-    the state that ``start()`` gives. Rows are sorted inside partitions and come in batches; only one
+    the state that ``start()`` gives; ``reads``: the columns that it looks at, if not all. Rows are sorted inside partitions and come in batches; only one
     key's state is held."""
     d = df.repartition(*keys).sortWithinPartitions(*keys, *order)
 
@@ -77,7 +77,7 @@ def folded(df: DataFrame, keys: list[str], order: list[str], start, step, out: s
         now, state = None, None
         for b in frames:
             values = []
-            for row in b.to_pylist():
+            for row in (b if reads is None else b.select([*keys, *[c for c in reads if c not in keys]])).to_pylist():
                 here = tuple(row[k] for k in keys)
                 if state is None or here != now:
                     now, state = here, start()
@@ -217,7 +217,7 @@ def place_hygiene(events: DataFrame, samples: DataFrame, jaw: DataFrame, grasp:
         return False
 
     own = [key, "finger", "seq", "start", "end"]
-    places = folded(events.filter("label = 'place'").select(own), [key, "finger"], ["start", "end", "seq"], lambda: {"end": None}, step, "duplicate", "boolean")
+    places = folded(events.filter("label = 'place'").select(own), [key, "finger"], ["start", "end", "seq"], lambda: {"end": None}, step, "duplicate", "boolean", ["start", "end"])
     air = spans.filter("kind = 'air_grasp'").select(key, (rules.short(F.col("start")) - rules.span_reach).alias("_s"), (rules.short(F.col("end")) + rules.span_reach).alias("_e"))
     p = intervals.stabbed(places, air, [key], "start", "_s", "_e", rules.block_s, "_air")
     p = p.join(anchors.select(key, "place_release"), key, "left").join(grasp.select(key, "grasp_start"), key, "left")
@@ -301,7 +301,7 @@ def renamed(judged: DataFrame, anchors: DataFrame, spans: DataFrame, key: str, r
             s["wait"].append(("off", finger, t))
         return new
 
-    d = folded(d, [key], ["start", "seq", "finger"], start, step, "_new", "string")
+    d = folded(d, [key], ["start", "seq", "finger"], start, step, "_new", "string", ["start", "finger", "label", "_at", "_is", "_air"])
     d = d.withColumn("label", F.coalesce("_new", "label"))
     residual = F.max((F.col("label") == "sensor_residual").cast("int")).over(Window.partitionBy(key, "finger")) == 1
     placed = (F.col("label") == "place") & residual & (F.col("start") >= F.col("_at") - rules.reach)
