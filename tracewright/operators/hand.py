@@ -162,7 +162,7 @@ def in_bout_attempts(events: DataFrame, samples: DataFrame, jaw: DataFrame, gras
     d = d.filter((F.col("opened") >= F.col("grasp_start") - slack) & (F.col("start") <= F.col("grasp_end") + slack) & F.coalesce(F.col("start") < F.col("_last") - slack, F.lit(True)))
     d = d.select(key, "finger", "seq", F.col("opened").alias("start"), F.col("start").alias("end"), F.when(F.col("_stable") >= F.col("opened") - slack, F.col("_stable")).alias("_stable"))
     # the hand: all fingers' forces of one time together
-    hand = samples.groupBy(key, "t").agg(F.sum("fn").alias("force"))
+    hand = kept(samples.groupBy(key, "t").agg(F.sum("fn").alias("force")), "force")
     d = intervals.extremes(d.withColumn("_q", F.col("end") + rules.quiet_s), hand, [key], "end", "_q", "t", "force", rules.block_s, "_hand_")
     d = d.join(hand.groupBy(key).agg(F.max("t").alias("_over")), key).filter(F.coalesce(F.col("_hand_greatest") < rules.hand_loss, F.lit(True)) & (F.col("_over") > F.col("_q")))
     d = intervals.extremes(d.withColumn("_w", F.col("end") + rules.retry_s), jaw, [key], "end", "_w", "t", "pos", rules.block_s, "_jaw_", open_start=True)
