@@ -1,13 +1,15 @@
 """Fill-in-middle, nearest neighbours and whitening against plain versions, and on odd inputs."""
 
 import hashlib
+import pickle
 import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.oracle import rows
-from tracewright.llm import fill_middle, kmeans_tree, whitening
+from tracewright.llm import common, fill_middle, kmeans_tree, ngram_join, whitening
 
 LONG = " ".join(f"word{i % 977}x{i}" for i in range(30_000))
 TEXTS = [None, "", "a", " ", "ab cd", "x" * 70_000, "<P> inside", "ends with <", "<S", "é ß 漢字 \U0001f600 end", LONG, "\n\n<<S<S", "one two three four " * 9]
@@ -263,3 +265,24 @@ def test_furniture_words_need_structure(part, stays):
 
     page = f"<body><nav><a href=x>Home</a></nav><article><h1>T</h1><p>{'Body text, with commas. ' * 20}</p>{part}</article><footer>f</footer>"
     assert (re.sub("<[^>]*>", "", part) in html_extract.main_text(page)) == stays
+
+
+def shuffles(spark):
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    return set(spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(tracker.shuffleStatuses().keySet()))
+
+
+def test_written_leaves_no_shuffle(spark):
+    before, setting = shuffles(spark), spark.conf.get(common.CLEANUP)
+    got = common.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "made")
+    assert not shuffles(spark) - before and spark.conf.get(common.CLEANUP) == setting
+    assert sorted((r["k"], r["count"]) for r in got.collect()) == [(k, len(range(k, 1000, 7))) for k in range(7)]
+
+
+def test_count_table_travels_compressed(spark):
+    docs = spark.createDataFrame([(i, f"a b c d{i % 2} e") for i in range(6)], "doc_id long, text string")
+    counts = ngram_join.count_table(docs, 3, "text")
+    assert len(pickle.dumps(counts)) < 1 << 20
+    n = np.bincount(pickle.loads(pickle.dumps(counts)).table())
+    # a b c in six, two more shingles in each half
+    assert n[int(8 * np.log2(7))] == 1 and n[int(8 * np.log2(4))] == 4 and n[1:].sum() == 5

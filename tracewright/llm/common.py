@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Characters that end a word in the texts of this subpackage: space and \t \n \v \f \r.
 BLANKS = r"[\x20\x09-\x0D]+"
+#: Spark's setting that removes the shuffle files of an execution at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,11 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again; in ``files`` files at most.
 
-    This cuts the lineage: a lost executor costs a read, never the jobs before.
+    This cuts the lineage: a lost executor costs a read, never the jobs before. What the job shuffled is read by
+    nothing after it and goes as soon as the table is there, not when the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (df if files is None else df.coalesce(files)).write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        (df if files is None else df.coalesce(files)).write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

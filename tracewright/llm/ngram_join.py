@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,7 +69,23 @@ def shingles(texts, width: int) -> tuple[np.ndarray, np.ndarray]:
     return d[keep], h[keep]
 
 
-def count_table(documents: DataFrame, width: int, text: str) -> np.ndarray:
+class Counts:
+    """The count table as compressed slices, which is how it is held in the driver and sent; a process that
+    reads it unpacks it once."""
+
+    def __init__(self, slices: dict[int, bytes], shape: tuple[int, int]):
+        self.slices, self.shape, self.unpacked = slices, shape, None
+
+    def table(self) -> np.ndarray:
+        if self.unpacked is None:
+            out = np.zeros(self.shape, np.uint8)
+            for i, data in self.slices.items():
+                out[i] = np.frombuffer(zlib.decompress(data), np.uint8)
+            self.slices, self.unpacked = {}, out.ravel()
+        return self.unpacked
+
+
+def count_table(documents: DataFrame, width: int, text: str) -> Counts:
     """Eight times the logarithm of how many documents hold a shingle of each place: a table of
     2**COUNT_BITS bytes. (A task counts up to 255; sums over tasks have no limit.)"""
     shift = np.uint64(64 - COUNT_BITS)
@@ -90,10 +107,9 @@ def count_table(documents: DataFrame, width: int, text: str) -> np.ndarray:
         yield pd.DataFrame({"slice": [key[0]], "data": [zlib.compress(np.minimum(8 * np.log2(total + 1), 255).astype(np.uint8).tobytes(), 1)]})
 
     kind = "slice int, data binary"
-    out = np.zeros((1 << (COUNT_BITS - SLICE_BITS), 1 << SLICE_BITS), np.uint8)
-    for r in documents.select(text).mapInPandas(count, kind).groupBy("slice").applyInPandas(add, kind).toLocalIterator():
-        out[r["slice"]] = np.frombuffer(zlib.decompress(r["data"]), np.uint8)
-    return out.ravel()
+    # written first: the counts of the tasks, many times the table, are shuffled and gone before it is read
+    made = written(documents.select(text).mapInPandas(count, kind).groupBy("slice").applyInPandas(add, kind), "counts")
+    return Counts({r["slice"]: bytes(r["data"]) for r in made.toLocalIterator()}, (1 << (COUNT_BITS - SLICE_BITS), 1 << SLICE_BITS))
 
 
 def _keyed(documents: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -101,10 +117,9 @@ def _keyed(documents: DataFrame, id_col: str, text: str) -> DataFrame:
     return documents.withColumns({"_k1": F.xxhash64(id_col, F.coalesce(F.col(text), F.lit(""))), "_k2": F.hash(F.col(id_col), F.octet_length(text))})
 
 
-def signatures(documents: DataFrame, counts: np.ndarray, width: int, num: int, den: int, id_col: str, text: str) -> DataFrame:
-    """(doc_id, k1, k2, n, h1, h2, prefix): set size, set fingerprint, and the longest prefix, rarest first."""
-    state, shift = documents.sparkSession.sparkContext.broadcast(counts), np.uint64(64 - COUNT_BITS)
-    release(state)
+def signatures(documents: DataFrame, counts: Broadcast, width: int, num: int, den: int, id_col: str, text: str) -> DataFrame:
+    """(doc_id, k1, k2, n, h1, h2, prefix): set size, set fingerprint, and the longest prefix, rarest first by ``counts``."""
+    shift = np.uint64(64 - COUNT_BITS)
 
     def sign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches(parts, text, BATCH_CHARS):
@@ -113,7 +128,7 @@ def signatures(documents: DataFrame, counts: np.ndarray, width: int, num: int, d
             n = np.diff(first)
             sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h ^ np.uint64(salt)), dtype=np.uint64)]) for salt in (0x1234567, 0x7654321)]
             h1, h2 = ((s[first[1:]] - s[first[:-1]]).view(np.int64) for s in sums)
-            order = np.lexsort((h, state.value[(h >> shift).astype(np.int64)], d))
+            order = np.lexsort((h, counts.value.table()[(h >> shift).astype(np.int64)], d))
             h = h[order].view(np.int64)
             most = n - -(-num * n // den) + np.minimum(MOST_MATCHES, -(-num * n // den))
             yield pd.DataFrame({"doc_id": pdf[id_col], "k1": pdf["_k1"], "k2": pdf["_k2"], "n": n.astype(np.int64), "h1": h1, "h2": h2, "prefix": [h[a : a + k] for a, k in zip(first[:-1], most, strict=True)]})
@@ -198,7 +213,10 @@ def _within_groups(star: DataFrame, num: int, den: int) -> DataFrame:
 
 def _linked(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, k1, k2, n, head): each row with the least (none, doc_id, k1, k2) that its links reach."""
-    signed = written(signatures(documents, count_table(documents, width, text), width, num, den, id_col, text), "signed")
+    counts = documents.sparkSession.sparkContext.broadcast(count_table(documents, width, text))
+    release(counts)
+    signed = written(signatures(documents, counts, width, num, den, id_col, text), "signed")
+    counts.destroy()  # with its files on the driver and the executors
     files = -(-signed.count() // DOCS_PER_FILE) or 1  # tables of one row a document or a few more, whatever the shuffles are cut into
     head = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
     classes = signed.filter("n > 0").groupBy("h1", "h2").agg(F.min(F.struct(head.alias("head"), "n", "prefix")).alias("m"), F.count("*").alias("docs"))
