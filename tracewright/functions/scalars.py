@@ -22,6 +22,13 @@ def fixed(x: Column, digits: int) -> Column:
     return F.when(F.abs(x) < float("inf"), F.call_function("format_number", x.cast("double"), F.lit("0." + "0" * digits))).otherwise(plain)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double rounded as DuckDB does: times a power of ten, halves away from zero, and back; F.round takes the shortest
+    decimal text instead and ends elsewhere where a product falls on or off a half. Too large to be scaled, x stays."""
+    scaled = x * float(10**digits)
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled) / float(10**digits)).otherwise(x)
+
+
 def atom_content(label: Column, conf: Column, finger: Column, seconds: Column, info: Column, **parts: Column) -> Column:
     """``[auto:conf] label fN D.DDs name value ... (info)``; nulls are left out."""
     named = [F.when(v.isNotNull(), F.concat(F.lit(f"{k} "), fixed(v, 1))) for k, v in parts.items()]

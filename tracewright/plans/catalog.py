@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalars
 from ..operators import islands
 from ..operators import timeseries as ts
 from .views import FRAMES, SIGNAL, frames, signal
@@ -23,7 +24,9 @@ def query(sql: str | None = None):
 
 
 def rounded(df, *cols, digits: int = 6):
-    return df.select(*[F.round(F.col(c), digits).alias(c) if c in cols else F.col(c) for c in df.columns])
+    kinds = dict(df.dtypes)
+    to = lambda c: scalars.rounded(F.col(c), digits) if kinds[c] == "double" else F.round(F.col(c), digits)
+    return df.select(*[to(c).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 K, O = ["episode"], ["i"]

@@ -108,8 +108,9 @@ SHOWN = ", ".join(f"round({'abs(((swing + 180) % 360 + 360) % 360 - 180)' if f =
 
 @query(f"WITH {FEATURES} SELECT episode, finger, round(t, 6) AS t, class, {SHOWN} FROM ft")
 def exit_signatures(spark, sf_dir):
-    shown = [F.round(F.col(f) * UNIT if f in SLOPES else F.col(f), 5).alias(f) for f in exits.EXIT_FEATURES]
-    return _features(spark, sf_dir).select("episode", "finger", F.round("t", 6).alias("t"), "class", *shown)
+    shown = [(F.col(f) * UNIT if f in SLOPES else F.col(f)).alias(f) for f in exits.EXIT_FEATURES]
+    d = _features(spark, sf_dir).select("episode", "finger", "t", "class", *shown)
+    return rounded(rounded(d, "t"), *exits.EXIT_FEATURES, digits=5)
 
 
 def _predictions(spark, sf_dir):
