@@ -74,6 +74,18 @@ def _sum(taxels: Column, f) -> Column:
     return F.aggregate(taxels, F.lit(0.0), lambda a, p: a + f(p))
 
 
+def _moment(taxels: Column, arm: str, f) -> Column:
+    """Loads times their arms. Loads with arms of one length are summed first, those on the negative side taken off last, and
+    the length multiplies once: on a regular array these are the operations, and the rounding, of the plain formula."""
+    lengths = F.array_distinct(F.transform(taxels, lambda q: F.abs(q[arm])))
+
+    def side(a: Column) -> Column:
+        ahead = F.aggregate(F.filter(taxels, lambda q: q[arm] == a), F.lit(0.0), lambda s, q: s + f(q))
+        return F.aggregate(F.filter(taxels, lambda q: q[arm] == -a), ahead, lambda s, q: s - f(q))
+
+    return F.aggregate(lengths, F.lit(0.0), lambda s, a: s + a * side(a))
+
+
 def taxel_channels(rows: DataFrame, taxels: str, least: float = 0.2, loaded: float = 0.3) -> DataFrame:
     """The rows with fn, sfx, sfy, fs, active, copx, copy, tau and mu of their taxels (array of x, y, fx, fy, fz).
 
@@ -83,10 +95,10 @@ def taxel_channels(rows: DataFrame, taxels: str, least: float = 0.2, loaded: flo
     p, press = F.col(taxels), lambda q: F.when(q["fz"] > 0, q["fz"]).otherwise(0.0)
     d = rows.withColumns({
         "fn": _sum(p, lambda q: q["fz"]), "sfx": _sum(p, lambda q: q["fx"]), "sfy": _sum(p, lambda q: q["fy"]),
-        "active": _sum(p, lambda q: (q["fz"] > 0).cast("double")), "_m": _sum(p, press), "_mx": _sum(p, lambda q: press(q) * q["x"]),
-        "_my": _sum(p, lambda q: press(q) * q["y"]), "_spin": _sum(p, lambda q: q["x"] * q["fy"] - q["y"] * q["fx"]),
+        "active": _sum(p, lambda q: (q["fz"] > 0).cast("double")), "_m": _sum(p, press), "_mx": _moment(p, "x", press),
+        "_my": _moment(p, "y", press), "_spin": _moment(p, "x", lambda q: q["fy"]) - _moment(p, "y", lambda q: q["fx"]),
     })
-    d = d.withColumns({"copx": F.when(F.col("_m") > least, F.col("_mx") / F.col("_m")), "copy": F.when(F.col("_m") > least, F.col("_my") / F.col("_m")), "fs": F.hypot("sfx", "sfy")})
+    d = d.withColumns({"copx": F.when(F.col("_m") > least, F.col("_mx") / F.col("_m")), "copy": F.when(F.col("_m") > least, F.col("_my") / F.col("_m")), "fs": F.sqrt(F.col("sfx") * F.col("sfx") + F.col("sfy") * F.col("sfy"))})
     turn = F.col("_spin") - F.col("copx") * F.col("sfy") + F.col("copy") * F.col("sfx")
     d = d.withColumns({"tau": F.when(F.col("_m") > least, turn).when(F.col("_m").isNotNull(), 0.0), "mu": F.when(F.col("fn") > loaded, F.col("fs") / F.col("fn"))})
     return d.drop("_m", "_mx", "_my", "_spin")
@@ -130,6 +142,8 @@ def exit_features(samples: DataFrame, exits: DataFrame, keys, order: str, reach:
     for k in keys:
         on = on & (F.col(f"_e.{k}") == F.col(f"_k.{k}"))
     d = e.join(s, on).drop("_k", "_b", "_bin")
+    # sums go in the samples' order: a mean that ends in a half must not depend on how rows arrive
+    d = d.repartition("_e").sortWithinPartitions("_e", "_o")
     own, t = F.col("finger") == finger, F.col("t")
     hold, near = t.between(at - reach.pre, at - reach.near), t.between(at - reach.near, at - reach.near_end)
     last, post = t.between(at - reach.last, at - reach.last_end), t.between(at + reach.near_end, at + reach.post)
