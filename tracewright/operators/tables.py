@@ -8,10 +8,20 @@ from pyspark.sql import DataFrame
 
 from ..streaming.runner import shared_dir
 
+#: Spark's setting that removes the shuffle files of an execution at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     """Written to the shared folder and read again: a lost executor costs a read, not the jobs before,
-    and what several steps read is planned and computed once."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    and what several steps read is planned and computed once. What the write shuffled goes with its end: nothing
+    after it reads those files."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
