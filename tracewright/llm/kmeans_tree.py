@@ -192,6 +192,7 @@ def build(vectors: DataFrame, k: int = NEIGHBOURS, id_col: str = "vec_id", vecto
 
     kind = kept.schema["id"].dataType.simpleString()
     leaves = written(kept.mapInArrow(down, f"id {kind}, v array<double>, k1 long, k2 long, copy int, leaf int"), "leaves")
+    spread.destroy()
     index = Index(leaves, tree, dim, k)
     if classes:
         index.visits, index.recall = calibrate(index, _hashed(kept, classes, calibration, "k2", dim), target)
@@ -228,6 +229,7 @@ def calibrate(index: Index, q: np.ndarray, target: float) -> tuple[int, float]:
 
     w = Window.partitionBy("q").orderBy("d", "leaf")
     got = index.rows.select("v", "leaf").mapInArrow(compare, "q int, d double, leaf int").withColumn("r", F.row_number().over(w)).filter(F.col("r").between(2, k + 1)).select("q", "leaf").toPandas()
+    state.destroy()
     order = [{leaf: n for n, leaf in enumerate(v)} for v in index.tree.visits(q, index.tree.leaves)]
     at = np.array([order[i][leaf] for i, leaf in zip(got["q"], got["leaf"], strict=True)], int)
     visits = 1
@@ -240,7 +242,7 @@ def _blocks(rows: DataFrame, limit: int, columns: list[str]) -> DataFrame:
     """(leaf, ...): the rows of each leaf in blocks of about ``limit``, their columns as arrays. No block
     depends on how many rows its leaf has."""
     size = rows.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(limit)).alias("blocks"))
-    dealt = rows.join(size, "leaf").withColumn("block", F.pmod(F.xxhash64("k1", "k2", "copy"), F.col("blocks")))
+    dealt = rows.join(F.broadcast(size), "leaf").withColumn("block", F.pmod(F.xxhash64("k1", "k2", "copy"), F.col("blocks")))
     return dealt.groupBy("leaf", "block").agg(*[F.collect_list(c).alias(c) for c in columns])
 
 
@@ -276,7 +278,8 @@ def search(index: Index, queries: DataFrame) -> DataFrame:
                 a, at = pa.array(a), pa.array(at)
                 yield pa.RecordBatch.from_arrays([q1.take(a), q2.take(a), pa.array(d), ids.take(at), row.field("k1").take(at), row.field("k2").take(at)], ["q1", "q2", "score", "id", "k1", "k2"])
 
-    pairs = asked.join(held, "leaf").select("q1", "q2", "q", "row", "v").mapInArrow(compare, f"q1 long, q2 long, score double, id {kind}, k1 long, k2 long")
+    # vectors never go through the driver: without the hint a side is broadcast when it is small as compressed
+    pairs = asked.join(held.hint("merge"), "leaf").select("q1", "q2", "q", "row", "v").mapInArrow(compare, f"q1 long, q2 long, score double, id {kind}, k1 long, k2 long")
     w = Window.partitionBy("q1", "q2").orderBy(*_order("score"), "k1", "k2")
     best = pairs.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1)
     return best.groupBy("q1", "q2").agg(F.array_sort(F.collect_list(F.struct("score", F.col("id").isNull().alias("none"), "id", "k1", "k2"))).alias("found"))
@@ -291,7 +294,7 @@ def neighbours(index: Index, queries: DataFrame, id_col: str = "vec_id", vector:
     # itself: one row of its class with its id; if it isn't among them, k of the k + 1 are enough
     me = F.expr("array_position(transform(found, f -> f.id = query_id and f.k1 = q1 and f.k2 = q2), true)").cast("int")
     rest = F.when(F.col("me") > 0, F.concat(F.slice("found", 1, F.greatest(F.col("me") - 1, F.lit(0))), F.slice("found", F.col("me") + 1, F.lit(index.k + 1)))).otherwise(F.col("found"))
-    d = ask.join(found, ["q1", "q2"]).withColumn("me", me).select("query_id", F.posexplode(F.slice(rest, 1, index.k)).alias("place", "f"))
+    d = ask.join(found.hint("merge"), ["q1", "q2"]).withColumn("me", me).select("query_id", F.posexplode(F.slice(rest, 1, index.k)).alias("place", "f"))
     return d.select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("f.id").alias("vec_id"), F.col("f.score").alias("score"))
 
 
