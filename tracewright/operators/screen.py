@@ -79,7 +79,7 @@ def terminal_windows(samples: DataFrame, centres: DataFrame, keys, t: str, chann
     """
     keys = list(keys)
     ends = samples.groupBy(*keys).agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"))
-    c = centres.withColumn("_c", F.struct(*[x for x in centres.columns if x not in keys])).join(ends, keys)
+    c = centres.withColumn("_c", F.struct(*[x for x in centres.columns if x not in keys])).join(ends.hint("merge"), keys)
     c = c.filter((F.col(t) - s.half >= F.col("_lo") - s.outside) & (F.col(t) + s.half <= F.col("_hi") + s.outside))
     grid = c.select(*keys, "_c", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(s.points - 1)), lambda g: F.col(t) - s.half + 2 * s.half * g / (s.points - 1))).alias("_g", "_t"))
     none = lambda like: F.lit(None).cast(like)

@@ -194,10 +194,16 @@ def mann_whitney(df: DataFrame, group: str, x: str) -> DataFrame:
     return g.select("n1", "n2", "u", (F.col("u") / (F.col("n1") * F.col("n2"))).alias("auc"))
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's correlation over the rows that have both; null where one of them is constant, where F.corr divides by zero."""
+    a, b = F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def spearman(df: DataFrame, keys, x: str, y: str) -> DataFrame:
-    """(keys, n, rho): correlation of average ranks."""
+    """(keys, n, rho): correlation of average ranks, null where all values of one side are equal."""
     d = average_ranks(average_ranks(df, keys, x, "_rx"), keys, y, "_ry")
-    return d.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho"))
+    return d.groupBy(*keys).agg(F.count("*").alias("n"), correlation("_rx", "_ry").alias("rho"))
 
 
 def duplicate_census(df: DataFrame, keys, order, x: str, step: float) -> DataFrame:

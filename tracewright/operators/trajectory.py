@@ -4,6 +4,8 @@ Samples meet slips by an equi-join on bins of the window's length. The map is fi
 episode. The silhouette of two phases needs every distance within an episode; rows are dealt to blocks of bounded
 size, a task holds two blocks and sends one sum for each row, never a pair. Its work grows as the square of one
 episode's slips, not of the corpus; episodes of one block share a task's block. What several steps read is kept.
+Both sides of a join grow with the samples or the episodes, so they are merged: small as compressed, a side would be
+broadcast, and the driver would hold many times its size, for several joins at once.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ def slip_summaries(samples: DataFrame, slips: DataFrame, keys, order: str, half:
     for k in keys:
         on = on & (F.col(f"_e.{k}") == F.col(f"_k.{k}"))
     w = Window.partitionBy("_e")
-    d = e.join(s, on).withColumn("_r", F.row_number().over(w.orderBy("_o"))).withColumn("_n", F.count("*").over(w))
+    d = e.join(s.hint("merge"), on).withColumn("_r", F.row_number().over(w.orderBy("_o"))).withColumn("_n", F.count("*").over(w))
     first, last = F.avg(F.when(F.col("_r") <= ends, F.col("_cop"))), F.avg(F.when(F.col("_r") > F.col("_n") - ends, F.col("_cop")))
     g = d.groupBy("_e").agg(F.avg("fn").alias("grip"), F.degrees(F.atan2(F.avg("sfy"), F.avg("sfx"))).alias("shear_ang"), F.avg("_cop").alias("cop_y"), (last - first).alias("dcop"))
     return g.select("_e.*", "grip", "shear_ang", "cop_y", "dcop")
@@ -60,7 +62,7 @@ def phase_silhouette(points: DataFrame, keys, phase: str, coords, block: int = B
     # episodes of one block are dealt to groups of about a block's rows, a larger one has groups of its own
     groups = max(math.ceil(d.count() / block), 1)
     group = F.when(F.col("_blocks") == 1, F.pmod(F.xxhash64("_id"), F.lit(groups))).otherwise(-1 - F.col("_id"))
-    dealt = d.join(sizes, F.col("_k") == F.col("_key")).withColumns({"_at": F.pmod(F.xxhash64("_p", "_x"), F.col("_blocks")), "_g": group}).drop("_k", "_key", "_rows")
+    dealt = d.join(sizes.hint("merge"), F.col("_k") == F.col("_key")).withColumns({"_at": F.pmod(F.xxhash64("_p", "_x"), F.col("_blocks")), "_g": group}).drop("_k", "_key", "_rows")
     dealt = kept(dealt, "phase-dealt")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
     left = dealt.select("_g", F.col("_at").alias("_a"), every.alias("_b"), "_id", "_p", "_x")
@@ -85,12 +87,12 @@ def phase_silhouette(points: DataFrame, keys, phase: str, coords, block: int = B
     sums = left.groupBy("_g", "_a", "_b").cogroup(right.groupBy("_rg", "_ra", "_rb")).applyInPandas(far, "_id long, _p boolean, _x array<double>, _same double, _other double")
     sums = sums.groupBy("_id", "_p", "_x").agg(F.sum("_same").alias("_same"), F.sum("_other").alias("_other"))
     back = dealt.select("_id", "_p", "_x", "_n", "_n1", "_n0")
-    r = back.join(sums, ["_id", "_p", "_x"]).withColumns({"_own": F.when(F.col("_p"), F.col("_n1")).otherwise(F.col("_n0")), "_off": F.when(F.col("_p"), F.col("_n0")).otherwise(F.col("_n1"))})
+    r = back.join(sums.hint("merge"), ["_id", "_p", "_x"]).withColumns({"_own": F.when(F.col("_p"), F.col("_n1")).otherwise(F.col("_n0")), "_off": F.when(F.col("_p"), F.col("_n0")).otherwise(F.col("_n1"))})
     near, away = F.col("_same") / F.nullif(F.col("_own") - 1, F.lit(0)), F.col("_other") / F.col("_off")
     s = F.coalesce((away - near) / F.nullif(F.greatest(away, near), F.lit(0.0)), F.lit(0.0))
     s = F.when(F.col("_own") > 1, s).otherwise(0.0)
     g = r.groupBy("_id").agg(F.sum("_n").alias("rows"), (F.sum(s * F.col("_n")) / F.sum("_n")).alias("silhouette"))
-    return g.join(sizes, "_id").select(*[F.col(f"_key.{k}").alias(k) for k in keys], "rows", "silhouette")
+    return g.join(sizes.hint("merge"), "_id").select(*[F.col(f"_key.{k}").alias(k) for k in keys], "rows", "silhouette")
 
 
 def slip_trajectory(slips: DataFrame, anchors: DataFrame, keys, t: str, vec: str, anchor: str) -> DataFrame:
@@ -106,6 +108,7 @@ def slip_trajectory(slips: DataFrame, anchors: DataFrame, keys, t: str, vec: str
     m = kept(learn.pca(own, vec).withColumns({"pc1": F.col("map")[0], "pc2": F.col("map")[1]}).select(*keys, t, "grip", "cop_y", "dcop", "pc1", "pc2"), "slip-map")
     out = m.groupBy(*keys).agg(F.count("*").alias("slips"), F.sum("dcop").alias("drift"))
     for x, name in (("grip", "grip_rho"), ("cop_y", "cop_rho"), ("pc1", "pc1_rho"), ("pc2", "pc2_rho")):
-        out = out.join(stats.spearman(m.filter(F.col(x).isNotNull() & F.col(t).isNotNull()), keys, x, t).select(*keys, F.col("rho").alias(name)), keys, "left")
-    phased = m.join(anchors.select(*keys, F.col(anchor).alias("_anchor")), keys).withColumn("_phase", F.col(t) >= F.col("_anchor"))
-    return out.join(phase_silhouette(phased, keys, "_phase", ["pc1", "pc2"]).select(*keys, "silhouette"), keys, "left")
+        rho = stats.spearman(m.filter(F.col(x).isNotNull() & F.col(t).isNotNull()), keys, x, t).select(*keys, F.col("rho").alias(name))
+        out = out.join(rho.hint("merge"), keys, "left")
+    phased = m.join(anchors.select(*keys, F.col(anchor).alias("_anchor")).hint("merge"), keys).withColumn("_phase", F.col(t) >= F.col("_anchor"))
+    return out.join(phase_silhouette(phased, keys, "_phase", ["pc1", "pc2"]).select(*keys, "silhouette").hint("merge"), keys, "left")

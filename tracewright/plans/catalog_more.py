@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import islands, learn, setops
+from ..operators import islands, learn, setops, stats
 from .catalog import HOUR, K, query, rounded
 from .catalog_data import KNN, _knn
 from .views import FRAMES, SIGNAL, frames, signal, table
@@ -148,7 +148,7 @@ def session_windows(spark, sf_dir):
 @query(f"""WITH {SIGNAL}, b AS (SELECT episode, i, x > 34 AS a, jaw > 50 AS b FROM sig) SELECT episode, round(corr(a::INT, b::INT), 6) AS phi FROM b GROUP BY ALL HAVING count(DISTINCT a) = 2 AND count(DISTINCT b) = 2""")
 def phi_coefficient(spark, sf_dir):
     b = signal(spark, sf_dir).select("episode", (F.col("x") > 34).cast("int").alias("a"), (F.col("jaw") > 50).cast("int").alias("b"))
-    g = b.groupBy("episode").agg(F.round(F.corr("a", "b"), 6).alias("phi"), F.count_distinct("a").alias("na"), F.count_distinct("b").alias("nb"))
+    g = b.groupBy("episode").agg(F.round(stats.correlation("a", "b"), 6).alias("phi"), F.count_distinct("a").alias("na"), F.count_distinct("b").alias("nb"))
     return g.filter("na = 2 and nb = 2").select("episode", "phi")
 
 
