@@ -22,7 +22,7 @@ def _ancestors(block: Column, top: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(top)), lambda s: F.struct(s.alias("level"), F.floor(block / F.pow(F.lit(2.0), s)).cast("long").alias("block")))
 
 
-def _cover(a: Column, b: Column, top: int) -> Column:
+def _cover(a: Column, b: Column, top: int = LEVELS) -> Column:
     """(level, block): the fewest blocks that make up the blocks [a, b) of the first level."""
 
     def at(s: Column) -> Column:
